@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from . import common as C
 from .tokens import byte_bpe, crc32_ids, encoder
@@ -29,7 +29,7 @@ def id_type(tokenizer: str, end_id: int = END) -> str:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END, partitions: int | None = None) -> np.ndarray:
-    """Encode whole texts and write them to `uri` in ascending id order (equal ids: by text); returns the manifest.
+    """Encode whole texts and write them to `uri` in ascending id order (equal ids: by a hash of the text); returns the manifest.
 
     One range exchange brings documents in order; each task streams its texts to the files, which take their names
     from the partition, so that a repeated attempt replaces them by the same bytes. Only one row of counts per
@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_i
         C.put_bytes(f"{uri}/keys-{p:06d}.bin", np.concatenate([np.zeros(0, np.int64), *keys]).astype("<i8").tobytes())
         yield pa.RecordBatch.from_pydict({"p": [p], "docs": [len(lengths) - 1], "tokens": [int(lengths.sum())], "nulls": [nulls]})
 
-    ordered = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).repartitionByRange(n, "id", "text").sortWithinPartitions("id", "text")
+    ordered = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     counts = {r.p: (r.docs, r.tokens, r.nulls) for r in ordered.mapInArrow(run, "p long, docs long, tokens long, nulls long").collect()}
     rows = np.array([counts[p] for p in sorted(counts)], np.int64).reshape(-1, 3)
     before = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(rows[:, :2], 0)])[:-1] if len(rows) else np.zeros((0, 2), np.int64)
