@@ -37,9 +37,11 @@ ANCHOR = 8
 #: Anchors, and bytes of contexts, that a task gathers before it sends them on.
 ANCHORS_AT_ONCE, CONTEXT_BYTES = 2_000_000, 48 << 20
 #: Nodes and distinct words of one automaton.
-SHARD_NODES, SHARD_WORDS = 2_000_000, 60_000
-#: A word that no phrase has; two characters, as all words have.
-_OTHER = "￿￿"
+SHARD_NODES, SHARD_WORDS = 5_000_000, 260_000
+#: Characters of a word's code, each one of 64.
+LETTERS = 3
+#: A word that no phrase of a shard has; one character, where other words have LETTERS.
+_OTHER = "\0"
 
 
 def normalised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,15 +190,16 @@ class _Codes(dict):
 
 
 def automata(phrases: list[bytes], nodes: int = SHARD_NODES, words: int = SHARD_WORDS):
-    """(codes, automaton) shards over all phrases. A word is two characters from disjoint ranges, so that matches start at words only and no node has over 256 edges."""
+    """(codes, automaton) shards over all phrases. A word is LETTERS characters from disjoint ranges, so that matches start at words only and no node has over 64 edges."""
     codes, size, automaton = _Codes(), 0, ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for phrase in phrases:
         parts = phrase.split(b" ")
         for w in parts:
             if w not in codes:
-                codes[w] = chr(0x4E00 + len(codes) % 256) + chr(0x5000 + len(codes) // 256)
+                k = len(codes)
+                codes[w] = chr(0x4E00 + k % 64) + chr(0x4E40 + k // 64 % 64) + chr(0x4E80 + k // 4096)
         automaton.add_word("".join(map(codes.__getitem__, parts)), len(parts))
-        size += 2 * len(parts)
+        size += LETTERS * len(parts)
         if size >= nodes or len(codes) >= words:
             automaton.make_automaton()
             yield codes, automaton
@@ -323,6 +326,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             phrases = sorted({x for blob in _stored(uri, "phrases", p) for x in _unpack(blob)[2]})
             total = sum(int(n.sum()) for _, _, n in _read_docs(uri, p))
             hit = np.zeros(total + 1, np.int32)
+            stretch = re.compile(f"[^{_OTHER}]{{{LETTERS * window},}}")
             for codes, automaton in automata(phrases):
                 base = 0
                 for _, data, counts in _read_docs(uri, p):
@@ -330,10 +334,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     words = whole.split()
                     for n in counts.tolist():
                         if n >= window:
-                            for end, length in automaton.iter("".join(map(codes.__getitem__, words[at : at + n]))):
-                                stop = base + end // 2 + 1
-                                hit[stop - length] += 1
-                                hit[stop] -= 1
+                            text, others, seen = "".join(map(codes.__getitem__, words[at : at + n])), 0, 0
+                            # A foreign word sends the automaton back to its root: only stretches between such words can match.
+                            for m in stretch.finditer(text):
+                                lo, hi = m.span()
+                                others += text.count(_OTHER, seen, lo)
+                                seen = lo
+                                first = base + others + (lo - others) // LETTERS
+                                for end, length in automaton.iter(text[lo:hi]):
+                                    stop = first + end // LETTERS + 1
+                                    hit[stop - length] += 1
+                                    hit[stop] -= 1
                         base, at = base + n, at + n
             del phrases
             gone, base = np.cumsum(hit[:-1]) > 0, 0
