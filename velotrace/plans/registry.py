@@ -1,4 +1,516 @@
-"""The registered queries and their SQL, by name."""
+"""The registered queries, each on the driver's tables, and their DuckDB SQL."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from velotrace.functions import kinematics as K
+from velotrace.functions import sequence as S
+from velotrace.operators import analysis as A
+from velotrace.operators import interactions as I
+from velotrace.operators import learning as L
+from velotrace.operators import maneuvers as M
+from velotrace.operators import windows as W
+from velotrace.plans import oracles as O
+from velotrace.plans.fixtures import LANE_SQL, SIGNAL_SQL, TRAJ_SQL, lanes, regime_sequence, signals, table, trajectories
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+FAMILIES = {"bike_bike": (3, "= 3"), "bike_car": (1, "= 1"), "bike_ped": (2, "= 2")}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6, skip: tuple[str, ...] = ()) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
+
+
+def _bikes(spark: SparkSession, sf_dir: str, other: int = 3, d: float = 10.0, **more) -> DataFrame:
+    return I.interactions(trajectories(spark, sf_dir), 3, other, d, **more)
+
+
+def _some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bikes(spark, sf_dir).where("duration > 1")
+
+
+def _maneuvers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _bikes(spark, sf_dir, 1).where("duration > 1")
+    return found.select(F.col("track_id").alias("ego_id"), "other_id", "t_start", "t_end")
+
+
+def _slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.slice_maneuvers(trajectories(spark, sf_dir), _maneuvers(spark, sf_dir)).withColumnRenamed("member_id", "track_id")
+
+
+def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.window_rows(_slice(spark, sf_dir), W.ID)
+
+
+def _encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.encounters(trajectories(spark, sf_dir), _maneuvers(spark, sf_dir).withColumnRenamed("ego_id", "track_id"))
+
+
+T = f"WITH {TRAJ_SQL}"
+_TRAJ = ["timestamp", "translation_x", "translation_y", "velocity_x", "velocity_y", "acceleration_x", "acceleration_y", "rotation_z"]
+
+
+@query("traj_projection", f"{T} SELECT track_id, category, frame, {', '.join(O.R(c, c) for c in _TRAJ)} FROM traj")
+def traj_projection(spark, sf_dir):
+    return rounded(trajectories(spark, sf_dir).select("track_id", "category", "frame", *_TRAJ))
+
+
+@query("time_window", f"{T} SELECT track_id, frame, {O.R('translation_x', 'translation_x')}, {O.R('translation_y', 'translation_y')} FROM traj WHERE timestamp BETWEEN 1.99 AND 4.01 AND category IN (1, 3)")
+def time_window(spark, sf_dir):
+    return rounded(I.time_window(trajectories(spark, sf_dir), 1.99, 4.01).where(F.col("category").isin(1, 3)).select("track_id", "frame", "translation_x", "translation_y"))
+
+
+@query("time_span", f"{T} SELECT {O.R('min(timestamp)', 't_start')}, {O.R('max(timestamp)', 't_end')} FROM traj WHERE track_id IN (1, 2, 3, 5, 8, 13)")
+def time_span(spark, sf_dir):
+    return rounded(I.time_span(trajectories(spark, sf_dir), [1, 2, 3, 5, 8, 13]))
+
+
+@query("track_lifespan", f"{T} SELECT track_id, {O.R('min(timestamp)', 't_first')}, {O.R('max(timestamp)', 't_last')} FROM traj GROUP BY track_id")
+def track_lifespan(spark, sf_dir):
+    return rounded(I.lifespans(trajectories(spark, sf_dir)))
+
+
+@query(
+    "path_length",
+    f"{T}, s AS (SELECT track_id, sqrt((translation_x - lag(translation_x) OVER w) ** 2 + (translation_y - lag(translation_y) OVER w) ** 2) AS d FROM traj WINDOW w AS (PARTITION BY track_id ORDER BY frame)) SELECT track_id, {O.R('sum(d)', 'length')}, count(*) AS n_points FROM s GROUP BY track_id HAVING count(*) > 1",
+)
+def path_length(spark, sf_dir):
+    return rounded(I.path_lengths(trajectories(spark, sf_dir)))
+
+
+@query(
+    "kinematics",
+    f"{T} SELECT track_id, frame, {O.R('sqrt(velocity_x ** 2 + velocity_y ** 2)', 'speed')}, {O.R('sqrt(acceleration_x ** 2 + acceleration_y ** 2)', 'acceleration')}, {O.R('velocity_x * cos(rotation_z) + velocity_y * sin(rotation_z)', 'long_v')}, {O.R('-velocity_x * sin(rotation_z) + velocity_y * cos(rotation_z) + 1e0', 'lat_v1')}, {O.R('acceleration_x * cos(rotation_z) + acceleration_y * sin(rotation_z)', 'long_a')}, {O.R('-acceleration_x * sin(rotation_z) + acceleration_y * cos(rotation_z)', 'lat_a')}, {O.R('10e0 / (sqrt(velocity_x ** 2 + velocity_y ** 2) + 1e-6)', 'headway_10m')} FROM traj",
+)
+def kinematics(spark, sf_dir):
+    v, a, h = (F.col("velocity_x"), F.col("velocity_y")), (F.col("acceleration_x"), F.col("acceleration_y")), F.col("rotation_z")
+    return rounded(
+        trajectories(spark, sf_dir).select(
+            "track_id", "frame", K.speed(*v).alias("speed"), K.acceleration(*a).alias("acceleration"), K.longitudinal(*v, h).alias("long_v"), (K.lateral(*v, h) + 1.0).alias("lat_v1"),
+            K.longitudinal(*a, h).alias("long_a"), K.lateral(*a, h).alias("lat_a"), K.time_headway(F.lit(10.0), K.speed(*v)).alias("headway_10m"),
+        )
+    )
+
+
+@query("yaw_rate", f"{T} SELECT track_id, frame, {O.R('coalesce((rotation_z - lag(rotation_z) OVER w) / nullif(timestamp - lag(timestamp) OVER w, 0), 0)', 'yaw_rate')} FROM traj WINDOW w AS (PARTITION BY track_id ORDER BY frame)")
+def yaw_rate(spark, sf_dir):
+    return rounded(A.heading_steps(trajectories(spark, sf_dir)).select("track_id", "frame", "yaw_rate"))
+
+
+@query("heading_clean", f"{T}, {O.clean('traj', 'h', 'rotation_z_raw', 'heading', 'track_id', 'frame')} SELECT track_id, frame, {O.R('heading', 'heading')} FROM h")
+def heading_clean(spark, sf_dir):
+    return rounded(S.add_clean_heading(trajectories(spark, sf_dir), "rotation_z_raw", "heading", ["track_id"], "frame").select("track_id", "frame", "heading"))
+
+
+@query(
+    "gaussian_smooth",
+    f"{T}, p AS (SELECT track_id, frame, translation_y, velocity_x, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n FROM traj), {O.kernel('k50', 6.25)}, {O.kernel('k20', 2.5)}, {O.smooth('p', 's', [('k50', 'translation_y', 'ys'), ('k20', 'velocity_x', 'vs')], ['track_id'])} SELECT track_id, frame, {O.R('ys', 'y_smooth')}, {O.R('vs', 'v_smooth')} FROM s",
+)
+def gaussian_smooth(spark, sf_dir):
+    df = trajectories(spark, sf_dir).select("track_id", "frame", "translation_y", "velocity_x")
+    return rounded(S.smooth(df, {"y_smooth": ("translation_y", 0.5), "v_smooth": ("velocity_x", 0.2)}, ["track_id"], "frame").select("track_id", "frame", "y_smooth", "v_smooth"))
+
+
+_PF = f"{T}, {O.BIKE_BIKE}, {O.SOME}, {O.pair_frames(0)}"
+_PF10 = f"{T}, {O.BIKE_BIKE}, {O.SOME}, {O.pair_frames(10, speeds=False)}"
+_KEY = "track_id, other_id, round(t_start, 6) AS t_start, round(t_end, 6) AS t_end"
+
+
+@query("lat_long", f"{_PF} SELECT {_KEY}, frame, CAST(i AS INT) AS i, {', '.join(O.R(f'{s}_{c}', f'{s}_{c}') for s in 'ab' for c in ('lat', 'long', 'lat_s', 'long_s', 'heading', 'vlong_s'))} FROM pf")
+def lat_long(spark, sf_dir):
+    pf = M.smoothed(M.pair_frames(trajectories(spark, sf_dir), _some(spark, sf_dir)))
+    return rounded(pf.select(*M.KEYS, "frame", "i", *[f"{s}_{c}" for s in "ab" for c in ("lat", "long", "lat_s", "long_s", "heading", "vlong_s")]))
+
+
+_CENTRED = "c AS (SELECT track_id, frame, translation_y - avg(translation_y) OVER (PARTITION BY track_id) AS x, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS i FROM traj)"
+
+
+def _centred(spark, sf_dir) -> DataFrame:
+    df = trajectories(spark, sf_dir).select("track_id", "frame", (F.col("translation_y") - F.avg("translation_y").over(Window.partitionBy("track_id"))).alias("x"))
+    return df.withColumn("i", (F.row_number().over(S.ordered(["track_id"], "frame")) - 1).cast("long"))
+
+
+@query("sign_flips", f"{T}, {_CENTRED}, s AS (SELECT *, CASE WHEN x < 0 THEN -1 ELSE 1 END AS s FROM c), l AS (SELECT *, lead(s) OVER (PARTITION BY track_id ORDER BY i) AS nx FROM s) SELECT track_id, i FROM l WHERE nx <> s")
+def sign_flips(spark, sf_dir):
+    return _centred(spark, sf_dir).withColumn("f", S.flips_after(F.col("x"), ["track_id"], "i")).where("f").select("track_id", "i")
+
+
+@query(
+    "crossings",
+    f"{T}, {_CENTRED}, k AS (SELECT *, lag(x) OVER w > 0 AND x < 0 AND min(sign(x)) OVER f = max(sign(x)) OVER f AS hit FROM c WINDOW w AS (PARTITION BY track_id ORDER BY i), f AS (PARTITION BY track_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)), h AS (SELECT track_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY track_id ORDER BY i) > 20 THEN 1 ELSE 0 END AS fresh FROM k WHERE hit) SELECT track_id, i, CAST(sum(fresh) OVER (PARTITION BY track_id ORDER BY i) AS BIGINT) AS grp FROM h",
+)
+def crossings(spark, sf_dir):
+    x, key = F.col("x"), ["track_id"]
+    hit = _centred(spark, sf_dir).withColumn("hit", S.falls_through_zero(x, key, "i") & S.sign_persists(x, key, "i", 3)).where("hit")
+    return hit.select("track_id", "i", F.coalesce(S.session("i", key, 20), F.lit(0)).cast("long").alias("grp"))
+
+
+@query("true_intervals", f"{T}, b AS (SELECT track_id, frame, acceleration_x > 0 AS ok, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS rn FROM traj), g AS (SELECT *, rn - row_number() OVER (PARTITION BY track_id ORDER BY frame) AS g FROM b WHERE ok) SELECT track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n FROM g GROUP BY track_id, g")
+def true_intervals(spark, sf_dir):
+    df = trajectories(spark, sf_dir).withColumn("ok", F.col("acceleration_x") > 0)
+    df = df.withColumn("g", S.island(F.col("ok"), ["track_id"], "frame")).where("ok")
+    return df.groupBy("track_id", "g").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("n")).drop("g")
+
+
+@query("proximity_pairs", f"{T} SELECT DISTINCT a.track_id, b.track_id AS other_id FROM traj a JOIN traj b ON a.frame = b.frame AND a.track_id <> b.track_id WHERE a.category = 3 AND (a.translation_x - b.translation_x) ** 2 + (a.translation_y - b.translation_y) ** 2 <= 100")
+def proximity_pairs(spark, sf_dir):
+    traj = trajectories(spark, sf_dir)
+    return I.proximity_pairs(traj.where("category = 3"), traj, 10.0)
+
+
+def _family(name: str, other: int, cond: str, d: float) -> None:
+    def run(spark, sf_dir):
+        return rounded(_bikes(spark, sf_dir, other, d))
+
+    query(name, f"{T}, {O.interactions(cond, d)} SELECT {O.FOUND} FROM found")(run)
+
+
+for _name, (_other, _cond) in FAMILIES.items():
+    for _d in (5.0, 10.0, 25.0):
+        _family(f"interactions_{_name}" + ("" if _d == 10 else f"_{_d:.0f}m"), _other, _cond, _d)
+
+
+@query("interactions_fov_speed", f"{T}, {O.interactions('= 3', 10, 120, 2.6)} SELECT {O.FOUND} FROM found")
+def interactions_fov_speed(spark, sf_dir):
+    return rounded(_bikes(spark, sf_dir, 3, 10.0, fov=120.0, min_speed=2.6))
+
+
+@query("interactions_excluding", f"{T}, {O.interactions('<> 3', 10)} SELECT {O.FOUND} FROM found")
+def interactions_excluding(spark, sf_dir):
+    traj = trajectories(spark, sf_dir)
+    return rounded(I.interactions(traj, 3, None, 10.0, exclude_ids=traj.where("category = 3")))
+
+
+@query(
+    "interaction_families",
+    f"{T}, " + ", ".join(O.interactions(c, d, prefix=f"{n}{d:.0f}_") for n, (_, c) in FAMILIES.items() for d in (5.0, 10.0, 25.0)) + " " + " UNION ALL ".join(f"SELECT '{n}' AS family, {d}e0 AS radius, {O.FOUND} FROM {n}{d:.0f}_found" for n in FAMILIES for d in (5.0, 10.0, 25.0)),
+)
+def interaction_families(spark, sf_dir):
+    return rounded(I.interaction_families(trajectories(spark, sf_dir)))
+
+
+@query(
+    "interactions_filtered",
+    f"{T}, {O.interactions('IN (1, 3)', 10)}, life AS (SELECT track_id, min(timestamp) AS a, max(timestamp) AS b FROM traj GROUP BY track_id), "
+    "ok AS (SELECT f.* FROM found f JOIN life x ON x.track_id = f.track_id JOIN life y ON y.track_id = f.other_id WHERE NOT (dist_mean < 0.5 OR rel_speed = 0) AND dist_min < 20 AND dist_mean < 40 AND rel_heading <= 45 AND least(x.b, y.b) - greatest(x.a, y.a) >= 2.99), "
+    "st AS (SELECT k.track_id, k.other_id, k.t_start, k.t_end, t.track_id AS m, sqrt((translation_x - lag(translation_x) OVER w) ** 2 + (translation_y - lag(translation_y) OVER w) ** 2) AS d FROM ok k JOIN traj t ON t.track_id IN (k.track_id, k.other_id) AND t.timestamp BETWEEN k.t_start AND k.t_end WINDOW w AS (PARTITION BY k.track_id, k.other_id, k.t_start, k.t_end, t.track_id ORDER BY frame)), "
+    "mv AS (SELECT track_id, other_id, t_start, t_end FROM (SELECT track_id, other_id, t_start, t_end, m, sum(d) AS l FROM st GROUP BY ALL) GROUP BY ALL HAVING count(*) = 2 AND min(l) >= 3.0001) "
+    f"SELECT {O.FOUND} FROM ok JOIN mv USING (track_id, other_id, t_start, t_end)",
+)
+def interactions_filtered(spark, sf_dir):
+    traj = trajectories(spark, sf_dir)
+    found = I.interactions(traj, 3, 3, 10.0).unionByName(I.interactions(traj, 3, 1, 10.0))
+    return rounded(I.filter_interactions(traj, found, min_distance=3.0001, min_overlap=2.99))
+
+
+@query("unordered_pairs", f"{T}, {O.BIKE_BIKE}, u AS (SELECT *, row_number() OVER (PARTITION BY least(track_id, other_id), greatest(track_id, other_id) ORDER BY t_start, t_end, track_id) AS k FROM found) SELECT {O.FOUND} FROM u WHERE k = 1")
+def unordered_pairs(spark, sf_dir):
+    return rounded(I.unordered_pairs(_bikes(spark, sf_dir)))
+
+
+_ALL10 = f"{T}, {', '.join(O.interactions(c, 10, prefix=n + '_') for n, (_, c) in FAMILIES.items())}, fam AS ({' UNION ALL '.join(f'''SELECT '{n}' AS family, * FROM {n}_found''' for n in FAMILIES)})"
+
+
+def _families10(spark, sf_dir) -> DataFrame:
+    return I.interaction_families(trajectories(spark, sf_dir), (10.0,))
+
+
+@query("interaction_counts", f"{_ALL10} SELECT track_id, count(*) FILTER (WHERE family = 'bike_bike') AS bike_bike, count(*) FILTER (WHERE family = 'bike_car') AS bike_car, count(*) FILTER (WHERE family = 'bike_ped') AS bike_ped, count(*) AS total FROM fam GROUP BY track_id")
+def interaction_counts(spark, sf_dir):
+    return A.family_counts(_families10(spark, sf_dir), list(FAMILIES))
+
+
+@query("filter_ranges", f"{_ALL10} SELECT family, {O.FOUND} FROM fam WHERE duration >= 1 AND dist_min <= 5 AND rel_speed BETWEEN 0.5 AND 3 AND duration > 1 AND rel_heading > 0.5")
+def filter_ranges(spark, sf_dir):
+    return rounded(I.filter_range(_families10(spark, sf_dir).drop("radius"), {"duration": (1.0, None), "dist_min": (None, 5.0), "rel_speed": (0.5, 3.0)}).where("duration > 1 AND rel_heading > 0.5"))
+
+
+@query("feature_histogram", f"{_ALL10}, b AS (SELECT family, CAST(least(floor(dist_min / (10e0 / 30)), 29) AS INT) AS bin, count(*) AS n FROM fam WHERE dist_min BETWEEN 0 AND 10 GROUP BY ALL) SELECT family, bin, n, {O.R('n / (sum(n) OVER (PARTITION BY family) * (10e0 / 30))', 'density')} FROM b")
+def feature_histogram(spark, sf_dir):
+    return rounded(A.histogram(_families10(spark, sf_dir), "dist_min", 0.0, 10.0, by=["family"]))
+
+
+@query(
+    "box_stats",
+    f"{_ALL10}, q AS (SELECT family, count(*) AS n, avg(rel_speed) AS mean, quantile_cont(rel_speed, 0.25) AS q1, quantile_cont(rel_speed, 0.5) AS median, quantile_cont(rel_speed, 0.75) AS q3 FROM fam GROUP BY family) SELECT family, any_value(q.n) AS n, {O.R('any_value(mean)', 'mean')}, {O.R('min(rel_speed)', 'low')}, {O.R('any_value(q1)', 'q1')}, {O.R('any_value(median)', 'median')}, {O.R('any_value(q3)', 'q3')}, {O.R('max(rel_speed)', 'high')} FROM fam JOIN q USING (family) WHERE rel_speed BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY family",
+)
+def box_stats(spark, sf_dir):
+    return rounded(A.box_statistics(_families10(spark, sf_dir), "rel_speed", ["family"]))
+
+
+@query("bounding_box", f"{T} SELECT {O.R('min(translation_x) - 10', 'min_x')}, {O.R('max(translation_x) + 10', 'max_x')}, {O.R('min(translation_y) - 10', 'min_y')}, {O.R('max(translation_y) + 10', 'max_y')} FROM traj WHERE timestamp BETWEEN 1.99 AND 4.01")
+def bounding_box(spark, sf_dir):
+    return rounded(A.bounding_box(I.time_window(trajectories(spark, sf_dir), 1.99, 4.01), 10.0))
+
+
+@query("following", f"{_PF}, {O.FOLLOWING}")
+def following(spark, sf_dir):
+    return rounded(M.following(M.smoothed(M.pair_frames(trajectories(spark, sf_dir), _some(spark, sf_dir))), M.JOB))
+
+
+def _pf10(spark, sf_dir) -> DataFrame:
+    return M.smoothed(M.pair_frames(trajectories(spark, sf_dir), _some(spark, sf_dir), 10.0), speeds=False)
+
+
+@query("overtake_windows", f"{_PF10}, {O.OVERTAKE_WINDOWS} SELECT {_KEY}, CAST(grp AS INT) AS grp, CAST(z AS INT) AS z, CAST(from_i AS INT) AS from_i, CAST(to_i AS INT) AS to_i, pov FROM win")
+def overtake_windows(spark, sf_dir):
+    return rounded(M.overtake_windows(_pf10(spark, sf_dir)).select(*M.KEYS, F.col("grp").cast("int").alias("grp"), "z", "from_i", "to_i", "pov"))
+
+
+@query("overtake_thresholds", f"{T}, l AS (SELECT track_id, frame, translation_y AS lat_z FROM traj WHERE frame % 20 = 0) SELECT track_id, frame, k AS k, round(ths[k], 6) AS threshold FROM (SELECT *, {O.THRESHOLDS} AS ths FROM l), unnest(generate_series(1, len(ths))) AS u(k)")
+def overtake_thresholds(spark, sf_dir):
+    df = trajectories(spark, sf_dir).where("frame % 20 = 0").select("track_id", "frame", F.posexplode(M.thresholds(F.col("translation_y"))).alias("k", "threshold"))
+    return rounded(df.withColumn("k", (F.col("k") + 1).cast("long")))
+
+
+@query("overtaking", f"{_PF10}, {O.OVERTAKE_WINDOWS}, {O.OVERTAKING}")
+def overtaking(spark, sf_dir):
+    return rounded(M.overtaking(_pf10(spark, sf_dir)))
+
+
+@query("sliding_windows", f"{T}, {O.MANEUVERS}, {O.SLICE}, {O.BOUNDS} SELECT {O.OUT}, f0, f1 FROM bnd")
+def sliding_windows(spark, sf_dir):
+    spans = _slice(spark, sf_dir).groupBy(*W.ID).agg(F.min("timestamp").alias("first_t"), F.max("timestamp").alias("last_t"))
+    return rounded(W.sliding_windows(spans, W.ID))
+
+
+@query("window_rows", f"WITH {O.WINDOWED} SELECT {O.OUT}, count(*) AS n_rows, count(DISTINCT track_id) AS n_tracks, min(frame) AS first_frame, max(frame) AS last_frame FROM rws GROUP BY {O.M}, w")
+def window_rows(spark, sf_dir):
+    rows = _windowed(spark, sf_dir).groupBy(*W.ID, "w")
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("track_id").alias("n_tracks"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame")))
+
+
+@query("window_stats", O.WINDOW_STATS)
+def window_stats(spark, sf_dir):
+    df = _windowed(spark, sf_dir).withColumn("speed", K.speed(F.col("velocity_x"), F.col("velocity_y")))
+    df, agg = W.statistics("speed", [*W.ID, "w"], df)
+    return rounded(df.groupBy(*W.ID, "w").agg(*[a.alias(f"speed_{k}") for k, a in agg.items()]))
+
+
+@query("riding_features", O.RIDING)
+def riding_features(spark, sf_dir):
+    rows = W.rotation_fluctuation(_slice(spark, sf_dir), [*W.ID, "track_id"], ["frame"])
+    return rounded(W.riding_features(W.window_rows(rows, W.ID), W.ID))
+
+
+_ENC = f"{T}, {O.MANEUVERS}, {O.ENCOUNTERS}"
+
+
+@query("encounters", f"{_ENC} SELECT {O.E_KEY}, other_id, category, {O.R('dx', 'dx')}, {O.R('dy', 'dy')}, {O.R('vx', 'vx_rel')}, {O.R('vy', 'vy_rel')}, {O.R('velocity', 'velocity')}, {O.R('distance', 'distance')} FROM enc")
+def encounters(spark, sf_dir):
+    return rounded(_encounters(spark, sf_dir))
+
+
+@query("counts_radius", f"{_ENC}, {O.SAFETY}, {O.FRAME_SAFETY} SELECT {O.E_KEY}, car_count, pedestrian_count, bicycle_count, {O.R('car_count / (pi() * 400)', 'car_density')} FROM fs")
+def counts_radius(spark, sf_dir):
+    df = W.frame_safety(_encounters(spark, sf_dir), ["ego_id", "t_start", "t_end", "frame"])
+    return rounded(df.select("ego_id", "t_start", "t_end", "frame", "car_count", "pedestrian_count", "bicycle_count", K.density(F.col("car_count"), 20.0).alias("car_density")))
+
+
+@query("ttc_dca", f"{_ENC}, {O.SAFETY}, {O.FRAME_SAFETY} SELECT {O.E_KEY}, " + ", ".join(f"{O.R(f'{c}_min_ttc', f'{c}_min_ttc')}, {O.R(f'{c}_min_dca', f'{c}_min_dca')}, {c}_num_ttc_below_3s" for c in W.CATEGORIES) + " FROM fs")
+def ttc_dca(spark, sf_dir):
+    df = W.frame_safety(_encounters(spark, sf_dir), ["ego_id", "t_start", "t_end", "frame"])
+    return rounded(df.select("ego_id", "t_start", "t_end", "frame", *[f"{c}_{x}" for c in W.CATEGORIES for x in ("min_ttc", "min_dca", "num_ttc_below_3s")]))
+
+
+@query("drac", f"{_ENC}, {O.SAFETY}, {O.FRAME_SAFETY} SELECT {O.E_KEY}, {', '.join(O.R(f'{c}_max_drac', f'{c}_max_drac') for c in W.CATEGORIES)} FROM fs")
+def drac(spark, sf_dir):
+    df = W.frame_safety(_encounters(spark, sf_dir), ["ego_id", "t_start", "t_end", "frame"])
+    return rounded(df.select("ego_id", "t_start", "t_end", "frame", *[f"{c}_max_drac" for c in W.CATEGORIES]))
+
+
+@query("traffic_features", O.TRAFFIC)
+def traffic_features(spark, sf_dir):
+    safety = W.frame_safety(_encounters(spark, sf_dir), ["ego_id", "t_start", "t_end", "frame"])
+    df = W.traffic_features(_windowed(spark, sf_dir), safety, W.ID)
+    # Infinity stands for no encounter; the registered result shows 1e9, since it can't be compared rounded.
+    return rounded(df.withColumns({f"{c}_min_dca_min": F.when(F.col(f"{c}_min_dca_min") < math.inf, F.col(f"{c}_min_dca_min")).otherwise(1e9) for c in W.CATEGORIES}))
+
+
+@query("nearest_signal", f"{T}, {SIGNAL_SQL}{O.SIGNALS} SELECT track_id, frame, {', '.join(O.R(f'dist_{k}', f'dist_{k}') for k in W.SIGNAL_RADIUS)} FROM traj LEFT JOIN d_TrafficLight USING (track_id, frame) LEFT JOIN d_RegulatorySign USING (track_id, frame) LEFT JOIN d_WarningSign USING (track_id, frame)")
+def nearest_signal(spark, sf_dir):
+    return rounded(_signal_distances(spark, sf_dir))
+
+
+def _signal_distances(spark, sf_dir) -> DataFrame:
+    traj, sig = trajectories(spark, sf_dir), signals(spark, sf_dir)
+    out = traj.select("track_id", "frame")
+    for kind, radius in W.SIGNAL_RADIUS.items():
+        out = out.join(W.nearest_signal(traj, sig, kind, radius).withColumnRenamed("distance", f"dist_{kind}"), ["track_id", "frame"], "left")
+    return out
+
+
+_LANE_OUT = ("offset_lane_center", "rel_offset_lane_center", "rel_position_lane", "min_lateral_clearance", "max_lateral_clearance")
+
+
+@query("lane_features", f"{T}, {LANE_SQL}, {O.LANES} SELECT track_id, frame, on_bikelane, on_sidewalk, on_motorway, {', '.join(O.R(c, c) for c in _LANE_OUT)} FROM lc")
+def lane_features(spark, sf_dir):
+    return rounded(W.lane_columns(lanes(trajectories(spark, sf_dir))).select("track_id", "frame", "on_bikelane", "on_sidewalk", "on_motorway", *_LANE_OUT))
+
+
+_GAP = "CASE WHEN frame % 7 NOT IN (0, 1, 2) THEN lane_type END"
+_NEAR = "coalesce(g, lag(g, 1) OVER w, lead(g, 1) OVER w, lag(g, 2) OVER w, lead(g, 2) OVER w)"
+
+
+@query("lane_gap_fill", f"{T}, {LANE_SQL}, h AS (SELECT track_id, frame, {_GAP} AS g FROM lane) SELECT track_id, frame, {_NEAR} AS lane_type FROM h WINDOW w AS (PARTITION BY track_id ORDER BY frame)")
+def lane_gap_fill(spark, sf_dir):
+    holes = lanes(trajectories(spark, sf_dir)).select("track_id", "frame", F.when(~(F.col("frame") % 7).isin(0, 1, 2), F.col("lane_type")).alias("lane_type"))
+    return W.fill_lane_gaps(holes, ["lane_type"])
+
+
+@query("infrastructure_features", O.INFRA)
+def infrastructure_features(spark, sf_dir):
+    rows = _windowed(spark, sf_dir)
+    lane = W.lane_columns(lanes(trajectories(spark, sf_dir)))
+    rows = rows.select(*W.ID, "track_id", "frame", "w").join(lane, ["track_id", "frame"]).join(_signal_distances(spark, sf_dir), ["track_id", "frame"])
+    return rounded(W.infrastructure_features(rows, W.ID))
+
+
+@query("regime_aggregation", O.REGIMES)
+def regime_aggregation(spark, sf_dir):
+    return rounded(W.aggregate_regimes(regime_sequence(spark, sf_dir).withColumn("volatile", F.col("local_regime") == 1)))
+
+
+_DIMS = [f"e{k}" for k in range(8)]
+_EMB = f"WITH x AS (SELECT vec_id, label, {', '.join(f'CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}' for k in range(8))} FROM embeddings)"
+
+
+def _embeddings(spark, sf_dir, dims: int = 8) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(dims)])
+
+
+@query("zscore", f"{_EMB} SELECT vec_id, {', '.join(O.R(f'(e{k} - avg(e{k}) OVER ()) / (CASE WHEN stddev_pop(e{k}) OVER () > 0 THEN stddev_pop(e{k}) OVER () ELSE 1 END)', f'e{k}') for k in range(8))} FROM x")
+def zscore(spark, sf_dir):
+    return rounded(L.zscore(_embeddings(spark, sf_dir), _DIMS).drop("label"))
+
+
+@query("corr_pairs", f"{_EMB} " + " UNION ALL ".join(f"SELECT 'e{i}' AS a, 'e{j}' AS b, {O.R(f'corr(e{i}, e{j})', 'corr')} FROM x" for j in range(8) for i in range(j)))
+def corr_pairs(spark, sf_dir):
+    return rounded(L.correlations(_embeddings(spark, sf_dir), _DIMS))
+
+
+@query("vif")
+def vif(spark, sf_dir):
+    found = L.vif(_embeddings(spark, sf_dir), _DIMS)
+    return rounded(spark.createDataFrame(list(found.items()), "feature string, vif double"))
+
+
+@query("feature_selection")
+def feature_selection(spark, sf_dir):
+    df = _embeddings(spark, sf_dir).withColumn("e8", F.col("e0") * 2 + 0.001 * F.col("e1"))
+    dropped = L.select_features(df, [*_DIMS, "e8"])
+    return spark.createDataFrame([(c, c in dropped) for c in [*_DIMS, "e8"]], "feature string, dropped boolean")
+
+
+@query("pca_variance")
+def pca_variance(spark, sf_dir):
+    r = L.Reducer(_DIMS).fit(L.zscore(_embeddings(spark, sf_dir), _DIMS))
+    return rounded(spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(r.explained)], "component int, variance double"), 4)
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    df, _ = L.feature_matrix(L.zscore(_embeddings(spark, sf_dir), _DIMS), _DIMS)
+    return df.select(F.col("vec_id").alias("id"), "label", "features")
+
+
+@query("kmeans_sizes")
+def kmeans_sizes(spark, sf_dir):
+    df = _vectors(spark, sf_dir)
+    model = L.kmeans(df, 4, restarts=5)
+    return L.cluster_sizes(model.transform(df).select(F.col("prediction").alias("label")))
+
+
+@query("auto_k")
+def auto_k(spark, sf_dir):
+    best, costs, scores = L.auto_k(_vectors(spark, sf_dir), range(2, 6), restarts=2)
+    return rounded(spark.createDataFrame([(k, float(c), float(s), k == best) for k, c, s in zip(range(2, 6), costs, scores)], "k int, cost double, silhouette double, chosen boolean"), 4)
+
+
+@query("stability")
+def stability(spark, sf_dir):
+    return rounded(spark.createDataFrame(L.stability(_vectors(spark, sf_dir), 3, runs=2), "metric string, median double, p10 double, p90 double"), 4)
+
+
+_DIST = "sqrt(" + " + ".join(f"(a.e{k} - b.e{k}) ** 2" for k in range(8)) + ")"
+
+
+@query(
+    "silhouette",
+    f"{_EMB}, s AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum({_DIST}) AS d, count(*) AS n FROM x a CROSS JOIN x b GROUP BY ALL), p AS (SELECT vec_id, la AS label, max(d / nullif(n - 1, 0)) FILTER (WHERE la = lb) AS a, min(d / n) FILTER (WHERE la <> lb) AS b FROM s GROUP BY vec_id, la) SELECT vec_id, label, {O.R('CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END', 's')} FROM p",
+)
+def silhouette(spark, sf_dir):
+    df = _embeddings(spark, sf_dir).select("vec_id", "label", F.array(*_DIMS).alias("v"))
+    return rounded(L.silhouette(df, key="vec_id").select("vec_id", "label", "s"))
+
+
+_C = ", ".join(f"avg(e{k}) AS c{k}" for k in range(8))
+
+
+@query(
+    "ch_db",
+    f"{_EMB}, c AS (SELECT label, count(*) AS n, {_C} FROM x GROUP BY label), g AS (SELECT count(*) AS total, {_C.replace(' AS c', ' AS g')} FROM x), "
+    f"f AS (SELECT label, n, {' + '.join(f'(e{k} - c{k}) ** 2' for k in range(8))} AS d2 FROM x JOIN c USING (label)), w AS (SELECT label, sum(d2) AS w, avg(sqrt(d2)) AS s FROM f GROUP BY label), "
+    f"r AS (SELECT a.label, max((wa.s + wb.s) / sqrt({' + '.join(f'(a.c{k} - b.c{k}) ** 2' for k in range(8))})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN w wa ON wa.label = a.label JOIN w wb ON wb.label = b.label GROUP BY a.label), "
+    f"bt AS (SELECT sum(n * ({' + '.join(f'(c{k} - g{k}) ** 2' for k in range(8))})) AS b, count(*) AS k, max(total) AS total FROM c CROSS JOIN g) "
+    f"SELECT {O.R('(b / (k - 1)) / ((SELECT sum(w) FROM w) / (total - k))', 'calinski_harabasz')}, {O.R('(SELECT avg(r) FROM r)', 'davies_bouldin')}, k AS n_clusters FROM bt",
+)
+def ch_db(spark, sf_dir):
+    return rounded(L.calinski_davies(_embeddings(spark, sf_dir), _DIMS))
+
+
+@query("ari", "WITH x AS (SELECT label AS p, label // 2 AS q FROM embeddings), c AS (SELECT p, q, count(*) AS n FROM x GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM c), a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM c GROUP BY p)), b AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT sum(n) AS n FROM c GROUP BY q)) SELECT round((s - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) AS ari FROM s, a, b")
+def ari(spark, sf_dir):
+    return rounded(L.adjusted_rand(table(spark, sf_dir, "embeddings").selectExpr("label AS p", "CAST(floor(label / 2) AS INT) AS q"), "p", "q"))
+
+
+@query(
+    "regime_map",
+    f"{_EMB}, c AS (SELECT label AS cluster_id, (avg(e0) + avg(e1) + avg(e2)) / 3 AS v FROM x GROUP BY label) SELECT cluster_id, CASE WHEN cluster_id = (SELECT arg_max(cluster_id, (v, -cluster_id)) FROM c) THEN 'volatile' WHEN cluster_id = (SELECT arg_min(cluster_id, (v, cluster_id)) FROM c) THEN 'stable' END AS regime FROM c",
+)
+def regime_map(spark, sf_dir):
+    centers = _embeddings(spark, sf_dir).groupBy(F.col("label").alias("cluster_id")).agg(F.avg("e0").alias("speed_std"), F.avg("e1").alias("acc_mad"), F.avg("e2").alias("acc_qcv"), F.avg("e3").alias("speed_max"))
+    return W.regime_map(centers, centers.columns)
+
+
+@query("window_regimes")
+def window_regimes(spark, sf_dir):
+    """Riding windows to regimes to one aggregation per maneuver: matrix, scaling, PCA, two clusters, mapping, sequence."""
+    rows = W.rotation_fluctuation(_slice(spark, sf_dir), [*W.ID, "track_id"], ["frame"])
+    features = W.riding_features(W.window_rows(rows, W.ID), W.ID).na.drop()
+    names = [c for c in features.columns if c not in (*W.ID, "w")]
+    scaled = L.zscore(features, names).cache()
+    reducer = L.Reducer(names, 0.8).fit(scaled)
+    parts = [f"pc{i + 1}" for i in range(reducer.k)]
+    matrix, _ = L.feature_matrix(reducer.transform(scaled), parts)
+    model = L.kmeans(matrix, 2, restarts=3)
+    labelled = model.transform(matrix).withColumnRenamed("prediction", "cluster_id")
+    centers = L.cluster_centers(np.array(model.clusterCenters()), reducer)
+    table_ = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centers)], "cluster_id int, " + ", ".join(f"`{n}` double" for n in names))
+    regimes = labelled.join(F.broadcast(W.regime_map(table_, names)), "cluster_id").select(F.struct(*W.ID).alias("maneuver_id"), "w", (F.col("regime") == "volatile").alias("volatile"))
+    return rounded(W.aggregate_regimes(regimes).select("maneuver_id.*", "*").drop("maneuver_id"))
+
+
+@query("simplify_segments")
+def simplify_segments(spark, sf_dir):
+    return rounded(A.simplify_tracks(trajectories(spark, sf_dir), 0.1))
+
+
+@query("simplification_sweep")
+def simplification_sweep(spark, sf_dir):
+    return rounded(A.simplification_sweep(trajectories(spark, sf_dir), [0.05, 0.1, 0.5]))
