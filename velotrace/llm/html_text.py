@@ -28,7 +28,7 @@ FURNITURE = frozenset(
     "aside widget widgets cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription signup login search searchbox form comment comments commentlist disqus reply replies "
     "respond share sharing social related recommended recommendations toolbar pagination pager copyright alert announcement skip contentinfo complementary tags".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^>]*>)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
@@ -82,7 +82,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if not m[1] and tag not in VOID and not m[0].endswith("/>") and _furniture(tag, m[3], bool(homes)):
+        if not m[1] and tag not in VOID and not m[0].endswith("/>") and _furniture(tag, m[3] or "", bool(homes)):
             close()
             end = _closing(page, tag, at)
             if end is None and tag in ("script", "style", "footer", "noscript", "textarea"):

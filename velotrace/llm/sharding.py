@@ -128,20 +128,17 @@ def find_splitters(keys: DataFrame, total: tuple[int, int], goals: list[int], sl
 
 
 def _pieces(h: np.ndarray, i: np.ndarray, r: np.ndarray, splitters: list[tuple[int, ...]]) -> np.ndarray:
-    """For each row, how many splitters its key reaches."""
-    out = np.zeros(len(h), np.int64)
-    for s in splitters:
-        at = [_U(min(x, _TOP - 1)) for x in s]
-        if s[0] >= _TOP:
-            continue
-        reach = h > at[0] if len(s) > 1 else h >= at[0]
-        if len(s) > 1:
-            same = h == at[0]
-            inner = np.zeros(len(h), bool) if s[1] >= _TOP else (i > at[1] if len(s) > 2 else i >= at[1])
-            if len(s) > 2 and s[1] < _TOP:
-                inner |= np.zeros(len(h), bool) if s[2] >= _TOP else (i == at[1]) & (r >= at[2])
-            reach |= same & inner
-        out += reach
+    """For each row, how many splitters its key reaches. Splitters inside a group of equal texts are few and looked at one by one."""
+    shallow = np.array(sorted(s[0] for s in splitters if len(s) == 1 and s[0] < _TOP), _U)
+    deep = sorted(s for s in splitters if len(s) > 1)
+    out = np.searchsorted(shallow, h, "right") + np.searchsorted(np.array([s[0] for s in deep], _U), h, "left")
+    for s in deep:
+        same = np.flatnonzero(h == _U(s[0]))
+        if len(same) and s[1] < _TOP:
+            reach = i[same] > _U(s[1]) if len(s) > 2 else i[same] >= _U(s[1])
+            if len(s) > 2 and s[2] < _TOP:
+                reach |= (i[same] == _U(s[1])) & (r[same] >= _U(s[2]))
+            out[same] += reach
     return out
 
 
