@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPAN, DIVISOR = 2, 3
 #: Lines that a chunk has at least if it is to be removed.
 LEAST = 2
+#: Parts into which a frequent chunk's occurrences are dealt before they are pre-aggregated.
+SALTS = 8
 
 
 def _chunks(text: Column, span: int, divisor: int) -> Column:
@@ -49,7 +51,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = source.select("id", "t", F.explode(_chunks(F.col("text"), span, divisor)).alias("c")).where((F.col("c.n") >= least) & (F.trim(F.regexp_replace("c.text", r"\s+", "")) != ""))
     each = each.select("id", "t", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("h"), F.col("c.text").alias("bytes"))
     again = each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
-    found = each.join(again, "h", "left_semi")
+    # Dealt by hash and salt, so that the exchange by bytes below has a partial aggregation in front of it.
+    each = each.withColumn("salt", F.pmod(F.xxhash64("id", "t", "k"), F.lit(SALTS)))
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = each.join(again, ["h", "salt"], "left_semi").drop("salt")
     first = found.groupBy("h", "bytes").agg(F.min(F.struct("id", "t", "k")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     cut = found.join(first, ["h", "bytes"]).where(~F.struct("id", "t", "k").eqNullSafe(F.col("first"))).groupBy("id", "t").agg(F.collect_set("k").alias("cut"))
     cut = cut.select(F.col("id").alias("cut_id"), F.col("t").alias("cut_t"), "cut")
