@@ -14,6 +14,7 @@ from velotrace.operators import analysis as A
 from velotrace.operators import interactions as I
 from velotrace.operators import learning as L
 from velotrace.operators import maneuvers as M
+from velotrace.operators import records as R
 from velotrace.operators import windows as W
 from velotrace.plans import oracles as O
 from velotrace.plans.fixtures import LANE_SQL, SIGNAL_SQL, TRAJ_SQL, lanes, regime_sequence, signals, table, trajectories
@@ -514,3 +515,55 @@ def simplify_segments(spark, sf_dir):
 @query("simplification_sweep")
 def simplification_sweep(spark, sf_dir):
     return rounded(A.simplification_sweep(trajectories(spark, sf_dir), [0.05, 0.1, 0.5]))
+
+
+_SHOWN = {"r": ("ride", ("speed_mean", "acc_std", "rot_fluc_mad")), "t": ("env", ("car_count_mean", "bicycle_min_ttc_min")), "i": ("infra", ("lane_width", "distance_traffic_light"))}
+
+
+def _riding(spark, sf_dir) -> DataFrame:
+    return W.riding_features(W.window_rows(W.rotation_fluctuation(_slice(spark, sf_dir), [*W.ID, "track_id"], ["frame"]), W.ID), W.ID)
+
+
+def _traffic(spark, sf_dir) -> DataFrame:
+    safety = W.frame_safety(_encounters(spark, sf_dir), ["ego_id", "t_start", "t_end", "frame"])
+    return W.traffic_features(_windowed(spark, sf_dir), safety, W.ID)
+
+
+def _infrastructure(spark, sf_dir) -> DataFrame:
+    rows = _windowed(spark, sf_dir).select(*W.ID, "track_id", "frame", "w")
+    lane = W.lane_columns(lanes(trajectories(spark, sf_dir)))
+    return W.infrastructure_features(rows.join(lane, ["track_id", "frame"]).join(_signal_distances(spark, sf_dir), ["track_id", "frame"]), W.ID)
+
+
+@query(
+    "window_records",
+    "SELECT ego_id, other_id, t_start, t_end, w, round(f0 * 0.08, 6) AS win_start, round(f1 * 0.08, 6) AS win_end, "
+    + ", ".join(f"{a}.{c} AS {p}_{c}" for a, (p, cs) in _SHOWN.items() for c in cs)
+    + f" FROM ({T}, {O.MANEUVERS}, {O.SLICE}, {O.BOUNDS} SELECT {O.OUT}, f0, f1 FROM bnd) b "
+    + " ".join(f"LEFT JOIN ({sql}) {a} USING (ego_id, other_id, t_start, t_end, w)" for a, sql in (("r", O.RIDING), ("t", O.TRAFFIC), ("i", O.INFRA))),
+)
+def window_records(spark, sf_dir):
+    spans = _slice(spark, sf_dir).groupBy(*W.ID).agg(F.min("timestamp").alias("first_t"), F.max("timestamp").alias("last_t"))
+    records = R.window_records(W.sliding_windows(spans, W.ID), "interaction", _riding(spark, sf_dir), _traffic(spark, sf_dir), _infrastructure(spark, sf_dir))
+    return rounded(R.flat_records(records).select(*R.KEYS, "win_start", "win_end", *[f"{p}_{c}" for p, cs in _SHOWN.values() for c in cs]))
+
+
+@query("windows_grouped", f"{T}, {O.MANEUVERS}, {O.SLICE}, {O.BOUNDS} SELECT {O.OUT.replace(', CAST(w AS INT) AS w', '')}, count(*) AS n_windows, min(f0) AS f_first, max(f1) AS f_last FROM bnd GROUP BY {O.M}")
+def windows_grouped(spark, sf_dir):
+    spans = _slice(spark, sf_dir).groupBy(*W.ID).agg(F.min("timestamp").alias("first_t"), F.max("timestamp").alias("last_t"))
+    grouped = R.group_windows(W.sliding_windows(spans, W.ID), ["f0", "f1"])
+    return rounded(grouped.select(*W.ID, F.size("windows").cast("long").alias("n_windows"), F.array_min("windows.f0").alias("f_first"), F.array_max("windows.f1").alias("f_last")))
+
+
+@query("signal_ecdf", f"{T}, {SIGNAL_SQL}{O.SIGNALS}, v AS (SELECT category, round(dist_TrafficLight, 1) AS d FROM traj JOIN d_TrafficLight USING (track_id, frame) WHERE dist_TrafficLight IS NOT NULL), c AS (SELECT category, d, count(*) AS n FROM v GROUP BY ALL) SELECT category, d AS distance, {O.R('sum(n) OVER (PARTITION BY category ORDER BY d) / sum(n) OVER (PARTITION BY category)', 'share')} FROM c")
+def signal_ecdf(spark, sf_dir):
+    traj = trajectories(spark, sf_dir)
+    near = W.nearest_signal(traj, signals(spark, sf_dir), "TrafficLight", W.SIGNAL_RADIUS["TrafficLight"]).withColumn("distance", F.round("distance", 1))
+    return rounded(R.ecdf(traj.select("track_id", "frame", "category").join(near, ["track_id", "frame"]), "distance", ["category"]))
+
+
+@query("regimes_by_lane", f"{T}, {LANE_SQL}, j AS (SELECT lane_type, category, sqrt(velocity_x ** 2 + velocity_y ** 2) AS v FROM traj JOIN lane USING (track_id, frame)) SELECT lane_type, CAST(category AS VARCHAR) AS category, count(*) AS n, {O.R('avg(v)', 'speed_mean')}, {O.R('stddev_pop(v)', 'speed_std')} FROM j GROUP BY CUBE (lane_type, category)")
+def regimes_by_lane(spark, sf_dir):
+    traj = trajectories(spark, sf_dir)
+    rows = traj.select("track_id", "frame", "category", K.speed(F.col("velocity_x"), F.col("velocity_y")).alias("v")).join(lanes(traj), ["track_id", "frame"])
+    return rounded(rows.withColumn("category", F.col("category").cast("string")).cube("lane_type", "category").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("speed_mean"), F.stddev_pop("v").alias("speed_std")))
