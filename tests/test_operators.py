@@ -165,3 +165,30 @@ def test_sources_round_trip(spark, tmp_path):
     for force in (False, False, True):
         assert T.load_or_process(spark, str(tmp_path / "kept"), make, force=force).count() == 2
     assert len(calls) == 2
+
+
+def test_clustering_pipeline(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 1, (40, 3)), rng.normal(9, 1, (40, 3))])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(99, None, 1.0, 1.0)], "k long, a_mean double, b_std double, c_max double")
+    for reducer in (None, L.Reducer(["a_mean", "b_std", "c_max"]), L.SplitReducer(["a_mean", "b_std", "c_max"])):
+        p = L.ClusteringPipeline(["a_mean", "b_std", "c_max"], 2, reducer, restarts=2)
+        got = {r.k: r.cluster_id for r in p.run(df).collect()}
+        assert len(got) == 80 and len({got[i] for i in range(40)}) == 1 and got[0] != got[79]
+        centers = p.centers(spark).orderBy("a_mean").collect()
+        assert abs(centers[0].a_mean) < 1.5 and abs(centers[1].a_mean - 9) < 1.5
+        regimes = {r.cluster_id: r.regime for r in W.regime_map(p.centers(spark), ["a_mean", "b_std", "c_max"]).collect()}
+        assert regimes[got[79]] == "volatile" and regimes[got[0]] == "stable"
+    assert L.ClusteringPipeline(["a_mean"], range(2, 4), restarts=1).run(df).count() == 80
+    with pytest.raises(ValueError):
+        L.ClusteringPipeline(["a_mean"], 2).run(df.limit(0))
+    assert L.split_columns(["a_mean", "b_std", "c_max"]) == (["a_mean", "c_max"], ["b_std"])
+
+
+def test_interaction_files_and_slices(spark, tmp_path):
+    t = tracks(spark, (1, 3, range(50), 0, 0, 4), (2, 3, range(50), 5, 0, 4))
+    found = I.interactions(t, 3, 3, 10.0)
+    T.write_interactions(found, str(tmp_path / "i"))
+    assert sorted(T.read_interactions(spark, str(tmp_path / "i")).collect()) == sorted(found.collect())
+    m = found.withColumnRenamed("track_id", "ego_id")
+    assert I.slice_maneuvers(t, m).count() == 200 and I.slice_maneuvers(t, m, ego_only=True).count() == 100

@@ -43,6 +43,11 @@ def folded_difference(a: Column, b: Column) -> Column:
     return F.when(d > PI, 2 * PI - d).otherwise(d)
 
 
+def heading_deviation(heading: Column, lane_angle: Column) -> Column:
+    """Heading against the lane's angle, in [-pi, pi)."""
+    return wrap(heading - lane_angle)
+
+
 def density(count: Column, radius: float) -> Column:
     return count / (PI * radius**2)
 

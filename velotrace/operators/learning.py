@@ -211,3 +211,42 @@ def cluster_sizes(df: DataFrame, label: str = "label") -> DataFrame:
     """Sizes by rank, largest first: free of labels' order."""
     w = Window.orderBy(F.desc("n"), label)
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(w)).select("rank", "n")
+
+
+class ClusteringPipeline:
+    """Matrix, scaling, optional PCA (a Reducer or SplitReducer over the same columns), k-means with a given k or one chosen from a range."""
+
+    def __init__(self, columns: list[str], k: int | range, reducer=None, exclude: tuple[str, ...] = (), seed: int = 0, restarts: int = RESTARTS):
+        self.columns, self.k, self.reducer, self.seed, self.restarts = [c for c in columns if c not in exclude], k, reducer, seed, restarts
+
+    def run(self, df: DataFrame) -> DataFrame:
+        """Rows of df with every column present, and their cluster_id. Raises if there are none."""
+        df = df.na.drop(subset=self.columns)
+        stats = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in self.columns], *[F.stddev_pop(c) for c in self.columns]).first()
+        if not stats[0]:
+            raise ValueError("no rows with features")
+        n = len(self.columns)
+        self.mean, std = np.array(stats[1 : n + 1], float), np.array(stats[n + 1 :], float)
+        self.std = np.where(std > 0, std, 1.0)
+        scaled = df.withColumns({f"__z_{c}": (F.col(c) - float(m)) / float(s) for c, m, s in zip(self.columns, self.mean, self.std)})
+        inputs = [f"__z_{c}" for c in self.columns]
+        if self.reducer is not None:
+            view = scaled.select(*[F.col(f"__z_{c}").alias(c) for c in self.columns])
+            self.reducer.fit(view)
+            plain = scaled.select(F.struct(*df.columns).alias("__row"), *[F.col(f"__z_{c}").alias(c) for c in self.columns])
+            reduced = self.reducer.transform(plain)
+            inputs = [c for c in reduced.columns if c not in plain.columns]
+            scaled = reduced.select("__row", *[F.col(c).alias(f"__p_{i}") for i, c in enumerate(inputs)])
+            inputs = [f"__p_{i}" for i in range(len(inputs))]
+        else:
+            scaled = scaled.select(F.struct(*df.columns).alias("__row"), *inputs)
+        matrix, _ = feature_matrix(scaled, inputs)
+        matrix = matrix.select("__row", "features")
+        self.chosen = self.k if isinstance(self.k, int) else auto_k(matrix.withColumn("id", F.xxhash64("__row")), self.k, self.seed)[0]
+        self.model = kmeans(matrix, self.chosen, self.seed, self.restarts)
+        return self.model.transform(matrix).select("__row.*", F.col("prediction").alias("cluster_id"))
+
+    def centers(self, spark, original: bool = True) -> DataFrame:
+        """(cluster_id, columns): one row per cluster, back through PCA and, if `original`, scaling."""
+        c = cluster_centers(np.array(self.model.clusterCenters()), self.reducer, *((self.mean, self.std) if original else ()))
+        return spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(c)], "cluster_id int, " + ", ".join(f"`{n}` double" for n in self.columns))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -493,17 +492,12 @@ def regime_map(spark, sf_dir):
 def window_regimes(spark, sf_dir):
     """Riding windows to regimes to one aggregation per maneuver: matrix, scaling, PCA, two clusters, mapping, sequence."""
     rows = W.rotation_fluctuation(_slice(spark, sf_dir), [*W.ID, "track_id"], ["frame"])
-    features = W.riding_features(W.window_rows(rows, W.ID), W.ID).na.drop()
+    features = W.riding_features(W.window_rows(rows, W.ID), W.ID)
     names = [c for c in features.columns if c not in (*W.ID, "w")]
-    scaled = L.zscore(features, names).cache()
-    reducer = L.Reducer(names, 0.8).fit(scaled)
-    parts = [f"pc{i + 1}" for i in range(reducer.k)]
-    matrix, _ = L.feature_matrix(reducer.transform(scaled), parts)
-    model = L.kmeans(matrix, 2, restarts=3)
-    labelled = model.transform(matrix).withColumnRenamed("prediction", "cluster_id")
-    centers = L.cluster_centers(np.array(model.clusterCenters()), reducer)
-    table_ = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centers)], "cluster_id int, " + ", ".join(f"`{n}` double" for n in names))
-    regimes = labelled.join(F.broadcast(W.regime_map(table_, names)), "cluster_id").select(F.struct(*W.ID).alias("maneuver_id"), "w", (F.col("regime") == "volatile").alias("volatile"))
+    pipeline = L.ClusteringPipeline(names, 2, L.Reducer(names, 0.8), restarts=3)
+    labelled = pipeline.run(features)
+    mapping = W.regime_map(pipeline.centers(spark), names)
+    regimes = labelled.join(F.broadcast(mapping), "cluster_id").select(F.struct(*W.ID).alias("maneuver_id"), "w", (F.col("regime") == "volatile").alias("volatile"))
     return rounded(W.aggregate_regimes(regimes).select("maneuver_id.*", "*").drop("maneuver_id"))
 
 
