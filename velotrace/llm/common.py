@@ -74,6 +74,11 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches that Spark hands to Python hold 8 MB at most, so that long texts don't fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def slices(batches, text: str = "text", limit: int = SLICE_BYTES):
     """Arrow batches cut so that each holds about `limit` bytes of text (a longer text stands alone)."""
     for batch in batches:

@@ -188,6 +188,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     least coverage[0] / coverage[1] of the words are. Null and empty texts have no words and are clean; repeated
     rows come out each; an empty benchmark leaves all clean; an empty docs gives no rows.
     """
+    C.bound_batches(docs.sparkSession)
     uri = build_automata(benchmark, "item_id" if "item_id" in benchmark.columns else benchmark.columns[0], "text", width, shard_words)
     keep = keep or [id_col]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)

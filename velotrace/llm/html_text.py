@@ -146,6 +146,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     Null and empty html give empty text; repeated rows come out each; malformed and cut-off markup is read as far as
     it goes; an empty table gives no rows; nulls in `keep` are passed on; other columns are not looked at.
     """
+    C.bound_batches(pages.sparkSession)
     source = pages.select(*[pages[c].alias(f"k{k}") for k, c in enumerate(keep)], pages[html_col].cast("string").alias("text"))
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 

@@ -96,6 +96,7 @@ def pack_documents(
     each for itself; an empty table gives no rows; other columns of `docs` are not looked at. Very long texts are
     cut into pieces, none is dropped.
     """
+    C.bound_batches(docs.sparkSession)
     fields = [T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType())))]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))

@@ -163,6 +163,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     empty texts have no words and fail; repeated rows come out each; an empty table gives no rows; a null in any
     other column is passed on.
     """
+    C.bound_batches(docs.sparkSession)
     names = docs.columns if keep is None else keep
 
     def run(batches):

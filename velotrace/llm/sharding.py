@@ -150,6 +150,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     sums of exact counts. Whole rows are exchanged once. Rows equal in all keys (repeated rows) keep an order of
     their own; a null id sorts first; fewer rows than shards leave shards empty; an empty table gives no rows.
     """
+    C.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     n_pieces = pieces or max(1, -(-C.parallelism(spark) // shards))
     text = docs[text_col].cast("string")

@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fp = np.fromiter((fingerprint(shingle_hashes(t, shingle)) for t in C.column(batch, "text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([C.column(batch, "doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
+    C.bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -296,6 +297,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     lower-cased) are copies whatever their length; null and empty texts are copies of each other. Of rows equal in id
     and text one stays. An empty table gives no rows; other columns are passed on.
     """
+    C.bound_batches(docs.sparkSession)
     texts = C.shared_dir(docs.sparkSession, "texts")
     kind = docs.schema[id_col].dataType.simpleString()
 

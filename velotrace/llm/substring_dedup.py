@@ -217,6 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words; repeated rows are documents of their own, so that their windows recur; an empty table gives no rows; a
     null id is kept; other columns are not looked at. `window` words at least make a window.
     """
+    C.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     buckets, uri = C.parallelism(spark), C.shared_dir(spark, "phrases")
     id_kind = docs.schema[id_col].dataType.simpleString()

@@ -36,6 +36,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_i
     partition comes to the driver. Null text counts as empty, null ids come first, repeated rows are written each,
     an empty table gives empty files; other columns of `docs` are not looked at.
     """
+    C.bound_batches(docs.sparkSession)
     n = partitions or C.parallelism(docs.sparkSession)
     dtype = id_type(tokenizer, end_id)
 

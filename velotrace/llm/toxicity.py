@@ -18,7 +18,7 @@ from . import common as C
 from .decontamination import normal_words
 
 #: Labelled rows that training takes at most: those with the smallest hashes of their ids.
-SAMPLE = 16_000
+SAMPLE = 10_000
 BUCKET_BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 5, 64, 0.1
 #: Training steps at least, whatever the sample.
@@ -218,6 +218,7 @@ def calibrate(m: Model, texts: list[np.ndarray], labels: np.ndarray) -> None:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on at most `sample` labelled rows with a document. Numbers of embedding rows, 12 bytes a word, come to the driver; a null label or id is no label; an id labelled more than once counts by its largest label."""
+    C.bound_batches(docs.sparkSession)
     chosen = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = C.materialize(chosen, "sample")
 
@@ -238,6 +239,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Null and empty texts, and texts without words, score 0; repeated rows come out each; a null id is kept; an empty
     table gives no rows; other columns are not looked at. The model has a fixed size and is broadcast.
     """
+    C.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
