@@ -15,6 +15,8 @@ from velotrace.functions import kinematics as K
 from velotrace.functions import sequence as S
 
 CAR, PEDESTRIAN, BICYCLE = 1, 2, 3
+#: Seconds of a slot in the encounter join.
+TIME_SLOT = 30.0
 STATE = ("timestamp", "translation_x", "translation_y", "velocity_x", "velocity_y", "rotation_z")
 
 
@@ -193,9 +195,12 @@ def encounters(traj: DataFrame, targets: DataFrame, candidate_radius: float = 20
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     path = ego.select("ego_id", "t_start", "t_end", F.col("translation_x").alias("ex"), F.col("translation_y").alias("ey"), *_cells(candidate_radius))
     path = path.withColumn("cx", F.explode(F.transform(around, lambda k: F.col("cx") + k))).withColumn("cy", F.explode(F.transform(around, lambda k: F.col("cy") + k)))
-    near = traj.select(F.col("track_id").alias("other_id"), F.col("timestamp").alias("ot"), F.col("translation_x").alias("ox"), F.col("translation_y").alias("oy"), *_cells(candidate_radius))
+    # A slot of time is in the key too: a place sees traffic all day, a window lasts seconds.
+    slot = lambda t: F.floor(F.col(t) / TIME_SLOT)
+    path = path.withColumn("slot", F.explode(F.sequence(slot("t_start"), slot("t_end"))))
+    near = traj.select(F.col("track_id").alias("other_id"), F.col("timestamp").alias("ot"), F.col("translation_x").alias("ox"), F.col("translation_y").alias("oy"), slot("timestamp").alias("slot"), *_cells(candidate_radius))
     close = (F.col("ex") - F.col("ox")) * (F.col("ex") - F.col("ox")) + (F.col("ey") - F.col("oy")) * (F.col("ey") - F.col("oy")) <= candidate_radius**2
-    pairs = path.join(near, ["cx", "cy"]).where(close & (F.col("ego_id") != F.col("other_id")) & F.col("ot").between(F.col("t_start"), F.col("t_end"))).select("ego_id", "t_start", "t_end", "other_id").distinct()
+    pairs = path.join(near, ["slot", "cx", "cy"]).where(close & (F.col("ego_id") != F.col("other_id")) & F.col("ot").between(F.col("t_start"), F.col("t_end"))).select("ego_id", "t_start", "t_end", "other_id").distinct()
     own = traj.select(F.col("track_id").alias("ego_id"), "frame", "timestamp", *[F.col(c).alias(f"e_{c}") for c in STATE[1:5]])
     cand = traj.select(F.col("track_id").alias("other_id"), "frame", "category", *STATE[1:5])
     rows = pairs.join(own, "ego_id").where("timestamp BETWEEN t_start AND t_end").join(cand, ["other_id", "frame"])
