@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -37,7 +38,7 @@ ANCHOR = 8
 #: Anchors, and bytes of contexts, that a task gathers before it sends them on.
 ANCHORS_AT_ONCE, CONTEXT_BYTES = 2_000_000, 48 << 20
 #: Nodes and distinct words of one automaton.
-SHARD_NODES, SHARD_WORDS = 5_000_000, 260_000
+SHARD_NODES, SHARD_WORDS = 2_000_000, 260_000
 #: Characters of a word's code, each one of 64.
 LETTERS = 3
 #: A word that no phrase of a shard has; one character, where other words have LETTERS.
@@ -97,8 +98,9 @@ def _read_docs(uri: str, p: int):
     """Slices (ids, normalised data, words of each document) of a partition's file."""
     fs, path = C.open_fs(_doc_file(uri, p))
     with fs.open_input_file(path) as f:
-        for batch in pq.ParquetFile(f).iter_batches(batch_size=1 << 16):
-            for part in C.slices([batch]):
+        file = pq.ParquetFile(f)
+        for g in range(file.num_row_groups):  # each is what the writer took up at once
+            for part in file.read_row_group(g).combine_chunks().to_batches():
                 text = C.column(part, "text").to_pylist()
                 yield C.column(part, "id"), np.frombuffer(b"".join(text), np.uint8), C.column(part, "n").to_numpy()
 
@@ -184,14 +186,9 @@ def confirm(contexts: dict[bytes, int], window: int) -> dict[bytes, list[bytes]]
     return out
 
 
-class _Codes(dict):
-    def __missing__(self, word):
-        return _OTHER
-
-
 def automata(phrases: list[bytes], nodes: int = SHARD_NODES, words: int = SHARD_WORDS):
     """(codes, automaton) shards over all phrases. A word is LETTERS characters from disjoint ranges, so that matches start at words only and no node has over 64 edges."""
-    codes, size, automaton = _Codes(), 0, ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    codes, size, automaton = {}, 0, ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for phrase in phrases:
         parts = phrase.split(b" ")
         for w in parts:
@@ -203,7 +200,7 @@ def automata(phrases: list[bytes], nodes: int = SHARD_NODES, words: int = SHARD_
         if size >= nodes or len(codes) >= words:
             automaton.make_automaton()
             yield codes, automaton
-            codes, size, automaton = _Codes(), 0, ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            codes, size, automaton = {}, 0, ahocorasick.Automaton(ahocorasick.STORE_INTS)
     if size:
         automaton.make_automaton()
         yield codes, automaton
@@ -335,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     words = whole.split()
                     for n in counts.tolist():
                         if n >= window:
-                            text, others, seen = "".join(map(codes.__getitem__, words[at : at + n])), 0, 0
+                            text, others, seen = "".join(map(codes.get, words[at : at + n], repeat(_OTHER))), 0, 0
                             # A foreign word sends the automaton back to its root: only stretches between such words can match.
                             for m in stretch.finditer(text):
                                 lo, hi = m.span()
@@ -347,6 +344,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                     hit[stop - length] += 1
                                     hit[stop] -= 1
                         base, at = base + n, at + n
+                del codes, automaton  # before the next shard is compiled
             del phrases
             gone, base = np.cumsum(hit[:-1]) > 0, 0
             for ids, data, counts in _read_docs(uri, p):
