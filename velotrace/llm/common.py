@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker takes up at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: bytes.split() parts at exactly these: space and U+0009 to U+000D.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -79,6 +80,21 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
+def released(run):
+    """A task's function that gives freed memory back to the system at its end, since Spark keeps its worker for later tasks."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return task
+
+
 def slices(batches, text: str = "text", limit: int = SLICE_BYTES):
     """Arrow batches cut so that each holds about `limit` bytes of text (a longer text stands alone)."""
     for batch in batches:

@@ -222,7 +222,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 [*keep, "__n_words", "__n_hit", "__spans", "__items"],
             )
 
-    found = docs.select(*passed, docs[text_col].cast("string").alias("__text")).mapInArrow(run, f"{kinds}, {extra}")
+    found = docs.select(*passed, docs[text_col].cast("string").alias("__text")).mapInArrow(C.released(run), f"{kinds}, {extra}")
     return found.withColumn("__contaminated", (F.col("__n_hit") > 0) & (whole * F.col("__n_hit") >= share * F.col("__n_words")))
 
 

@@ -155,7 +155,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
             text = [main_text(t) for t in C.column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(C.column(batch, f"k{k}") for k in range(len(keep))), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*keep, "text", "n_chars"])
 
-    return source.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return source.mapInArrow(C.released(run), f"{kinds}, text string, n_chars long")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
 
     source = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"))
     row = source.schema["row"].dataType.simpleString()
-    found = C.materialize(source.mapInArrow(run, f"row {row}, {', '.join(f'{b} long' for b in BASE)}, votes long"), "quality")
+    found = C.materialize(source.mapInArrow(C.released(run), f"row {row}, {', '.join(f'{b} long' for b in BASE)}, votes long"), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = found.where(~failed).groupBy("votes").count().collect()
     patterns, count = (np.array([r[k] for r in counted], np.int64) for k in (0, 1))

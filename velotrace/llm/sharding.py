@@ -57,7 +57,7 @@ def _below(keys: DataFrame, level: str, prefix: list[tuple[int, ...]], probes: l
             some = np.flatnonzero(t[1])
             yield pa.RecordBatch.from_pydict({"p": np.full(len(some), n, np.int64), "slot": some.astype(np.int64), "bytes": t[0, some], "rows": t[1, some]})
 
-    counted = keys.mapInArrow(run, "p long, slot long, bytes long, rows long").groupBy("p", "slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
+    counted = keys.mapInArrow(C.released(run), "p long, slot long, bytes long, rows long").groupBy("p", "slot").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
     sums = {n: np.zeros((2, len(x) + 1), np.int64) for n, x in enumerate(merged.values())}
     for r in counted:
         sums[r.p][:, r.slot] += (r.bytes, r.rows)
@@ -188,8 +188,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([C.column(b, "row"), C.column(b, "size"), pa.array((piece // n_pieces).astype(np.int32)), pa.array(slot)], ["row", "size", "shard", "slot"])
 
     row = source.schema["row"].dataType.simpleString()
-    placed = source.mapInArrow(run, f"row {row}, size long, h long, id long, r long, piece int")
-    return placed.repartitionById(every, "piece").sortWithinPartitions("piece", *LEVELS).mapInArrow(number, f"row {row}, size long, shard int, slot long")
+    placed = source.mapInArrow(C.released(run), f"row {row}, size long, h long, id long, r long, piece int")
+    return placed.repartitionById(every, "piece").sortWithinPartitions("piece", *LEVELS).mapInArrow(C.released(number), f"row {row}, size long, shard int, slot long")
 
 
 

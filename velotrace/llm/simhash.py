@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     C.bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), f"doc_id {kind}, fp long")
 
 
 #: A fingerprint with its node's number and, for verification, the place of its text (file, first byte, bytes) and further words.
@@ -191,7 +191,7 @@ def near_links(items: DataFrame, radius: int = RADIUS, wide: int | None = None,
 
     zero = F.lit(0).cast("long")
     items = items.select(*[F.col(c) if c in items.columns else zero.alias(c) for c in _ITEM.names])
-    hist = items.select(cell.alias("cell"), *_ITEM.names).repartitionByRange(n, "cell", "fp", "key").sortWithinPartitions("cell", "fp", "key").mapInArrow(store, "p long, cell long, n long").collect()
+    hist = items.select(cell.alias("cell"), *_ITEM.names).repartitionByRange(n, "cell", "fp", "key").sortWithinPartitions("cell", "fp", "key").mapInArrow(C.released(store), "p long, cell long, n long").collect()
     if not hist:
         return spark.createDataFrame([], "a long, b long")
     sizes = np.zeros(max(r.p for r in hist) + 1, np.int64)
@@ -250,7 +250,7 @@ def near_links(items: DataFrame, radius: int = RADIUS, wide: int | None = None,
             pairs = np.array(forest.edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return spark.range(0, len(units), 1, len(units)).mapInArrow(compare, "a long, b long")
+    return spark.range(0, len(units), 1, len(units)).mapInArrow(C.released(compare), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
         yield from rows
 
     t = F.xxhash64(docs[text_col].cast("string"))
-    found = C.materialize(docs.select(docs[id_col].alias("id"), t.alias("t"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, t long, fp long, m1 long, m2 long, m3 long, key long, p long, at long, n long"), "classes")
+    found = C.materialize(docs.select(docs[id_col].alias("id"), t.alias("t"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), f"id {kind}, t long, fp long, m1 long, m2 long, m3 long, key long, p long, at long, n long"), "classes")
     last = F.struct(F.col("id").isNull().alias("none"), "id", "t")
     classes = C.materialize(found.groupBy("key").agg(F.min(last).alias("first"), F.min(F.struct("p", "at", "n", "fp", "m1", "m2", "m3")).alias("place")).select("key", "first", "place.*"), "classes")
     root = components(near_links(classes, radius, wide, texts, shingle, similarity))

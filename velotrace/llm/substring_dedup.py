@@ -366,19 +366,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def route(rows: DataFrame, work, kind: str) -> None:
         """Rows to their buckets, work there, its results back to their partitions' files."""
-        back = rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(work, "p long, bucket long, blob binary")
+        back = rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(C.released(work), "p long, bucket long, blob binary")
         back.repartitionById(buckets, F.pmod("p", F.lit(buckets)).cast("int")).mapInArrow(_store(uri, kind), "p long").write.format("noop").mode("overwrite").save()
 
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    route(source.mapInArrow(send_anchors, "bucket long, p long, blob binary"), find_recurring, "anchors")
+    route(source.mapInArrow(C.released(send_anchors), "bucket long, p long, blob binary"), find_recurring, "anchors")
     fs, path = C.open_fs(uri)
     places = sorted(int(m[1]) for f in fs.get_file_info(pafs.FileSelector(path)) if (m := re.fullmatch(r"docs-(\d+)\.parquet", f.base_name)))
     schema = f"doc_id {id_kind}, n_words long, n_removed long, kept_sha256 string" + ", text string, spans array<struct<start:long,stop:long>>" * with_text
     if not places:
         return spark.createDataFrame([], schema)
     parts = spark.range(0, max(places) + 1, 1, max(places) + 1).where(F.col("id").isin(places)) if len(places) <= max(places) else spark.range(0, len(places), 1, len(places))
-    route(parts.mapInArrow(send_contexts, "bucket long, p long, blob binary"), confirm_phrases, "phrases")
-    return parts.mapInArrow(locate, schema)
+    route(parts.mapInArrow(C.released(send_contexts), "bucket long, p long, blob binary"), confirm_phrases, "phrases")
+    return parts.mapInArrow(C.released(locate), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

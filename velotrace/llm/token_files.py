@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_i
         yield pa.RecordBatch.from_pydict({"p": [p], "docs": [len(lengths) - 1], "tokens": [int(lengths.sum())], "nulls": [nulls]})
 
     ordered = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    counts = {r.p: (r.docs, r.tokens, r.nulls) for r in ordered.mapInArrow(run, "p long, docs long, tokens long, nulls long").collect()}
+    counts = {r.p: (r.docs, r.tokens, r.nulls) for r in ordered.mapInArrow(C.released(run), "p long, docs long, tokens long, nulls long").collect()}
     rows = np.array([counts[p] for p in sorted(counts)], np.int64).reshape(-1, 3)
     before = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(rows[:, :2], 0)])[:-1] if len(rows) else np.zeros((0, 2), np.int64)
     manifest = np.hstack([rows, before])
@@ -92,7 +92,7 @@ def read_tokens(spark: SparkSession, uri: str, parts: int, dtype: str) -> DataFr
 
     if not parts:
         return spark.createDataFrame([], READ)
-    return spark.range(0, parts, 1, parts).mapInArrow(run, READ)
+    return spark.range(0, parts, 1, parts).mapInArrow(C.released(run), READ)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

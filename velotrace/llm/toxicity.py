@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             yield pa.RecordBatch.from_arrays([C.column(batch, "id"), C.column(batch, "y"), pa.array([h[b - n : b].tobytes() for b, n in zip(ends, counts)], pa.binary())], ["id", "y", "h"])
 
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-    got = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, y int, h binary").toArrow().sort_by([("id", "ascending")])
+    got = texts.mapInArrow(C.released(run), f"id {texts.schema['id'].dataType.simpleString()}, y int, h binary").toArrow().sort_by([("id", "ascending")])
     return train([np.frombuffer(x, np.int32).reshape(-1, len(PARTS)) for x in got["h"].to_pylist()], np.asarray(got["y"].to_pylist(), np.int64))
 
 
@@ -243,11 +243,11 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in C.slices(batches, limit=C.SLICE_BYTES // 4):
+        for batch in C.slices(batches, limit=C.SLICE_BYTES // 2):
             yield pa.RecordBatch.from_arrays([C.column(batch, "id"), pa.array(shared.value.score(*word_rows(C.column(batch, "text").to_pylist())))], ["doc_id", "score"])
 
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['id'].dataType.simpleString()}, score double")
+    return source.mapInArrow(C.released(run), f"doc_id {source.schema['id'].dataType.simpleString()}, score double")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
