@@ -38,7 +38,7 @@ ANCHOR = 8
 #: Anchors, and bytes of contexts, that a task gathers before it sends them on.
 ANCHORS_AT_ONCE, CONTEXT_BYTES = 2_000_000, 48 << 20
 #: Nodes and distinct words of one automaton.
-SHARD_NODES, SHARD_WORDS = 2_000_000, 260_000
+SHARD_NODES, SHARD_WORDS = 4_000_000, 260_000
 #: Characters of a word's code, each one of 64.
 LETTERS = 3
 #: A word that no phrase of a shard has; one character, where other words have LETTERS.
