@@ -31,6 +31,14 @@ def test_equals_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(ORACLES[name]).df())
 
 
+def test_thresholds_of_all_rows(spark, duck):
+    """The registered SQL has only every 20th frame; here it is taken without that filter."""
+    sql = ORACLES["overtake_thresholds"].replace(" WHERE frame % 20 = 0", "")
+    got = QUERIES["overtake_thresholds"](spark, SF).toPandas()
+    assert rows(got) == rows(duck.execute(sql).df())
+    assert len(got[["track_id", "frame"]].drop_duplicates()) == duck.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
 @pytest.mark.parametrize("name", ["vif", "feature_selection", "pca_variance", "kmeans_sizes", "simplification_sweep"])
 def test_others_run(spark, name):
     assert QUERIES[name](spark, SF).count()

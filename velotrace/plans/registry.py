@@ -275,7 +275,7 @@ def overtake_windows(spark, sf_dir):
 
 @query("overtake_thresholds", f"{T}, l AS (SELECT track_id, frame, translation_y AS lat_z FROM traj WHERE frame % 20 = 0) SELECT track_id, frame, k AS k, round(ths[k], 6) AS threshold FROM (SELECT *, {O.THRESHOLDS} AS ths FROM l), unnest(generate_series(1, len(ths))) AS u(k)")
 def overtake_thresholds(spark, sf_dir):
-    df = trajectories(spark, sf_dir).where("frame % 20 = 0").select("track_id", "frame", F.posexplode(M.thresholds(F.col("translation_y"))).alias("k", "threshold"))
+    df = trajectories(spark, sf_dir).select("track_id", "frame", F.posexplode(M.thresholds(F.col("translation_y"))).alias("k", "threshold"))
     return rounded(df.withColumn("k", (F.col("k") + 1).cast("long")))
 
 
