@@ -4,9 +4,11 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from velotrace.plans import registry
 from velotrace.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +41,32 @@ def test_thresholds_of_all_rows(spark, duck):
     assert len(got[["track_id", "frame"]].drop_duplicates()) == duck.execute("SELECT count(*) FROM events").fetchone()[0]
 
 
+def test_embeddings_are_whole(spark):
+    """Scaling, PCA and metrics of all 64 components against NumPy; the registered SQL has the first 8."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, lab = np.array(e.embedding.tolist(), float), e.label.to_numpy()
+    z = (x - x.mean(0)) / x.std(0)
+    got = QUERIES["zscore"](spark, SF).toPandas().sort_values("vec_id")
+    assert np.allclose(got[[f"e{k}" for k in range(64)]], z, atol=2e-6)
+    assert len(registry._vectors(spark, SF).first().features) == 64
+    share = np.sort(np.linalg.eigvalsh(np.cov(z.T)))[::-1] / 64 * (len(z) - 1) / len(z)
+    n = int(np.searchsorted(np.cumsum(share), 0.95 - 1e-12) + 1)
+    assert np.allclose(QUERIES["pca_variance"](spark, SF).toPandas().sort_values("component").variance, share[:n], atol=1e-4)
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    mean = {c: d[:, lab == c].sum(1) / np.maximum((lab == c).sum() - (lab == c), 1) for c in set(lab)}
+    a = np.array([mean[c][i] for i, c in enumerate(lab)])
+    b = np.array([min(m[i] for k, m in mean.items() if k != c) for i, c in enumerate(lab)])
+    got = QUERIES["silhouette"](spark, SF).toPandas().sort_values("vec_id")
+    assert np.allclose(got.s, (b - a) / np.maximum(a, b), atol=2e-6)
+    c = {k: x[lab == k].mean(0) for k in mean}
+    within = {k: ((x[lab == k] - c[k]) ** 2).sum(1) for k in c}
+    ch = sum((lab == k).sum() * ((c[k] - x.mean(0)) ** 2).sum() for k in c) / (len(c) - 1) / (sum(w.sum() for w in within.values()) / (len(x) - len(c)))
+    spread = {k: np.sqrt(w).mean() for k, w in within.items()}
+    db = np.mean([max((spread[i] + spread[j]) / np.linalg.norm(c[i] - c[j]) for j in c if j != i) for i in c])
+    row = QUERIES["ch_db"](spark, SF).first()
+    assert np.allclose([row.calinski_harabasz, row.davies_bouldin], [ch, db], atol=2e-6) and row.n_clusters == len(c)
+
+
 @pytest.mark.parametrize("name", ["vif", "feature_selection", "pca_variance", "kmeans_sizes", "simplification_sweep"])
 def test_others_run(spark, name):
     assert QUERIES[name](spark, SF).count()

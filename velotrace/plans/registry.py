@@ -387,11 +387,13 @@ def regime_aggregation(spark, sf_dir):
     return rounded(W.aggregate_regimes(regime_sequence(spark, sf_dir).withColumn("volatile", F.col("local_regime") == 1)))
 
 
-_DIMS = [f"e{k}" for k in range(8)]
+#: The whole embedding, and the columns of the correlations and VIFs.
+_DIMS = [f"e{k}" for k in range(64)]
+_FIRST = _DIMS[:8]
 _EMB = f"WITH x AS (SELECT vec_id, label, {', '.join(f'CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}' for k in range(8))} FROM embeddings)"
 
 
-def _embeddings(spark, sf_dir, dims: int = 8) -> DataFrame:
+def _embeddings(spark, sf_dir, dims: int = 64) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(dims)])
 
 
@@ -402,20 +404,20 @@ def zscore(spark, sf_dir):
 
 @query("corr_pairs", f"{_EMB} " + " UNION ALL ".join(f"SELECT 'e{i}' AS a, 'e{j}' AS b, {O.R(f'corr(e{i}, e{j})', 'corr')} FROM x" for j in range(8) for i in range(j)))
 def corr_pairs(spark, sf_dir):
-    return rounded(L.correlations(_embeddings(spark, sf_dir), _DIMS))
+    return rounded(L.correlations(_embeddings(spark, sf_dir, 8), _FIRST))
 
 
 @query("vif")
 def vif(spark, sf_dir):
-    found = L.vif(_embeddings(spark, sf_dir), _DIMS)
+    found = L.vif(_embeddings(spark, sf_dir, 8), _FIRST)
     return rounded(spark.createDataFrame(list(found.items()), "feature string, vif double"))
 
 
 @query("feature_selection")
 def feature_selection(spark, sf_dir):
-    df = _embeddings(spark, sf_dir).withColumn("e8", F.col("e0") * 2 + 0.001 * F.col("e1"))
-    dropped = L.select_features(df, [*_DIMS, "e8"])
-    return spark.createDataFrame([(c, c in dropped) for c in [*_DIMS, "e8"]], "feature string, dropped boolean")
+    df = _embeddings(spark, sf_dir, 8).withColumn("e8", F.col("e0") * 2 + 0.001 * F.col("e1"))
+    dropped = L.select_features(df, [*_FIRST, "e8"])
+    return spark.createDataFrame([(c, c in dropped) for c in [*_FIRST, "e8"]], "feature string, dropped boolean")
 
 
 @query("pca_variance")
