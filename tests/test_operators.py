@@ -1,5 +1,6 @@
 """Operators on hand-made tracks and against NumPy."""
 
+import inspect
 import math
 
 import numpy as np
@@ -12,6 +13,7 @@ from velotrace.operators import interactions as I
 from velotrace.operators import learning as L
 from velotrace.operators import maneuvers as M
 from velotrace.operators import windows as W
+from velotrace.plans.registry import QUERIES
 from velotrace.sources import tracks as T
 
 COLS = "track_id long, frame long, category int, translation_x double, translation_y double, velocity_x double, velocity_y double, acceleration_x double, acceleration_y double, rotation_z double"
@@ -185,6 +187,44 @@ def test_clustering_pipeline(spark):
     assert L.split_columns(["a_mean", "b_std", "c_max"]) == (["a_mean", "c_max"], ["b_std"])
 
 
+def test_auto_k_and_stability(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.5, (20, 2)) for c in (0, 9, 18)])
+    df = L.feature_matrix(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double"), ["a", "b"])[0].select("id", "features")
+    real, asked = L.kmeans, []
+    # Fitted with two restarts, to be quick; what was asked for is kept.
+    monkeypatch.setattr(L, "kmeans", lambda d, k, seed=0, restarts=L.RESTARTS: asked.append(restarts) or real(d, k, seed, 2))
+    best, costs, scores = L.auto_k(df, range(2, 5))
+    assert len(costs) == len(scores) == 3 and int(np.argmax(scores)) == 1 and best == min(3, range(2, 5)[int(np.argmin(np.gradient(costs)))])
+    found = L.stability(df, 3, runs=2)
+    assert [m for m, *_ in found] == ["ari_subsample", "ari_seed", "ari_noise"] and all(v == [1.0] * 3 for _, *v in found)
+    assert asked == [L.RESTARTS] * (3 + 1 + 2 * 4) and L.RESTARTS == 20
+
+
+def test_registered_restarts(spark, monkeypatch):
+    """The registered queries ask for as many runs and restarts as the reference."""
+    asked = {}
+
+    def keep(name, result):
+        f = getattr(L, name)
+
+        def kept(*a, **b):
+            given = inspect.signature(f).bind(*a, **b)
+            given.apply_defaults()
+            asked[name] = given.arguments
+            return result
+
+        monkeypatch.setattr(L, name, kept)
+
+    keep("stability", [("ari_seed", 1.0, 1.0, 1.0)])
+    keep("auto_k", (2, [1.0] * 4, [1.0] * 4))
+    real, restarts = L.kmeans, []
+    monkeypatch.setattr(L, "kmeans", lambda d, k, seed=0, restarts_=L.RESTARTS, **more: restarts.append(more.get("restarts", restarts_)) or real(d, k, seed, 1))
+    for name in ("stability", "auto_k", "kmeans_sizes", "window_regimes"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked["stability"]["runs"] == 30 and asked["stability"]["restarts"] == asked["auto_k"]["restarts"] == 20 and restarts == [20, 20]
+
+
 def test_interaction_files_and_slices(spark, tmp_path):
     t = tracks(spark, (1, 3, range(50), 0, 0, 4), (2, 3, range(50), 5, 0, 4))
     found = I.interactions(t, 3, 3, 10.0)

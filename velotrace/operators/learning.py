@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 MAGNITUDE, VOLATILITY = ("min", "max", "mean"), ("std", "mad", "qcv", "cv", "var")
 RESTARTS = 20
+#: Fits that run at a time.
+SIDE_BY_SIDE = 8
 
 
 def split_columns(names: list[str]) -> tuple[list[str], list[str]]:
@@ -114,10 +118,13 @@ class SplitReducer:
 
 
 def kmeans(df: DataFrame, k: int, seed: int = 0, restarts: int = RESTARTS):
-    """The model of the least cost over restarts, on vector column `features`."""
+    """The model of the least cost over restarts, the first of equals, on vector column `features`. Restarts run side by side."""
     df = df.select("features").cache()
     try:
-        return min((KMeans(k=k, seed=seed + r, featuresCol="features").fit(df) for r in range(restarts)), key=lambda m: m.summary.trainingCost)
+        df.count()  # cached before the first restarts
+        with ThreadPool(min(restarts, SIDE_BY_SIDE)) as pool:
+            models = pool.map(lambda r: KMeans(k=k, seed=seed + r, featuresCol="features").fit(df), range(restarts))
+        return min(models, key=lambda m: m.summary.trainingCost)
     finally:
         df.unpersist()
 
@@ -171,7 +178,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return row.select(F.coalesce(F.try_divide(F.col("s") - expected, top - expected), F.lit(1.0)).alias("ari"))
 
 
-def auto_k(df: DataFrame, ks: range, seed: int = 0, restarts: int = 3) -> tuple[int, list[float], list[float]]:
+def auto_k(df: DataFrame, ks: range, seed: int = 0, restarts: int = RESTARTS) -> tuple[int, list[float], list[float]]:
     """min(elbow, best silhouette) over ks on vector column `features` with a key `id`; also costs and mean silhouettes."""
     costs, scores = [], []
     for k in ks:
@@ -183,7 +190,7 @@ def auto_k(df: DataFrame, ks: range, seed: int = 0, restarts: int = 3) -> tuple[
     return min(elbow, ks[int(np.argmax(scores))]), costs, scores
 
 
-def stability(df: DataFrame, k: int, runs: int = 30, share: float = 0.8, noise: float = 0.05, seed: int = 0, restarts: int = 1) -> list[tuple[str, float, float, float]]:
+def stability(df: DataFrame, k: int, runs: int = 30, share: float = 0.8, noise: float = 0.05, seed: int = 0, restarts: int = RESTARTS) -> list[tuple[str, float, float, float]]:
     """(metric, median, p10, p90) of ARI under a subsample, another seed and Gaussian noise; vector column `features` and key `id`."""
     v = vector_to_array("features")
     dims = len(df.select(v).first()[0])

@@ -434,19 +434,19 @@ def _vectors(spark, sf_dir) -> DataFrame:
 @query("kmeans_sizes")
 def kmeans_sizes(spark, sf_dir):
     df = _vectors(spark, sf_dir)
-    model = L.kmeans(df, 4, restarts=5)
+    model = L.kmeans(df, 4)
     return L.cluster_sizes(model.transform(df).select(F.col("prediction").alias("label")))
 
 
 @query("auto_k")
 def auto_k(spark, sf_dir):
-    best, costs, scores = L.auto_k(_vectors(spark, sf_dir), range(2, 6), restarts=2)
+    best, costs, scores = L.auto_k(_vectors(spark, sf_dir), range(2, 6))
     return rounded(spark.createDataFrame([(k, float(c), float(s), k == best) for k, c, s in zip(range(2, 6), costs, scores)], "k int, cost double, silhouette double, chosen boolean"), 4)
 
 
 @query("stability")
 def stability(spark, sf_dir):
-    return rounded(spark.createDataFrame(L.stability(_vectors(spark, sf_dir), 3, runs=2), "metric string, median double, p10 double, p90 double"), 4)
+    return rounded(spark.createDataFrame(L.stability(_vectors(spark, sf_dir), 3, runs=30), "metric string, median double, p10 double, p90 double"), 4)
 
 
 _DIST = "sqrt(" + " + ".join(f"(a.e{k} - b.e{k}) ** 2" for k in range(8)) + ")"
@@ -496,7 +496,7 @@ def window_regimes(spark, sf_dir):
     rows = W.rotation_fluctuation(_slice(spark, sf_dir), [*W.ID, "track_id"], ["frame"])
     features = W.riding_features(W.window_rows(rows, W.ID), W.ID)
     names = [c for c in features.columns if c not in (*W.ID, "w")]
-    pipeline = L.ClusteringPipeline(names, 2, L.Reducer(names, 0.8), restarts=3)
+    pipeline = L.ClusteringPipeline(names, 2, L.Reducer(names, 0.8))
     labelled = pipeline.run(features)
     mapping = W.regime_map(pipeline.centers(spark), names)
     regimes = labelled.join(F.broadcast(mapping), "cluster_id").select(F.struct(*W.ID).alias("maneuver_id"), "w", (F.col("regime") == "volatile").alias("volatile"))
