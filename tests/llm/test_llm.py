@@ -368,6 +368,17 @@ def test_html():
     assert "x" in html_text.main_text("<article>" + "<b>" * 5000 + "x")
 
 
+def test_html_without_article():
+    """Short lines in mid-article part no page of divs."""
+    para = "Some running words of the text that go on for a while. " * 3
+    short = "<ul><li>a</li><li>b</li><li>c</li><li>d</li></ul><h2>Sub</h2><pre>x = 1</pre><figure><img><figcaption>Cap</figcaption></figure>"
+    want = f"{para.strip()} a b c d Sub x = 1 Cap {para.strip()}"
+    menu = "<ul class='menu'><li><a href='/'>Home</a></li></ul>"
+    assert html_text.main_text(f"<body>{menu}<div><p>{para}</p>{short}<p>{para}</p></div><footer>f</footer></body>") == want
+    assert html_text.main_text(f"<body>{menu}<div><p>{para * 2}</p>{short}<p>{para}</p>{short}<p>{para}</p></div></body>").count("x = 1") == 2
+    assert html_text.main_text("<div><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>Five.</p></div>") == "One. Two. Three. Four. Five."
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html", F.lit(1).alias("text"))
     for r in html_text.extract(pages, keep=("page_id", "html")).collect():

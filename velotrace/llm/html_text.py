@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block of the page, each with the length of its text outside links. The sums
 over sliding windows of lines show where text surges and where it dives; the text between is kept. Elements that are
 never running text (scripts, menus, forms, ...) are stripped with their content first. Where the stretch found lies in
-an article or main element, it takes up the short lines at that element's ends, such as its heading.
+an article or main element, it takes up the short lines at that element's ends, such as its heading; elsewhere all
+stretches are kept, with the short lines between them.
 """
 
 from __future__ import annotations
@@ -122,16 +123,19 @@ def main_text(page: str | None, window: int = LINES, surge: int = SURGE) -> str:
             stretches.append((start, i))
             start = None
     if not stretches:
-        best = max(range(len(size)), key=lambda i: (lines[i][2] > 0, sums[i]))
-        stretches = [(best, best + 1)]
+        some = [i for i, n in enumerate(size) if n and lines[i][2]] or [i for i, n in enumerate(size) if n] or [max(range(len(size)), key=lambda i: lines[i][2] > 0)]
+        stretches = [(some[0], some[-1] + 1)]
     lo, hi = max(stretches, key=lambda x: sum(size[x[0] : x[1]]))
+    inner = range(lo, hi)
+    if not any(lines[i][2] for i in inner):
+        lo, hi = stretches[0][0], stretches[-1][1]
     # A surge may begin or a dive end on a menu line beside the text.
     while lo < hi - 1 and not size[lo]:
         lo += 1
     while lo < hi - 1 and not size[hi - 1]:
         hi -= 1
     weight: dict[int, int] = {}
-    for text, n, home in lines[lo:hi]:
+    for _, n, home in lines[inner.start : inner.stop]:
         weight[home] = weight.get(home, 0) + n
     home = max(weight, key=lambda h: (h > 0, weight[h]))
     if home:
