@@ -379,6 +379,25 @@ def test_html_without_article():
     assert html_text.main_text("<div><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>Five.</p></div>") == "One. Two. Three. Four. Five."
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "long-form", "post-tags", "hidden md:block", "comments", "with-widgets menu"])
+def test_html_wrappers_stay(name):
+    """An element of a furniture word that holds the article, or most of the text, is kept."""
+    text = "Some running words of the text that go on for a while. " * 4
+    want = f"{text.strip()} {text.strip()}"
+    paras = f"<p>{text}</p><p>{text}</p>"
+    for home in ("main", "article"):
+        assert html_text.main_text(f"<body><nav>n</nav><div class='{name}'><{home}>{paras}</{home}></div><footer>f</footer></body>") == want
+    assert html_text.main_text(f"<body><div class=\"{name}\">{paras}</div></body>") == want
+
+
+def test_html_furniture_beside_goes():
+    text = "Some running words of the text that go on for a while. " * 4
+    for name in ("comments", "sidebar", "sidebar-left", "related-posts", "cookie-notice"):
+        for page in (f"<article><p>{text}</p></article><div class='{name}'><p>{text * 3}</p></div>", f"<main><div class='{name}'><p>{text}</p></div><article><p>{text}</p></article></main>"):
+            assert html_text.main_text(page) == text.strip()
+    assert html_text.main_text("<p hidden class='a'>no</p><p hidden='until-found'>no</p><p class='hidden'>yes</p>") == "yes"
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html", F.lit(1).alias("text"))
     for r in html_text.extract(pages, keep=("page_id", "html")).collect():

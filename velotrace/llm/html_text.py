@@ -29,20 +29,51 @@ FURNITURE = frozenset(
     "aside widget widgets cookie cookies notice notices consent gdpr popup modal overlay newsletter subscribe subscription signup login search searchbox form comment comments commentlist disqus reply replies "
     "respond share sharing social related recommended recommendations toolbar pagination pager copyright alert announcement skip contentinfo complementary tags".split()
 )
+#: Words of these that also stand in names of layouts and kinds of article count only as a whole name, or beside a place.
+AMBIGUOUS = frozenset("sidebar aside form tags search banner overlay header".split())
+_PLACES = re.compile(r"(?:(?:left|right|primary|secondary|site)-)?([a-z]+)(?:-(?:left|right|primary|secondary|[0-9]+))?")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^>]*>)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_VALUES = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+_UNSEEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HOME = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+_UNREAD = frozenset("a script style nav footer aside form head noscript template".split())
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> bool:
+def _dropped(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element goes with all its content, by its tag or as it is hidden."""
     if tag in DROPPED or tag == "header" and not inside:
         return True
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    words = {w for _, value in _NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())}
-    return bool(words & FURNITURE) or not inside and "header" in words
+    return bool(_HIDDEN.search(_VALUES.sub("= ", attributes)) or _UNSEEN.search(attributes))
+
+
+def _furniture(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element's class, id or role names furniture."""
+    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+        return False
+    for _, value in _NAMES.findall(attributes):
+        for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().strip("\"'").split():
+            words = set(re.split(r"[^a-z0-9]+", name))
+            placed = _PLACES.fullmatch(re.sub(r"[^a-z0-9]+", "-", name).strip("-"))
+            words = words - AMBIGUOUS | ({placed[1]} if placed else set())
+            if words & FURNITURE or not inside and "header" in words:
+                return True
+    return False
+
+
+def _letters(page: str) -> int:
+    """Characters of text outside links and elements that are never text, near enough to compare parts of a page; one pass."""
+    n, at, off = 0, 0, ""
+    for m in _TOKEN.finditer(page):
+        if not off:
+            n += len("".join(page[at : m.start()].split()))
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in _UNREAD and (off == tag if m[1] else not off):
+            off = "" if m[1] else tag
+    return n if off else n + len("".join(page[at:].split()))
 
 
 def _closing(page: str, tag: str, start: int) -> int | None:
@@ -61,6 +92,18 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked, link, at, homes, n_homes = 0, False, 0, [], 0
+    last_home = max((m.start() for m in _HOME.finditer(page)), default=-1)
+    whole = -1  # letters of the page, once they are asked for
+
+    def holds_text(part: str, end: int) -> bool:
+        """Whether the element before `end` holds an article or main element or, where none lies beside it, most of the page's text."""
+        nonlocal whole
+        if _HOME.search(part):
+            return True
+        if n_homes > len(homes) or last_home >= end:
+            return False
+        whole = _letters(page) if whole < 0 else whole
+        return 2 * _letters(part) > whole
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -83,9 +126,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if not m[1] and tag not in VOID and not m[0].endswith("/>") and _furniture(tag, m[3] or "", bool(homes)):
+        if not m[1] and tag not in VOID and not m[0].endswith("/>") and ((sure := _dropped(tag, m[3] or "", bool(homes))) or _furniture(tag, m[3] or "", bool(homes))):
             close()
             end = _closing(page, tag, at)
+            if not sure and end is not None and holds_text(page[at:end], end):
+                end = None
             if end is None and tag in ("script", "style", "footer", "noscript", "textarea"):
                 end = len(page)
             if end is not None:
