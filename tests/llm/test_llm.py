@@ -429,6 +429,17 @@ def test_toxicity(spark):
     assert toxicity.fit(df, labels.limit(0)).score(*toxicity.word_rows(["x y"]))[0] < toxicity.VERDICT
 
 
+def test_toxicity_calibrates_on_all_labels(spark, monkeypatch):
+    rng = random.Random(4)
+    words, bad = [f"ord{k}" for k in range(200)], ["vilestuff", "nastybit", "vilething"]
+    rows = [(k, " ".join(rng.choices(words, k=20) + bad * (k % 5 == 0)), int(k % 5 == 0)) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen, real = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, lang, x, y, n: seen.append((int(y.sum()), int(n.sum()))) or real(m, lang, x, y, n))
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"), sample=100)
+    assert len(model.used) == 80 and seen[0][1] == 400 - 80 and seen[0][0] >= 10
+
+
 def test_pipeline(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     source = spark.read.parquet(f"{SF}/documents.parquet")

@@ -60,6 +60,10 @@ def _language_table() -> np.ndarray:
     return table
 
 
+#: Of the histograms for calibration: bins for each unit of the logit, and the farthest logit.
+BINS, FARTHEST = 256, 50
+
+
 @dataclass
 class Model:
     embedding: np.ndarray = field(default_factory=lambda: np.zeros((len(PARTS) << BUCKET_BITS, DIM), np.float32))
@@ -70,6 +74,8 @@ class Model:
     #: Threshold on the logit by language number.
     threshold: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
     language: np.ndarray = field(default_factory=_language_table)
+    #: Numbers of the texts that the fit has used.
+    used: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def pooled(self, h: np.ndarray, counts: np.ndarray, places: bool = False):
         """Max-pooled, rectified filter outputs of each text: (texts, widths x filters); with `places` also where each maximum stands and the padded embeddings' rows."""
@@ -120,7 +126,7 @@ class Model:
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Adagrad on the logistic loss, toxic texts weighted up to the square root of the classes' ratio; the last fifth is for calibration."""
+    """Adagrad on the logistic loss, toxic texts weighted up to the square root of the classes' ratio; the last fifth is left for calibration."""
     rng, m = np.random.default_rng(seed), Model()
     m.filters = [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     m.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
@@ -131,7 +137,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: in
         m.shift = -3.0 if not n or labels.max() == 0 else 3.0
         return m
     order = rng.permutation(n)
-    fit, rest = order[: max(1, n * 4 // 5)], order[n * 4 // 5 :]
+    fit = order[: max(1, n * 4 // 5)]
+    m.used = fit.copy()
     seen = np.zeros(len(PARTS) << BUCKET_BITS, np.int64)
     for d in fit:
         seen[np.unique(texts[d])] += 1
@@ -183,16 +190,15 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: in
                 total = (total + 1e-5 * m.embedding[touched]) * live[touched]
                 speed["e"][touched] += total**2
                 m.embedding[touched] -= RATE * total / np.sqrt(speed["e"][touched])
-    calibrate(m, [texts[d] for d in rest], labels[rest])
     return m
 
 
-def _best_threshold(x: np.ndarray, y: np.ndarray) -> float:
-    """Of all cuts between neighbouring logits, the one with the greatest F1; of equals the one in the widest gap; 0 if none reaches an F1 of a half."""
+def _best_threshold(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Of all cuts between neighbouring logits x, with y toxic of n texts each, the one with the greatest F1; of equals the one in the widest gap; 0 if none reaches an F1 of a half."""
     order = np.argsort(-x, kind="stable")
-    x, y = x[order], y[order]
+    x, y, n = x[order], y[order], n[order]
     hit = np.cumsum(y)
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    f1 = 2 * hit / (np.cumsum(n) + y.sum())
     gap = np.append(-np.diff(x), 1.0)
     f1[gap <= 0] = -1
     if f1.max() < 0.5:
@@ -202,25 +208,39 @@ def _best_threshold(x: np.ndarray, y: np.ndarray) -> float:
     return float(x[k] - gap[k] / 2)
 
 
-def calibrate(m: Model, texts: list[np.ndarray], labels: np.ndarray) -> None:
-    """A threshold for each language with 10 toxic and 10 other texts or more; the others share one over all."""
-    if not len(texts) or labels.min() == labels.max():
+def calibrate(m: Model, lang: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+    """From histograms by language (y toxic of n texts at logit x): a threshold for each language with 10 toxic and 10 other texts or more; the others share one over all."""
+    if not y.sum() or y.sum() == n.sum():
         return
-    counts = np.fromiter(map(len, texts), np.int64, len(texts))
-    h = np.concatenate(texts)
-    x, lang = m.logits(h, counts).astype(float), m.languages(h, counts)
-    m.threshold[:] = _best_threshold(x, labels)
+    values, place = np.unique(x, return_inverse=True)
+    m.threshold[:] = _best_threshold(values, np.bincount(place, y), np.bincount(place, n))
     for k in range(len(LANGUAGES)):
         own = lang == k
-        if min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= 10:
-            m.threshold[k] = _best_threshold(x[own], labels[own])
+        if min(y[own].sum(), (n - y)[own].sum()) >= 10:
+            m.threshold[k] = _best_threshold(x[own], y[own], n[own])
+
+
+def histograms(docs: DataFrame, known: DataFrame, used: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """(lang, bin, y, n): toxic and all labelled rows by language and logit, without the ids in `used`. Documents are scored before the join, so that no text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in C.slices(batches, limit=C.SLICE_BYTES // 2):
+            h, counts = word_rows(C.column(batch, "text").to_pylist())
+            bins = np.rint(np.clip(shared.value.logits(h, counts).astype(float), -FARTHEST, FARTHEST) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([C.column(batch, "id"), pa.array(shared.value.languages(h, counts).astype(np.int32)), pa.array(bins)], ["id", "lang", "bin"])
+
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL")
+    scored = source.mapInArrow(C.released(run), f"id {source.schema['id'].dataType.simpleString()}, lang int, bin int")
+    rest = scored.join(known, "id").join(F.broadcast(used), "id", "left_anti")
+    return rest.groupBy("lang", "bin").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most `sample` labelled rows with a document. Numbers of embedding rows, 12 bytes a word, come to the driver; a null label or id is no label; an id labelled more than once counts by its largest label."""
+    """Train on at most `sample` labelled rows with a document and calibrate on all others; of these, histograms come to the driver. Numbers of embedding rows, 12 bytes a word, come to the driver; a null label or id is no label; an id labelled more than once counts by its largest label."""
     C.bound_batches(docs.sparkSession)
-    chosen = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = C.materialize(chosen, "sample")
+    known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    chosen = C.materialize(known.orderBy(F.xxhash64("id"), "id").limit(sample), "sample")
 
     def run(batches):
         for batch in C.slices(batches):
@@ -230,7 +250,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
     got = texts.mapInArrow(C.released(run), f"id {texts.schema['id'].dataType.simpleString()}, y int, h binary").toArrow().sort_by([("id", "ascending")])
-    return train([np.frombuffer(x, np.int32).reshape(-1, len(PARTS)) for x in got["h"].to_pylist()], np.asarray(got["y"].to_pylist(), np.int64))
+    model = train([np.frombuffer(x, np.int32).reshape(-1, len(PARTS)) for x in got["h"].to_pylist()], np.asarray(got["y"].to_pylist(), np.int64))
+    if len(model.used):
+        used = docs.sparkSession.createDataFrame([(i,) for i in set(got["id"].take(pa.array(model.used)).to_pylist())], texts.select("id").schema)
+        found = histograms(docs, known, used, model, id_col, text_col).toArrow()
+        calibrate(model, *(f(found[c].to_numpy()) for c, f in (("lang", np.asarray), ("bin", lambda b: b / BINS), ("y", np.asarray), ("n", np.asarray))))
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
