@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from velotrace.llm import common as C
-from velotrace.llm import decontamination, html_text, line_dedup, packing, quality, sharding, simhash, substring_dedup, token_files, tokens, toxicity
+from velotrace.llm import decontamination, html_text, line_dedup, packing, quality, sharding, simhash, substring_dedup, token_files, tokens
 from velotrace.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -409,37 +409,6 @@ def test_html_pages(spark):
     assert [r.text for r in html_text.extract(odd).collect()] == ["", "", ""]
 
 
-def test_toxicity(spark):
-    rng = random.Random(3)
-    words, bad = [f"ord{k}" for k in range(300)], ["vilestuff", "nastybit", "vilething"]
-    rows = []
-    for k in range(600):
-        w, y = rng.choices(words, k=rng.randrange(5, 60)), k % 5 == 0
-        if y:
-            for _ in range(2):
-                w.insert(rng.randrange(len(w)), rng.choice(bad))
-        rows.append((k, " ".join(w), int(y)))
-    df = spark.createDataFrame([(k, t, 0.5) for k, t, _ in rows] + [(9001, None, 0.1), (9002, "", 0.1), (9002, " . ", 0.1), (None, "vilestuff nastybit", 0.1)], "doc_id long, text string, score double")
-    labels = spark.createDataFrame([(k, y) for k, _, y in rows if k % 4] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
-    got = {r.doc_id: r.score for r in toxicity.toxicity(df, toxicity.fit(df, labels)).collect()}
-    held = [(got[k] >= toxicity.VERDICT, y) for k, _, y in rows if k % 4 == 0]
-    assert np.mean([a == bool(b) for a, b in held]) > 0.95
-    assert got[9001] == got[9002] == 0 and got[None] >= toxicity.VERDICT and all(0 <= s <= 1 for s in got.values())
-    assert toxicity.toxicity(empty(spark), toxicity.train([], np.zeros(0, np.int64))).count() == 0
-    assert toxicity.fit(df, labels.limit(0)).score(*toxicity.word_rows(["x y"]))[0] < toxicity.VERDICT
-
-
-def test_toxicity_calibrates_on_all_labels(spark, monkeypatch):
-    rng = random.Random(4)
-    words, bad = [f"ord{k}" for k in range(200)], ["vilestuff", "nastybit", "vilething"]
-    rows = [(k, " ".join(rng.choices(words, k=20) + bad * (k % 5 == 0)), int(k % 5 == 0)) for k in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    seen, real = [], toxicity.calibrate
-    monkeypatch.setattr(toxicity, "calibrate", lambda m, lang, x, y, n: seen.append((int(y.sum()), int(n.sum()))) or real(m, lang, x, y, n))
-    model = toxicity.fit(df.drop("toxic"), df.drop("text"), sample=100)
-    assert len(model.used) == 80 and seen[0][1] == 400 - 80 and seen[0][0] >= 10
-
-
 def test_pipeline(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     source = spark.read.parquet(f"{SF}/documents.parquet")

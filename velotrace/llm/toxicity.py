@@ -1,35 +1,47 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word's embedding is the sum of hashed rows: one for the whole word and one for each of two beginnings of it, so that
-inflected forms share what they have in common and two words share all rows only by rare chance. Filters of several widths slide over the words, each is max-pooled over the whole text, and a logistic
-layer weighs the pools. Thresholds are calibrated per language, which is read off the text's function words.
+A word chooses a hashed embedding row for all of it and one for each of several beginnings, so that inflected forms
+share what they have in common. Its embedding is the sum of these rows; the first component is their evidence, the log
+odds of the label among the training texts that have them, and is counted and not learned. Filters of several widths
+slide over the words, each is max-pooled over the whole text, and a logistic layer weighs the pools. Thresholds are
+calibrated per language, which is read off the text's function words.
 """
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .decontamination import normal_words
 
-#: Labelled rows that training takes at most: those with the smallest hashes of their ids.
-SAMPLE = 10_000
-BUCKET_BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
-EPOCHS, BATCH, RATE = 5, 64, 0.1
-#: Training steps at least, whatever the sample.
-LEAST_STEPS = 150
-#: Buckets that fewer training documents have stay zero.
+#: Labelled rows, and bytes of their texts, that training takes at most: those with the smallest hashes of their ids.
+SAMPLE, SAMPLE_BYTES = 10_000, 48 << 20
+BUCKET_BITS, DIM, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 8
+EPOCHS, BATCH, RATE = 2, 64, 0.1
+#: Training steps at least, whatever the sample; and words of a batch, unless one text has more.
+LEAST_STEPS, BATCH_WORDS = 100, 200_000
+#: Rows that fewer training texts have stay zero.
 LEAST_DOCS = 3
+#: Parts of the sample of which each is scored by a model that has not seen it, for the thresholds.
+FOLDS = 4
 #: Score at which the verdict turns; a language's calibrated threshold is mapped to it.
 VERDICT = 0.3
 PAD = max(WIDTHS) - 1
-#: Parts of a word with a row each: all of it, and its first bytes.
-PARTS = (None, 4, 5)
+#: Words whose embeddings are held at a time.
+BLOCK = 1 << 16
+#: Parts of a word with a row each: all of it, and its first bytes if it is longer than these.
+PARTS = (None, 4, 5, 6, 7, 8)
+ROWS = len(PARTS) << BUCKET_BITS
+_OFFSET = (np.arange(len(PARTS)) << BUCKET_BITS).astype(np.int32)
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on with as be by at this are from or an".split(),
@@ -38,18 +50,22 @@ FUNCTION_WORDS = {
     "es": "el los del las por con para al lo como más pero sus este sí porque esta entre".split(),
 }
 LANGUAGES = ("other", *FUNCTION_WORDS)
+#: Of the histograms for calibration: bins for each unit of the logit, and the farthest logit.
+BINS, FARTHEST = 256, 50
 
 
 def word_rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """For all words of the texts, in order, the embedding rows (words, PARTS) that their parts choose, and the number of words of each text."""
+    """For all words of the texts, in order, the numbers (words, PARTS) of their parts' rows, unsigned 16 bits, 0 for a beginning that the word isn't longer than; and the number of words of each text."""
     words = [normal_words(t) for t in texts]
     data = np.frombuffer(b"".join(b" ".join(w) + b" " for w in words if w), np.uint8)
     ends = np.flatnonzero(data == 32)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    out = np.zeros((len(ends), len(PARTS)), np.int32)
+    out = np.zeros((len(ends), len(PARTS)), np.uint16)
     for k, part in enumerate(PARTS):
         h = C.word_hashes(data, starts, ends if part is None else np.minimum(ends, starts + part))
-        out[:, k] = (h & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32) + (k << BUCKET_BITS)
+        out[:, k] = 1 + h % np.uint64((1 << BUCKET_BITS) - 1)
+        if part is not None:
+            out[ends - starts <= part, k] = 0
     return out, np.fromiter(map(len, words), np.int64, len(words))
 
 
@@ -60,58 +76,66 @@ def _language_table() -> np.ndarray:
     return table
 
 
-#: Of the histograms for calibration: bins for each unit of the logit, and the farthest logit.
-BINS, FARTHEST = 256, 50
+def evidence(seen: np.ndarray, texts: np.ndarray, without: int | None = None) -> np.ndarray:
+    """Of each row a share of its log odds: seen[label] texts of texts[label] have it; `without` a text of that label. Smoothed by one text, 0 for rows of fewer than LEAST_DOCS texts."""
+    own = [np.maximum(seen[k] - (without == k), 0) for k in (0, 1)]
+    toxic = texts[1] / texts.sum()
+    odds = np.log((own[1] + toxic) / (own[0] + 1 - toxic)) - np.log(toxic / (1 - toxic))
+    odds[own[0] + own[1] < LEAST_DOCS] = 0
+    odds.reshape(len(PARTS), -1)[:, 0] = 0
+    return (odds / len(PARTS)).astype(np.float32)
 
 
 @dataclass
 class Model:
-    embedding: np.ndarray = field(default_factory=lambda: np.zeros((len(PARTS) << BUCKET_BITS, DIM), np.float32))
-    filters: list[np.ndarray] = field(default_factory=list)
-    bias: list[np.ndarray] = field(default_factory=list)
-    weight: np.ndarray | None = None
+    evidence: np.ndarray = field(default_factory=lambda: np.zeros(ROWS, np.float32))
+    embedding: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, DIM), np.float32))
+    filters: list[np.ndarray] = field(default_factory=lambda: [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS])
+    bias: list[np.ndarray] = field(default_factory=lambda: [np.zeros(FILTERS, np.float32) for _ in WIDTHS])
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(len(WIDTHS) * FILTERS, np.float32))
     shift: float = 0.0
     #: Threshold on the logit by language number.
     threshold: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
     language: np.ndarray = field(default_factory=_language_table)
-    #: Numbers of the texts that the fit has used.
-    used: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
-    def pooled(self, h: np.ndarray, counts: np.ndarray, places: bool = False):
-        """Max-pooled, rectified filter outputs of each text: (texts, widths x filters); with `places` also where each maximum stands and the padded embeddings' rows."""
-        n = len(counts)
-        first = np.concatenate(([0], np.cumsum(counts)))
-        at = np.arange(len(h)) + np.repeat(np.arange(n) * PAD, counts)
-        x = np.zeros((len(h) + PAD * (n + 1), DIM), np.float32)
-        x[at] = sum(self.embedding[h[:, k]] for k in range(len(PARTS)))
-        # A text's windows start at its words; those that reach past it see zeros.
-        start = first[:-1] + np.arange(n) * PAD
-        some = counts > 0
-        out = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
-        where = np.zeros((n, len(WIDTHS) * FILTERS), np.int64)
-        for k, width in enumerate(WIDTHS):
-            z = x[: len(x) - width + 1] @ self.filters[k][0]
-            for j in range(1, width):
-                z += x[j : len(x) - width + 1 + j] @ self.filters[k][j]
-            z += self.bias[k]
-            cols = slice(k * FILTERS, (k + 1) * FILTERS)
-            if places:
-                for d in np.flatnonzero(some):
-                    own = z[start[d] : start[d] + counts[d]]
-                    top = own.argmax(0)
-                    where[d, cols] = start[d] + top
-                    out[d, cols] = own[top, np.arange(FILTERS)]
-            elif some.any():
-                z = np.vstack([z, np.full((1, FILTERS), -np.inf, np.float32)])
-                pad = np.ones(len(z), bool)
-                pad[at] = False
-                z[pad] = -np.inf
-                out[some, cols] = np.maximum.reduceat(z, start[some])
-        np.maximum(out, 0, out)
-        return (out, where, x, at) if places else out
+    def embed(self, h: np.ndarray, known: np.ndarray | None = None, kind: np.ndarray | None = None) -> np.ndarray:
+        """Embeddings of words, with the evidence known[kind] instead of the model's own if given."""
+        at = h + _OFFSET
+        x = sum(self.embedding[at[:, k]] for k in range(len(PARTS)))
+        x[:, 0] = (self.evidence[at] if known is None else known[kind[:, None], at]).sum(1)
+        return x
+
+    def pooled(self, h: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Max-pooled, rectified filter outputs of each text (texts, widths x filters), and the word at which each window of a maximum starts.
+
+        A window starts at each word; what reaches past its text is zero. `known`, `kind`: tables of evidence, and which
+        one a text has. Words are embedded BLOCK at a time, however long a text is.
+        """
+        n, first = len(counts), np.concatenate(([0], np.cumsum(counts)))
+        out, where = np.full((n, len(self.weight)), -np.inf, np.float32), np.zeros((n, len(self.weight)), np.int64)
+        doc = np.repeat(np.arange(n), counts)
+        for lo in range(0, len(h), BLOCK):
+            hi = min(lo + BLOCK, len(h))
+            end = min(hi + PAD, len(h))
+            x = self.embed(h[lo:end], known, None if known is None else kind[doc[lo:end]])
+            x = np.concatenate([x, np.zeros((hi + PAD - end, DIM), np.float32)])
+            left = first[doc[lo:hi] + 1] - np.arange(lo, hi)  # words from here to the text's end
+            z = np.empty((hi - lo, len(self.weight)), np.float32)
+            for k, width in enumerate(WIDTHS):
+                own = x[: hi - lo] @ self.filters[k][0]
+                for j in range(1, width):
+                    own += (x[j : hi - lo + j] @ self.filters[k][j]) * (left > j)[:, None]
+                z[:, k * FILTERS : (k + 1) * FILTERS] = own + self.bias[k]
+            docs, start = np.unique(doc[lo:hi], return_index=True)
+            for d, a, b in zip(docs.tolist(), start.tolist(), [*start[1:].tolist(), hi - lo]):
+                top = z[a:b].argmax(0)
+                best = z[a:b][top, np.arange(z.shape[1])]
+                more = best > out[d]
+                out[d, more], where[d, more] = best[more], lo + a + top[more]
+        return np.maximum(out, 0, out=out), where
 
     def logits(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.pooled(h, counts) @ self.weight + self.shift
+        return self.pooled(h, counts)[0] @ self.weight + self.shift
 
     def languages(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         found = self.language[h[:, 0]]
@@ -124,72 +148,116 @@ class Model:
         x = self.logits(h, counts).astype(float) - self.threshold[self.languages(h, counts)] + np.log(VERDICT / (1 - VERDICT))
         return np.where(counts > 0, 1 / (1 + np.exp(-np.clip(x, -50, 50))), 0.0)
 
+    def dumps(self) -> bytes:
+        """Only rows of the embedding that aren't zero are written."""
+        rows, out = np.flatnonzero(self.embedding.any(1)), io.BytesIO()
+        np.savez(out, evidence=self.evidence, rows=rows, embedding=self.embedding[rows], weight=self.weight, shift=self.shift, threshold=self.threshold, **{f"filters{k}": f for k, f in enumerate(self.filters)}, **{f"bias{k}": b for k, b in enumerate(self.bias)})
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, data: bytes) -> Model:
+        got, m = np.load(io.BytesIO(data)), cls()
+        m.embedding[got["rows"]] = got["embedding"]
+        m.evidence, m.weight, m.shift, m.threshold = got["evidence"], got["weight"], float(got["shift"]), got["threshold"]
+        m.filters, m.bias = ([got[f"{name}{k}"] for k in range(len(WIDTHS))] for name in ("filters", "bias"))
+        return m
+
+
+def gradients(m: Model, h: np.ndarray, counts: np.ndarray, y: np.ndarray, heavy: float, known: np.ndarray) -> dict:
+    """Of the mean logistic loss, toxic texts `heavy` times: by filters, bias, weight and shift, and by the embedding of the words `words`. known: tables of evidence by label."""
+    out, where = m.pooled(h, counts, known, y)
+    p = 1 / (1 + np.exp(-np.clip(out @ m.weight + m.shift, -30, 30)))
+    g = ((p - y) * np.where(y == 1, heavy, 1.0) / len(y)).astype(np.float32)
+    by_pool = (g[:, None] * m.weight) * (out > 0)
+    last = np.cumsum(counts)[:, None]
+    found = {"filters": [], "bias": [], "weight": out.T @ g, "shift": float(g.sum())}
+    words, by_word = [], []
+    for k, width in enumerate(WIDTHS):
+        cols = slice(k * FILTERS, (k + 1) * FILTERS)
+        own, place = by_pool[:, cols], where[:, cols]
+        g_f = np.zeros_like(m.filters[k])
+        for j in range(width):
+            at, inside = np.minimum(place + j, len(h) - 1), place + j < last
+            x = m.embed(h[at.ravel()], known, np.repeat(y, FILTERS)).reshape(*at.shape, DIM) * inside[:, :, None]
+            g_f[j] = np.einsum("dfe,df->ef", x, own)
+            some = inside & (own != 0)
+            words.append(at[some])
+            by_word.append((own[:, :, None] * m.filters[k][j].T[None])[some])
+        found["filters"].append(g_f)
+        found["bias"].append(own.sum(0))
+    found |= {"words": np.concatenate(words), "embedding": np.concatenate(by_word)}
+    found["embedding"][:, 0] = 0  # evidence isn't learned
+    return found
+
+
+def _batches(order: np.ndarray, size: np.ndarray):
+    held, words = [], 0
+    for d in order.tolist():
+        if held and (len(held) == BATCH or words + size[d] > BATCH_WORDS):
+            yield held
+            held, words = [], 0
+        held.append(d)
+        words += size[d]
+    if held:
+        yield held
+
 
 def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Adagrad on the logistic loss, toxic texts weighted up to the square root of the classes' ratio; the last fifth is left for calibration."""
+    """Adagrad on the logistic loss, toxic texts weighted up to the square root of the classes' ratio.
+
+    While it is trained, a text's evidence is counted without the text itself, so that what one text alone has is no
+    evidence for it. Texts of one label only, or none, give a constant.
+    """
     rng, m = np.random.default_rng(seed), Model()
-    m.filters = [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    m.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-    m.weight = rng.normal(0, 0.3, len(WIDTHS) * FILTERS).astype(np.float32)
-    n = len(texts)
-    m.threshold[:] = 0.0
-    if not n or labels.min() == labels.max():
-        m.shift = -3.0 if not n or labels.max() == 0 else 3.0
+    n = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
+    if not n.all():
+        m.shift = 3.0 if n[1] else -3.0
         return m
-    order = rng.permutation(n)
-    fit = order[: max(1, n * 4 // 5)]
-    m.used = fit.copy()
-    seen = np.zeros(len(PARTS) << BUCKET_BITS, np.int64)
-    for d in fit:
-        seen[np.unique(texts[d])] += 1
-    live = (seen >= LEAST_DOCS)[:, None]
-    m.embedding[:] = rng.normal(0, 0.1, m.embedding.shape) * live
-    heavy = float(np.sqrt((labels[fit] == 0).sum() / max(1, (labels[fit] == 1).sum())))
-    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(fit)))
-    m.shift = float(np.log((labels[fit].mean() + 1e-3) / (1 - labels[fit].mean() + 1e-3)))
-    speed = {"e": np.full(m.embedding.shape, 1e-2, np.float32), "w": np.full(m.weight.shape, 1e-2, np.float32), "s": 1e-2}
-    filter_speed = [np.full(f.shape, 1e-2, np.float32) for f in m.filters]
-    bias_speed = [np.full(b.shape, 1e-2, np.float32) for b in m.bias]
-    for _ in range(epochs):
-        rng.shuffle(fit)
-        for lo in range(0, len(fit), BATCH):
-            some = fit[lo : lo + BATCH]
-            counts = np.fromiter((len(texts[d]) for d in some), np.int64, len(some))
-            h = np.concatenate([texts[d] for d in some])
-            out, where, x, at = m.pooled(h, counts, places=True)
-            p = 1 / (1 + np.exp(-np.clip(out @ m.weight + m.shift, -30, 30)))
-            g = ((p - labels[some]) * np.where(labels[some] == 1, heavy, 1.0) / len(some)).astype(np.float32)
-            g_pool = (g[:, None] * m.weight) * (out > 0)
-            word = np.full(len(x), -1, np.int64)
-            word[at] = np.arange(len(h))
-            g_x: dict[str, list] = {"at": [], "g": []}
-            for k, width in enumerate(WIDTHS):
-                own, place = g_pool[:, k * FILTERS : (k + 1) * FILTERS], where[:, k * FILTERS : (k + 1) * FILTERS]
-                g_f = np.zeros_like(m.filters[k])
-                for j in range(width):
-                    rows = np.minimum(place + j, len(x) - 1)
-                    g_f[j] = np.einsum("dfe,df->ef", x[rows], own)
-                    g_x["at"].append(rows.ravel())
-                    g_x["g"].append((own[:, :, None] * m.filters[k][j].T[None]).reshape(-1, DIM))
-                filter_speed[k] += g_f**2
-                m.filters[k] -= RATE * g_f / np.sqrt(filter_speed[k])
-                g_b = own.sum(0)
-                bias_speed[k] += g_b**2
-                m.bias[k] -= RATE * g_b / np.sqrt(bias_speed[k])
-            g_w = out.T @ g + 1e-4 * m.weight
-            speed["w"] += g_w**2
-            m.weight -= RATE * g_w / np.sqrt(speed["w"])
-            speed["s"] += float(g.sum()) ** 2
-            m.shift -= RATE * float(g.sum()) / np.sqrt(speed["s"])
-            rows, grads = word[np.concatenate(g_x["at"])], np.concatenate(g_x["g"])
-            hit = (rows >= 0) & np.any(grads != 0, 1)
+    seen = np.zeros((2, ROWS))
+    for t, y in zip(texts, labels):
+        seen[y][np.unique(t + _OFFSET)] += 1
+    m.evidence = evidence(seen, n)
+    known = np.stack([evidence(seen, n, without=y) for y in (0, 1)])
+    live = (seen.sum(0) >= LEAST_DOCS)[:, None]
+    m.embedding = (rng.normal(0, 0.1, m.embedding.shape) * live).astype(np.float32)
+    m.embedding[:, 0] = 0
+    m.embedding.reshape(len(PARTS), -1, DIM)[:, 0] = 0
+    # The first filter of each width begins as the evidence of one word, the others at random.
+    for k, f in enumerate(m.filters):
+        f[:] = rng.normal(0, 0.3, f.shape)
+        f[:, :, 0] = 0
+        f[0, 0, 0] = 1
+        m.weight[k * FILTERS : (k + 1) * FILTERS] = [1, *rng.normal(0, 0.1, FILTERS - 1)]
+    m.shift = -3.0
+    speed = {name: [np.full(a.shape, 1e-2, np.float32) for a in (getattr(m, name) if name in ("filters", "bias") else [getattr(m, name)])] for name in ("filters", "bias", "weight", "embedding")}
+    speed_shift, heavy, size = 1e-2, float(np.sqrt(n[0] / n[1])), np.fromiter(map(len, texts), np.int64, len(texts))
+    order, steps = np.arange(len(texts)), 0
+    while epochs > 0 or steps < LEAST_STEPS:
+        rng.shuffle(order)
+        for some in _batches(order, size):
+            h, counts = np.concatenate([texts[d] for d in some]), size[some]
+            steps += 1
+            if not len(h):
+                continue
+            g = gradients(m, h, counts, labels[some], heavy, known)
+            g["weight"] += 1e-4 * m.weight
+            for name in ("filters", "bias"):
+                for a, v, d in zip(getattr(m, name), speed[name], g[name]):
+                    v += d**2
+                    a -= RATE * d / np.sqrt(v)
+            speed["weight"][0] += g["weight"] ** 2
+            m.weight -= RATE * g["weight"] / np.sqrt(speed["weight"][0])
+            speed_shift += g["shift"] ** 2
+            m.shift -= RATE * g["shift"] / float(np.sqrt(speed_shift))
+            rows = h[g["words"]] + _OFFSET
             for k in range(len(PARTS)):
-                touched, inverse = np.unique(h[rows[hit], k], return_inverse=True)
+                touched, inverse = np.unique(rows[:, k], return_inverse=True)
                 total = np.zeros((len(touched), DIM), np.float32)
-                np.add.at(total, inverse, grads[hit])
-                total = (total + 1e-5 * m.embedding[touched]) * live[touched]
-                speed["e"][touched] += total**2
-                m.embedding[touched] -= RATE * total / np.sqrt(speed["e"][touched])
+                np.add.at(total, inverse, g["embedding"])
+                total = (total + 1e-5 * m.embedding[touched]) * live[touched] * (touched != _OFFSET[k])[:, None]
+                speed["embedding"][0][touched] += total**2
+                m.embedding[touched] -= RATE * total / np.sqrt(speed["embedding"][0][touched])
+        epochs -= 1
     return m
 
 
@@ -217,7 +285,47 @@ def calibrate(m: Model, lang: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.nd
     for k in range(len(LANGUAGES)):
         own = lang == k
         if min(y[own].sum(), (n - y)[own].sum()) >= 10:
-            m.threshold[k] = _best_threshold(x[own], y[own], n[own])
+            values, place = np.unique(x[own], return_inverse=True)
+            m.threshold[k] = _best_threshold(values, np.bincount(place, y[own]), np.bincount(place, n[own]))
+
+
+def _bins(logits: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(logits.astype(float), -FARTHEST, FARTHEST) * BINS).astype(np.int32)
+
+
+def _read_sample(uri: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sample's texts as word rows, in order of their places, equal texts once (with the largest label), and their labels."""
+    fs, path = C.open_fs(uri)
+    found: dict[bytes, tuple[int, int]] = {}
+    for f in fs.get_file_info(pafs.FileSelector(path)):
+        if f.base_name.endswith(".parquet"):
+            with fs.open_input_file(f.path) as file:
+                got = pq.read_table(file, columns=["place", "y", "h"])
+            for place, y, h in zip(*(got[c].to_pylist() for c in ("place", "y", "h"))):
+                before = found.get(h, (place, y))
+                found[h] = (min(place, before[0]), max(y, before[1]))
+    order = sorted(found.items(), key=lambda x: x[1])
+    return [np.frombuffer(h, np.uint16).reshape(-1, len(PARTS)) for h, _ in order], np.array([y for _, (_, y) in order], np.int64)
+
+
+def _fold(uri: str, fold: int) -> pa.RecordBatch:
+    """Train without every FOLDS-th text from `fold` on, and count those by language, logit and label; or, beyond the last fold, train with all and write the model."""
+    texts, labels = _read_sample(uri)
+    names = ["lang", "bin", "y", "n"]
+    if fold == FOLDS:
+        C.put_bytes(f"{uri}/model.bin", train(texts, labels).dumps())
+        return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())], names)
+    out = np.arange(len(texts)) % FOLDS == fold
+    model = train([t for t, o in zip(texts, out) if not o], labels[~out])
+    cells: dict[tuple[int, int], list[int]] = {}
+    for some in _batches(np.flatnonzero(out), np.fromiter(map(len, texts), np.int64, len(texts))):
+        h, counts = np.concatenate([texts[d] for d in some]), np.array([len(texts[d]) for d in some])
+        for cell, y in zip(zip(model.languages(h, counts).tolist(), _bins(model.logits(h, counts)).tolist()), labels[some].tolist()):
+            held = cells.setdefault(cell, [0, 0])
+            held[0] += y
+            held[1] += 1
+    rows = [(*cell, *held) for cell, held in cells.items()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names)
 
 
 def histograms(docs: DataFrame, known: DataFrame, used: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
@@ -227,42 +335,69 @@ def histograms(docs: DataFrame, known: DataFrame, used: DataFrame, model: Model,
     def run(batches):
         for batch in C.slices(batches, limit=C.SLICE_BYTES // 2):
             h, counts = word_rows(C.column(batch, "text").to_pylist())
-            bins = np.rint(np.clip(shared.value.logits(h, counts).astype(float), -FARTHEST, FARTHEST) * BINS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([C.column(batch, "id"), pa.array(shared.value.languages(h, counts).astype(np.int32)), pa.array(bins)], ["id", "lang", "bin"])
+            yield pa.RecordBatch.from_arrays([C.column(batch, "id"), pa.array(shared.value.languages(h, counts).astype(np.int32)), pa.array(_bins(shared.value.logits(h, counts)))], ["id", "lang", "bin"])
 
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL")
-    scored = source.mapInArrow(C.released(run), f"id {source.schema['id'].dataType.simpleString()}, lang int, bin int")
+    scored = source.mapInArrow(C.released(run), T.StructType([source.schema["id"], T.StructField("lang", T.IntegerType()), T.StructField("bin", T.IntegerType())]))
     rest = scored.join(known, "id").join(F.broadcast(used), "id", "left_anti")
     return rest.groupBy("lang", "bin").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on at most `sample` labelled rows with a document and calibrate on all others; of these, histograms come to the driver. Numbers of embedding rows, 12 bytes a word, come to the driver; a null label or id is no label; an id labelled more than once counts by its largest label."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Train on a bounded sample of the labelled rows with a document and calibrate on all of them.
+
+    The sample is taken in the order of hashes of ids: at most `sample` ids, of which a text that would bring the
+    bytes over `sample_bytes` is passed over. Its word rows (2 bytes for each of PARTS) are written to the shared
+    folder, where tasks train the model and one for each of FOLDS. Thresholds come from the folds' logits of the
+    texts that they have not seen and from the model's logits of all labelled rows outside the sample; of both,
+    histograms come to the driver. A null label or id is no label; an id labelled more than once counts by its
+    largest label; of rows with one id the text with the smallest hash is trained on; equal texts count once; no
+    labels, or one kind only, give a constant score.
+    """
     C.bound_batches(docs.sparkSession)
-    known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    chosen = C.materialize(known.orderBy(F.xxhash64("id"), "id").limit(sample), "sample")
+    spark = docs.sparkSession
+    known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    first = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumns({"t": F.xxhash64("text"), "size": F.coalesce(F.octet_length("text"), F.lit(0))})
+    sized = texts.join(F.broadcast(first), "id").groupBy("id", "y").agg(F.min(F.struct("t", "size")).alias("m")).select("id", "y", "m.t", "m.size").orderBy(F.xxhash64("id"), "id").collect()
+    chosen, total = [], 0
+    for r in sized:
+        if total + r.size <= sample_bytes:
+            chosen.append((r.id, r.t, len(chosen), r.y))
+            total += r.size
 
     def run(batches):
         for batch in C.slices(batches):
             h, counts = word_rows(C.column(batch, "text").to_pylist())
             ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([C.column(batch, "id"), C.column(batch, "y"), pa.array([h[b - n : b].tobytes() for b, n in zip(ends, counts)], pa.binary())], ["id", "y", "h"])
-
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
-    got = texts.mapInArrow(C.released(run), f"id {texts.schema['id'].dataType.simpleString()}, y int, h binary").toArrow().sort_by([("id", "ascending")])
-    model = train([np.frombuffer(x, np.int32).reshape(-1, len(PARTS)) for x in got["h"].to_pylist()], np.asarray(got["y"].to_pylist(), np.int64))
-    if len(model.used):
-        used = docs.sparkSession.createDataFrame([(i,) for i in set(got["id"].take(pa.array(model.used)).to_pylist())], texts.select("id").schema)
-        found = histograms(docs, known, used, model, id_col, text_col).toArrow()
-        calibrate(model, *(f(found[c].to_numpy()) for c, f in (("lang", np.asarray), ("bin", lambda b: b / BINS), ("y", np.asarray), ("n", np.asarray))))
+            yield pa.RecordBatch.from_arrays([C.column(batch, "place"), C.column(batch, "y"), pa.array([h[b - n : b].tobytes() for b, n in zip(ends, counts)], pa.binary())], ["place", "y", "h"])
+
+    kinds = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("t", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("y", T.IntegerType())])
+    place = spark.createDataFrame(chosen, kinds)
+    picked = texts.join(F.broadcast(place), ["id", "t"]).groupBy("place", "y").agg(F.min("text").alias("text"))
+    uri = C.shared_dir(spark, "sample")
+    picked.mapInArrow(C.released(run), "place int, y int, h binary").write.mode("overwrite").parquet(uri)
+
+    def tasks(batches):
+        for fold in (k for b in batches for k in b.column(0).to_pylist()):
+            yield _fold(uri, fold)
+
+    names = "lang int, bin int, y long, n long"
+    parts = [spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(C.released(tasks), names).toArrow()]
+    model = Model.loads(C.get_bytes(f"{uri}/model.bin"))
+    if known.count() > len(chosen):
+        parts.append(histograms(docs, known, place.select("id"), model, id_col, text_col).toArrow())
+    found = pa.concat_tables([p.cast(parts[0].schema) for p in parts])
+    calibrate(model, found["lang"].to_numpy(), found["bin"].to_numpy() / BINS, found["y"].to_numpy(), found["n"].to_numpy())
     return model
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every row, from its whole text alone; a scan without shuffle.
 
-    Null and empty texts, and texts without words, score 0; repeated rows come out each; a null id is kept; an empty
-    table gives no rows; other columns are not looked at. The model has a fixed size and is broadcast.
+    Null and empty texts, and texts without words, score 0; very long texts are read whole, a block of words at a
+    time; repeated rows come out each, rows with one text with one score; a null id is kept; an empty table gives no
+    rows; other columns are not looked at. The model has a fixed size and is broadcast.
     """
     C.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -272,7 +407,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([C.column(batch, "id"), pa.array(shared.value.score(*word_rows(C.column(batch, "text").to_pylist())))], ["doc_id", "score"])
 
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return source.mapInArrow(C.released(run), f"doc_id {source.schema['id'].dataType.simpleString()}, score double")
+    return source.mapInArrow(C.released(run), T.StructType([T.StructField("doc_id", source.schema["id"].dataType), T.StructField("score", T.DoubleType())]))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
