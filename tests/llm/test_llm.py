@@ -1,7 +1,6 @@
 """The ten operators against brute force, on awkward rows, and as a pipeline."""
 
 import hashlib
-import html
 import random
 import re
 import zlib
@@ -16,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from velotrace.llm import common as C
-from velotrace.llm import decontamination, html_text, line_dedup, packing, quality, sharding, simhash, substring_dedup, token_files, tokens
+from velotrace.llm import decontamination, line_dedup, packing, quality, sharding, simhash, substring_dedup, token_files, tokens
 from velotrace.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -354,61 +353,6 @@ def test_splitters_are_nearest(spark):
         assert abs(below - goal) == min(np.abs(np.concatenate(([0], ends)) - goal)) and below == (ends[n - 1] if n else 0)
 
 
-def test_html():
-    page = lambda body: f"<!DOCTYPE html><html><head><title>T</title><script>var a='</p>';</script></head><body>{body}</body></html>"
-    nav = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>News</a></li></ul></nav>"
-    text = "Some running words of the article that go on for a while, and then some more of them. " * 3
-    art = f"<article><h1>Big &amp; small</h1><p>{text}</p><div class='ad'>Buy now</div><p>A&nbsp;short\n one<br>x</p><section id='comments'><p>{text}</p></section><p>End.</p></article>"
-    want = f"Big & small {' '.join(text.split())} A short one x End."
-    assert html_text.main_text(page(nav + "<header>Site</header><div class='cookie-notice'>We use cookies " + "a " * 100 + "</div>" + art + "<aside>See also</aside><footer>&copy; me</footer>")) == want
-    assert html_text.main_text(page(nav + art)[:-28] + "<footer>cut") == want
-    assert html_text.main_text(page(f"<div class='menu'><a>Home</a></div><div><p>{text}</p><p>{text}</p></div><form>mail me</form>")) == " ".join((text * 2).split())
-    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<<<>>><p") .strip("<>p") == ""
-    assert html_text.main_text("<p hidden>no</p><p>yes</p>") == "yes"
-    assert "x" in html_text.main_text("<article>" + "<b>" * 5000 + "x")
-
-
-def test_html_without_article():
-    """Short lines in mid-article part no page of divs."""
-    para = "Some running words of the text that go on for a while. " * 3
-    short = "<ul><li>a</li><li>b</li><li>c</li><li>d</li></ul><h2>Sub</h2><pre>x = 1</pre><figure><img><figcaption>Cap</figcaption></figure>"
-    want = f"{para.strip()} a b c d Sub x = 1 Cap {para.strip()}"
-    menu = "<ul class='menu'><li><a href='/'>Home</a></li></ul>"
-    assert html_text.main_text(f"<body>{menu}<div><p>{para}</p>{short}<p>{para}</p></div><footer>f</footer></body>") == want
-    assert html_text.main_text(f"<body>{menu}<div><p>{para * 2}</p>{short}<p>{para}</p>{short}<p>{para}</p></div></body>").count("x = 1") == 2
-    assert html_text.main_text("<div><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>Five.</p></div>") == "One. Two. Three. Four. Five."
-
-
-@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "long-form", "post-tags", "hidden md:block", "comments", "with-widgets menu"])
-def test_html_wrappers_stay(name):
-    """An element of a furniture word that holds the article, or most of the text, is kept."""
-    text = "Some running words of the text that go on for a while. " * 4
-    want = f"{text.strip()} {text.strip()}"
-    paras = f"<p>{text}</p><p>{text}</p>"
-    for home in ("main", "article"):
-        assert html_text.main_text(f"<body><nav>n</nav><div class='{name}'><{home}>{paras}</{home}></div><footer>f</footer></body>") == want
-    assert html_text.main_text(f"<body><div class=\"{name}\">{paras}</div></body>") == want
-
-
-def test_html_furniture_beside_goes():
-    text = "Some running words of the text that go on for a while. " * 4
-    for name in ("comments", "sidebar", "sidebar-left", "related-posts", "cookie-notice"):
-        for page in (f"<article><p>{text}</p></article><div class='{name}'><p>{text * 3}</p></div>", f"<main><div class='{name}'><p>{text}</p></div><article><p>{text}</p></article></main>"):
-            assert html_text.main_text(page) == text.strip()
-    assert html_text.main_text("<p hidden class='a'>no</p><p hidden='until-found'>no</p><p class='hidden'>yes</p>") == "yes"
-
-
-def test_html_pages(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html", F.lit(1).alias("text"))
-    for r in html_text.extract(pages, keep=("page_id", "html")).collect():
-        body = re.sub(r"<footer.*", "", r.html.partition("<article")[2].partition(">")[2].partition("</article>")[0], flags=re.S)
-        assert r.text == " ".join(html.unescape(re.sub(r"</?b>", "", body).replace("<", " <") and re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
-        assert r.n_chars == len(r.text)
-    assert html_text.extract(pages.limit(0)).count() == 0
-    odd = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "")], "page_id long, url string, html string")
-    assert [r.text for r in html_text.extract(odd).collect()] == ["", "", ""]
-
-
 def test_pipeline(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     source = spark.read.parquet(f"{SF}/documents.parquet")
