@@ -129,8 +129,7 @@ def test_line_dedup(spark):
 def test_encoder_equals_library():
     path = tokens.byte_bpe()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = ["", " ", "a  b\n\n c", "It's we'll DON'T x's", "1234 12a b3 ²³ ½", " x  y", "\x1c\x1d z\x85", "日本語 ру́сский", "<|endoftext|> a", "tab\t\tend\r\n", "é ü ß ñ ¿qué?", "a" * 5000, "x" + " " * 50 + "y", "…—“q”"]
+    texts = ["<|endoftext|>", "hello <|endoftext|> x", "<|endoftext|><|endoftext|>a<|endoftext|>", "a <|endoftext|>", "<|endoftext", "<|ENDOFTEXT|>", "", " ", "a  b\n\n c", "It's we'll DON'T x's", "1234 12a b3 ²³ ½", " x  y", "\x1c\x1d z\x85", "日本語 ру́сский", "<|endoftext|> a", "tab\t\tend\r\n", "é ü ß ñ ¿qué?", "a" * 5000, "x" + " " * 50 + "y", "…—“q”"]
     rng = random.Random(2)
     texts += ["".join(rng.choices("ab é'st1 \n\t.,$ßÀ", k=rng.randrange(200))) for _ in range(300)]
     for dtype in ("<u2", "<u4"):
@@ -139,7 +138,6 @@ def test_encoder_equals_library():
 
 def expected_ids(texts, end):
     t = Tokenizer.from_file(tokens.byte_bpe())
-    t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
@@ -313,7 +311,7 @@ def test_quality_agrees_with_labels(spark):
 def test_token_files(spark, docs):
     uri = C.shared_dir(spark, "test")
     manifest = token_files.write_tokens(docs, tokens.byte_bpe(), uri, partitions=4)
-    got = token_files.read_tokens(spark, uri, len(manifest), token_files.id_type(tokens.byte_bpe())).collect()
+    got = token_files.read_tokens(spark, uri, len(manifest), token_files.id_type(tokens.byte_bpe()), docs.schema["doc_id"].dataType).collect()
     rows = docs.select("doc_id", "text").collect()
     want = Counter((r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for r, ids in zip(rows, expected_ids([r.text for r in rows], 0)))
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
@@ -324,7 +322,7 @@ def test_token_files(spark, docs):
     ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
     none = C.shared_dir(spark, "test")
-    assert token_files.read_tokens(spark, none, len(token_files.write_tokens(empty(spark), tokens.byte_bpe(), none)), "<u2").count() == 0
+    assert token_files.read_tokens(spark, none, len(token_files.write_tokens(empty(spark), tokens.byte_bpe(), none)), "<u2", docs.schema["doc_id"].dataType).count() == 0
 
 
 def test_sharding(spark, docs):
@@ -342,15 +340,78 @@ def test_sharding(spark, docs):
     assert sharding.shard_by_bytes(empty(spark)).count() == 0
 
 
-def test_splitters_are_nearest(spark):
+@pytest.mark.parametrize("fetch", [0, 20, 10_000])
+def test_splitters_are_nearest(spark, fetch):
     rng = np.random.default_rng(2)
     rows = [(int(h), int(i), 0, int(s)) for i, (h, s) in enumerate(zip(rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(10, 90, 500)))]
+    rows += [(77, k, int(k % 3), 40) for k in range(200)] + [(78, 5, k, 30) for k in range(150)] + [(2**63 - 1, 2**63 - 1, 2**63 - 1, 9)] * 3
     df = spark.createDataFrame(rows, "h long, id long, r long, size long").repartition(3).cache()
-    total = sum(r[3] for r in rows)
-    goals = [total * k // 8 for k in range(1, 8)]
-    ends = np.cumsum([r[3] for r in sorted(rows)])
-    for goal, (_, (below, n)) in zip(goals, sharding.find_splitters(df, (total, 500), goals, 0)):
-        assert abs(below - goal) == min(np.abs(np.concatenate(([0], ends)) - goal)) and below == (ends[n - 1] if n else 0)
+    total, rounds = sum(r[3] for r in rows), []
+    real = sharding.count_slots
+    goals = [total * k // 16 for k in range(1, 16)]
+    ordered = sorted(rows)
+    ends = np.cumsum([r[3] for r in ordered])
+    # A place is between two rows of different keys.
+    places = [0, *(int(e) for k, e in enumerate(ends) if k + 1 == len(ordered) or ordered[k][:3] != ordered[k + 1][:3])]
+    sharding.count_slots = lambda *a: rounds.append(1) or real(*a)
+    try:
+        found = sharding.find_splitters(df, (total, len(rows)), goals, 0, fetch=fetch)
+    finally:
+        sharding.count_slots = real
+    for goal, (key, (below, n)) in zip(goals, found):
+        assert abs(below - goal) == min(abs(p - goal) for p in places) and below == (ends[n - 1] if n else 0)
+        unsigned = lambda r: tuple(x + (1 << 63) for x in r[:3])
+        assert sum(unsigned(r)[: len(key)] < key for r in rows) == n
+    assert len(rounds) < 10
+
+
+def test_odd_names_and_ids(spark):
+    """Columns whose names or types need quoting, maps inside structs, string ids: all operators that keep columns or ids."""
+    rows = [(f"k{k % 9}", " ".join(f"w{j * k % 13}" for j in range(40)), 1, {"m": k}, ({"n": k}, 2.0)) for k in range(30)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, `a b` int, `x:y` map<string,int>, `row` struct<`p q`:map<string,int>,z:double>").repartition(3)
+    whole = sorted(str(r) for r in df.collect())
+    assert sorted(str(r.row) for r in quality.judge(df).collect()) == whole
+    got = sharding.shard_by_bytes(df, 4).collect()
+    assert sorted(str(r.row) for r in got) == whole
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(4))
+    uri = C.shared_dir(spark, "test")
+    manifest = token_files.write_tokens(df, tokens.byte_bpe(), uri, partitions=4)
+    ids = [r.doc_id for r in token_files.read_tokens(spark, uri, len(manifest), "<u2", df.schema["doc_id"].dataType).orderBy("start").collect()]
+    assert ids == [None, *sorted(r[0] for r in rows[:-1])]
+    assert simhash.keep_one(df).columns == df.columns and 0 < simhash.near_duplicates(df).count() == len(rows)
+    assert substring_dedup.remove_repeats(df).count() == len(rows) == packing.pack_documents(df, tokens.byte_bpe()).select("doc_id").count()
+    bench = spark.createDataFrame([("i", "w1 w2 w3")], "item_id string, text string")
+    assert sorted(str(tuple(r[c] for c in df.columns)) for r in decontamination.find_contamination(df, bench, keep=df.columns).collect()) == sorted(str(tuple(r)) for r in df.collect())
+    assert line_dedup.dedup_lines(df).count() == len(rows)
+
+
+def test_flat_files_are_read_by_ranges(spark, monkeypatch, tmp_path):
+    np.arange(100, dtype="<u2").tofile(tmp_path / "a.bin")
+    flat = token_files.Flat(f"file://{tmp_path}/a.bin", "<u2")
+    want = flat.read(10, 20).tolist()
+    assert flat.mapped is not None and want == list(range(10, 20))
+    flat.mapped = None
+    assert flat.read(10, 20).tolist() == want and len(flat.read(5, 5)) == 0
+
+
+def test_shared_folder(spark):
+    class Cluster:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: type("Conf", (), {"get": staticmethod(lambda k: None)})())
+
+    class Session:
+        sparkContext = Cluster
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})()
+
+    with pytest.raises(ValueError):
+        C.shared_dir(Session, "x")
+
+
+def test_tasks_follow_the_data(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert C.parallelism(docs) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(C, "TASK_BYTES", 1000)
+    assert C.parallelism(docs) > 50
 
 
 def test_pipeline(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker takes up at once.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch, and of a source's files for each task.
+BATCH_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 #: bytes.split() parts at exactly these: space and U+0009 to U+000D.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -22,9 +25,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir, which driver and executors share; only where that is unset (one machine) a folder of our own."""
+    """A new folder's URI under spark.checkpoint.dir, which driver and executors share. Where that is unset a local master gets a folder of our own, and a cluster an error, since its executors could not see such a folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="velotrace-"))
         base = _own[0]
@@ -33,11 +38,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     uri = f"{base.rstrip('/')}/velotrace/{name}-{uuid.uuid4().hex}"
     fs, path = open_fs(uri)
     fs.create_dir(path, recursive=True)
-    atexit.register(_remove, uri)
+    atexit.register(remove, uri)
     return uri
 
 
-def _remove(uri: str) -> None:
+def remove(uri: str) -> None:
+    """Delete a folder of shared_dir; nothing happens if it has gone."""
     fs, path = open_fs(uri)
     if fs.get_file_info(path).type != pafs.FileType.NotFound:
         fs.delete_dir(path)
@@ -71,13 +77,21 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(uri)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parallelism(docs: DataFrame) -> int:
+    """Tasks for what comes from docs: spark.sql.shuffle.partitions, or one for each TASK_BYTES of the files read if that is more."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    # A source of unknown size says that it has the greatest.
+    known = sum(s for s in sizes if s < 1 << 62)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // TASK_BYTES))
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches that Spark hands to Python hold 8 MB at most, so that long texts don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Arrow batches that Spark hands to Python hold 8 MB at most, so that long texts don't fill a worker. It is the session's setting, since plans are lazy, and a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = re.fullmatch(r"(\d+)\s*([kmg]?)b?", spark.conf.get(name).strip().lower())
+    if not have or int(have[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[have[2]] > BATCH_BYTES or not int(have[1]):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def released(run):

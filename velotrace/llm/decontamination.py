@@ -8,6 +8,7 @@ import pickle
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -191,8 +192,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     C.bound_batches(docs.sparkSession)
     uri = build_automata(benchmark, "item_id" if "item_id" in benchmark.columns else benchmark.columns[0], "text", width, shard_words)
     keep = keep or [id_col]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    extra = "`__n_words` long, `__n_hit` long, `__spans` array<struct<start:int,stop:int>>, `__items` array<string>"
+    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
+    extra = {"__n_words": T.LongType(), "__n_hit": T.LongType(), "__spans": T.ArrayType(span), "__items": T.ArrayType(T.StringType())}
+    kinds = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(c, t) for c, t in extra.items())])
     share, whole = coverage
     passed = [docs[c].alias(f"k{k}") for k, c in enumerate(keep)]
 
@@ -222,7 +224,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 [*keep, "__n_words", "__n_hit", "__spans", "__items"],
             )
 
-    found = docs.select(*passed, docs[text_col].cast("string").alias("__text")).mapInArrow(C.released(run), f"{kinds}, {extra}")
+    found = docs.select(*passed, docs[text_col].cast("string").alias("__text")).mapInArrow(C.released(run), kinds)
     return found.withColumn("__contaminated", (F.col("__n_hit") > 0) & (whole * F.col("__n_hit") >= share * F.col("__n_words")))
 
 

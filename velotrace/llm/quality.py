@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -160,8 +161,9 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
     One scan computes measures and votes; the counts of vote patterns (3 to the power of the number of rules at most,
     whatever the number of documents) go to the driver for EM, over all documents that pass the base rules. A
     document that fails them is not kept; of the others those whose posterior reaches the threshold are. Null and
-    empty texts have no words and fail; repeated rows come out each; an empty table gives no rows; a null in any
-    other column is passed on.
+    empty texts have no words and fail; very long texts are measured whole; documents with equal votes have equal
+    posteriors, and one at the threshold is kept; repeated rows come out each; an empty table gives no rows; other
+    columns, of any name and type, stay inside `row` as they are.
     """
     C.bound_batches(docs.sparkSession)
     names = docs.columns if keep is None else keep
@@ -172,8 +174,8 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
             yield pa.RecordBatch.from_arrays([C.column(batch, "row"), *(pa.array(m[:, j]) for j in range(len(BASE))), pa.array(pattern(votes(m)))], ["row", *BASE, "votes"])
 
     source = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"))
-    row = source.schema["row"].dataType.simpleString()
-    found = C.materialize(source.mapInArrow(C.released(run), f"row {row}, {', '.join(f'{b} long' for b in BASE)}, votes long"), "quality")
+    kinds = T.StructType([T.StructField("row", source.schema["row"].dataType), *(T.StructField(b, T.LongType()) for b in (*BASE, "votes"))])
+    found = C.materialize(source.mapInArrow(C.released(run), kinds), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counted = found.where(~failed).groupBy("votes").count().collect()
     patterns, count = (np.array([r[k] for r in counted], np.int64) for k in (0, 1))

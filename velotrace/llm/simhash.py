@@ -11,6 +11,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -66,8 +67,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([C.column(batch, "doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     C.bound_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), f"doc_id {kind}, fp long")
+    kinds = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), kinds)
 
 
 #: A fingerprint with its node's number and, for verification, the place of its text (file, first byte, bytes) and further words.
@@ -174,7 +175,7 @@ def near_links(items: DataFrame, radius: int = RADIUS, wide: int | None = None,
     give no quadratic output. Only the counts of at most 83,521 cells come to the driver. No items, no links.
     """
     spark = items.sparkSession
-    n, uri = C.parallelism(spark), C.shared_dir(items.sparkSession, "tiles")
+    n, uri = C.parallelism(items), C.shared_dir(items.sparkSession, "tiles")
     quarter = lambda k: F.bit_count(F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(0xFFFF)))
     cell = sum((quarter(k).cast("long") * 17 ** (3 - i) for i, k in enumerate(_QUARTERS)), F.lit(0).cast("long"))
 
@@ -299,7 +300,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     """
     C.bound_batches(docs.sparkSession)
     texts = C.shared_dir(docs.sparkSession, "texts")
-    kind = docs.schema[id_col].dataType.simpleString()
+    kinds = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in "t fp m1 m2 m3 key p at n".split())])
 
     def run(batches):
         p, at = TaskContext.get().partitionId(), 0
@@ -322,7 +323,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
         yield from rows
 
     t = F.xxhash64(docs[text_col].cast("string"))
-    found = C.materialize(docs.select(docs[id_col].alias("id"), t.alias("t"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), f"id {kind}, t long, fp long, m1 long, m2 long, m3 long, key long, p long, at long, n long"), "classes")
+    found = C.materialize(docs.select(docs[id_col].alias("id"), t.alias("t"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), kinds), "classes")
     last = F.struct(F.col("id").isNull().alias("none"), "id", "t")
     classes = C.materialize(found.groupBy("key").agg(F.min(last).alias("first"), F.min(F.struct("p", "at", "n", "fp", "m1", "m2", "m3")).alias("place")).select("key", "first", "place.*"), "classes")
     root = components(near_links(classes, radius, wide, texts, shingle, similarity))

@@ -30,6 +30,7 @@ from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -216,8 +217,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     C.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    buckets, uri = C.parallelism(spark), C.shared_dir(spark, "phrases")
-    id_kind = docs.schema[id_col].dataType.simpleString()
+    buckets, uri = C.parallelism(docs), C.shared_dir(spark, "phrases")
     anchor = min(anchor, window)
 
     def send_anchors(batches):
@@ -373,7 +373,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     route(source.mapInArrow(C.released(send_anchors), "bucket long, p long, blob binary"), find_recurring, "anchors")
     fs, path = C.open_fs(uri)
     places = sorted(int(m[1]) for f in fs.get_file_info(pafs.FileSelector(path)) if (m := re.fullmatch(r"docs-(\d+)\.parquet", f.base_name)))
-    schema = f"doc_id {id_kind}, n_words long, n_removed long, kept_sha256 string" + ", text string, spans array<struct<start:long,stop:long>>" * with_text
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    if with_text:
+        schema = schema.add("text", T.StringType()).add("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))
     if not places:
         return spark.createDataFrame([], schema)
     parts = spark.range(0, max(places) + 1, 1, max(places) + 1).where(F.col("id").isin(places)) if len(places) <= max(places) else spark.range(0, len(places), 1, len(places))

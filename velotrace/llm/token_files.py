@@ -1,9 +1,9 @@
 """Token-id output: flat unsigned integer files with 64-bit document offsets, memory-mapped by readers.
 
 A folder holds, for each partition p of the ascending id order, `ids-p.bin` (all ids, unsigned 16 or 32 bits, little
-endian), `offsets-p.bin` (int64, one more than documents, counted from the file's start) and `keys-p.bin` (int64
-document ids; null ids come first and are counted in the manifest), and one `manifest.bin`: int64 rows (documents,
-tokens, null ids, documents before, tokens before), the last two being prefix sums over the partitions.
+endian), `offsets-p.bin` (int64, one more than documents, counted from the file's start) and `keys-p.arrow` (the
+document ids, of whatever type, nulls first), and one `manifest.bin`: int64 rows (documents, tokens, documents before,
+tokens before), the last two being prefix sums over the partitions.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .tokens import byte_bpe, crc32_ids, encoder
 
 END = 0
-READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Documents that a reader takes up at once.
+AT_ONCE = 10_000
 
 
 def id_type(tokenizer: str, end_id: int = END) -> str:
@@ -33,69 +35,87 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_i
 
     One range exchange brings documents in order; each task streams its texts to the files, which take their names
     from the partition, so that a repeated attempt replaces them by the same bytes. Only one row of counts per
-    partition comes to the driver. Null text counts as empty, null ids come first, repeated rows are written each,
-    an empty table gives empty files; other columns of `docs` are not looked at.
+    partition comes to the driver. Ids are of any type that Spark can order. Null text counts as empty; a very long
+    text is encoded whole; null ids come first; repeated rows are written each, rows equal in id and text in any
+    order; an empty table gives empty files; other columns of `docs` are not looked at.
     """
     C.bound_batches(docs.sparkSession)
-    n = partitions or C.parallelism(docs.sparkSession)
+    n = partitions or C.parallelism(docs)
     dtype = id_type(tokenizer, end_id)
 
     def run(batches):
         enc, p = encoder(tokenizer, dtype), TaskContext.get().partitionId()
         fs, folder = C.open_fs(uri)
-        tmp, keys, lengths, end = f"{folder}/{uuid.uuid4().hex}.tmp", [], [], np.array([end_id], dtype).tobytes()
-        nulls = 0
+        tmp, keys, lengths, end = f"{folder}/{uuid.uuid4().hex}.tmp", [], [np.zeros(1, np.int64)], np.array([end_id], dtype).tobytes()
         with fs.open_output_stream(tmp) as out:
             for batch in C.slices(batches):
                 ids = enc.ids([t or "" for t in C.column(batch, "text").to_pylist()])
                 out.write(b"".join(x for i in ids for x in (i.tobytes(), end)))
                 lengths.append(np.fromiter((len(i) + 1 for i in ids), np.int64, len(ids)))
-                key = C.column(batch, "id")
-                nulls += key.null_count
-                keys.append(np.asarray(key.fill_null(0).to_numpy(zero_copy_only=False), np.int64))
-        lengths = np.concatenate([np.zeros(1, np.int64), *lengths])
+                keys.append(batch.select(["id"]))
+        offsets = np.cumsum(np.concatenate(lengths))
         fs.move(tmp, f"{folder}/ids-{p:06d}.bin")
-        C.put_bytes(f"{uri}/offsets-{p:06d}.bin", np.cumsum(lengths).astype("<i8").tobytes())
-        C.put_bytes(f"{uri}/keys-{p:06d}.bin", np.concatenate([np.zeros(0, np.int64), *keys]).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"p": [p], "docs": [len(lengths) - 1], "tokens": [int(lengths.sum())], "nulls": [nulls]})
-
-    ordered = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    counts = {r.p: (r.docs, r.tokens, r.nulls) for r in ordered.mapInArrow(C.released(run), "p long, docs long, tokens long, nulls long").collect()}
-    rows = np.array([counts[p] for p in sorted(counts)], np.int64).reshape(-1, 3)
-    before = np.vstack([np.zeros((1, 2), np.int64), np.cumsum(rows[:, :2], 0)])[:-1] if len(rows) else np.zeros((0, 2), np.int64)
-    manifest = np.hstack([rows, before])
+        C.put_bytes(f"{uri}/offsets-{p:06d}.bin", offsets.astype("<i8").tobytes())
+        if keys:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_file(sink, keys[0].schema) as file:
+                for batch in keys:
+                    file.write_batch(batch)
+            C.put_bytes(f"{uri}/keys-{p:06d}.arrow", sink.getvalue())
+        yield pa.RecordBatch.from_pydict({"p": [p], "docs": [len(offsets) - 1], "tokens": [int(offsets[-1])]})
+
+    ordered = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    counts = {r.p: (r.docs, r.tokens) for r in ordered.mapInArrow(C.released(run), "p long, docs long, tokens long").collect()}
+    rows = np.array([counts.get(p, (0, 0)) for p in range(max(counts, default=-1) + 1)], np.int64).reshape(-1, 2)
+    manifest = np.hstack([rows, np.cumsum(rows, 0) - rows])
     C.put_bytes(f"{uri}/manifest.bin", manifest.astype("<i8").tobytes())
     return manifest
 
 
-def load_array(uri: str, dtype: str) -> np.ndarray:
-    """The file as an array: memory-mapped where the folder is a local path, else read by its file system."""
-    fs, path = C.open_fs(uri)
-    if fs.get_file_info(path).size == 0:
-        return np.zeros(0, dtype)
-    return np.memmap(path, dtype, "r") if fs.type_name == "local" else np.frombuffer(C.get_bytes(uri), dtype)
+class Flat:
+    """A flat file as an array that is sliced: memory-mapped where it is a local path, else read by ranges."""
 
+    def __init__(self, uri: str, dtype: str):
+        self.fs, self.path = C.open_fs(uri)
+        self.dtype = np.dtype(dtype)
+        local = self.fs.type_name == "local" and self.fs.get_file_info(self.path).size
+        self.mapped = np.memmap(self.path, self.dtype, "r") if local else None
 
-def read_tokens(spark: SparkSession, uri: str, parts: int, dtype: str) -> DataFrame:
-    """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    def read(self, lo: int, hi: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[lo:hi]
+        if lo >= hi:
+            return np.zeros(0, self.dtype)
+        with self.fs.open_input_file(self.path) as f:
+            return np.frombuffer(f.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), self.dtype)
+
+
+def read_tokens(spark: SparkSession, uri: str, parts: int, dtype: str, id_kind: T.DataType) -> DataFrame:
+    """One row per document from the files: doc_id (of type id_kind), start (ids of all documents before it), n_tokens, ids_crc32."""
+    kinds = T.StructType([T.StructField("doc_id", id_kind), *(T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32"))])
 
     def run(batches):
-        manifest = np.frombuffer(C.get_bytes(f"{uri}/manifest.bin"), "<i8").reshape(-1, 5)
+        manifest = np.frombuffer(C.get_bytes(f"{uri}/manifest.bin"), "<i8").reshape(-1, 4)
         for p in (p for b in batches for p in b.column(0).to_pylist()):
-            ids, offsets, keys = (load_array(f"{uri}/{x}-{p:06d}.bin", t) for x, t in (("ids", dtype), ("offsets", "<i8"), ("keys", "<i8")))
-            docs, _, nulls, _, base = manifest[p]
-            for lo in range(0, docs, 10_000):
-                at = offsets[lo : min(lo + 10_000, docs) + 1]
-                crc = [crc32_ids(ids[a:b]) for a, b in zip(at[:-1], at[1:])]
-                key = pa.array(keys[lo : lo + len(crc)], mask=np.arange(lo, lo + len(crc)) < nulls)
-                yield pa.RecordBatch.from_arrays([key, pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            docs, _, _, base = manifest[p].tolist()
+            if not docs:
+                continue
+            ids, offsets = Flat(f"{uri}/ids-{p:06d}.bin", dtype), Flat(f"{uri}/offsets-{p:06d}.bin", "<i8")
+            fs, path = C.open_fs(f"{uri}/keys-{p:06d}.arrow")
+            with fs.open_input_file(path) as f:
+                keys = pa.ipc.open_file(f).read_all()["id"].combine_chunks()
+            for lo in range(0, docs, AT_ONCE):
+                at = np.array(offsets.read(lo, min(lo + AT_ONCE, docs) + 1))
+                own = ids.read(int(at[0]), int(at[-1]))
+                crc = [crc32_ids(own[a:b]) for a, b in zip(at[:-1] - at[0], at[1:] - at[0])]
+                yield pa.RecordBatch.from_arrays([keys[lo : lo + len(crc)], pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], kinds.names)
 
     if not parts:
-        return spark.createDataFrame([], READ)
-    return spark.range(0, parts, 1, parts).mapInArrow(C.released(run), READ)
+        return spark.createDataFrame([], kinds)
+    return spark.range(0, parts, 1, parts).mapInArrow(C.released(run), kinds)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uri = C.shared_dir(spark, "tokens")
-    manifest = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), byte_bpe(), uri)
-    return read_tokens(spark, uri, len(manifest), id_type(byte_bpe()))
+    docs, uri = spark.read.parquet(f"{sf_dir}/documents.parquet"), C.shared_dir(spark, "tokens")
+    manifest = write_tokens(docs, byte_bpe(), uri)
+    return read_tokens(spark, uri, len(manifest), id_type(byte_bpe()), docs.schema["doc_id"].dataType)

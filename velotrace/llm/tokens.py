@@ -20,21 +20,23 @@ CACHE = 400_000
 
 
 class Encoder:
-    """ids(texts) equals the library's encode_batch(texts, add_special_tokens=False); special tokens' strings are ordinary text.
+    """ids(texts) equals the library's encode_batch(texts, add_special_tokens=False).
 
-    Each distinct pre-token is encoded by the library once and its ids kept as bytes; texts are then joined from
-    those, since merges never cross pre-tokens. New pre-tokens of a space and letters are encoded many in one string,
+    Texts in which the string of a special or added token stands go to the library whole. Of others each distinct
+    pre-token is encoded by the library once and its ids kept as bytes; texts are then joined from those, since merges
+    never cross pre-tokens. New pre-tokens of a space and letters are encoded many in one string,
     in which each is a pre-token again, and parted at the ids that begin with a space. Tested against the library's
     own whole-text encoding.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
         pre = str(self.tokenizer.pre_tokenizer)
         self.byte_level = pre.startswith("ByteLevel(add_prefix_space=False") and self.tokenizer.normalizer is None
         self.cache: dict[str, bytes] = {}
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole_only = re.compile("|".join([_OTHER.pattern, *map(re.escape, added)]))
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True
@@ -63,7 +65,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.byte_level:
             return [np.frombuffer(x, self.dtype) for x in self.whole(texts)]
-        parts = [None if _OTHER.search(t) else _SPLIT.findall(t) for t in texts]
+        parts = [None if self.whole_only.search(t) else _SPLIT.findall(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
         self._learn(list(set().union(*(x for x in parts if x)).difference(self.cache)))
