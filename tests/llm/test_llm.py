@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -64,6 +65,31 @@ def test_substring_dedup(spark, docs):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_frequent_anchors_are_split(spark, monkeypatch):
+    """One 8-gram before many different continuations, of which some recur: keys differ by continuation, equal windows have equal keys."""
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    common = [f"zz{k}" for k in range(8)]
+    bodies = [common + rng.choices(vocab, k=60) for _ in range(3000)]
+    texts = [rng.choices(vocab, k=20) + b for b in bodies + bodies[:5]]
+    data, counts = substring_dedup.normalised([" ".join(t).encode() for t in texts])
+    w = substring_dedup.Windows(data, counts, 35, 8)
+    # The common 8-gram is made the anchor of all windows that have it.
+    hot = next(g for g, c in zip(*np.unique(w.grams, return_counts=True)) if c >= 3000)
+    order = np.where(w.grams == hot, 0, w.grams | np.uint64(1))
+    w.place = substring_dedup._leftmost_min(order, 28)[: len(w.valid)]
+    recurring = np.array([hot])
+    for frequent, most in ((False, None), (True, 60)):
+        keys, lo, hi = substring_dedup.context_runs(w, recurring, np.array([frequent]), 35, 8)
+        spread = np.unique(keys, return_counts=True)[1].max()
+        assert spread <= most if most else spread == len(texts)
+        seen = {}
+        for key, a, b in zip(keys.tolist(), lo.tolist(), hi.tolist()):
+            for i in range(a, b + 1):
+                assert seen.setdefault(data.tobytes()[w.starts[i] : w.ends[i + 34]], key) == key
+        assert sum(b - a + 1 for a, b in zip(lo, hi)) == (w.valid & (w.grams[w.place] == hot)).sum()
+
+
 def test_substring_dedup_small_shards(spark, monkeypatch):
     phrases = [b"a b c d", b"b c d e", b"c d"]
     found = set()
@@ -218,6 +244,79 @@ def test_near_links_lose_nothing(spark):
     assert len(set(root.values())) == len({frozenset(x) for x in _closure(near)})
 
 
+@pytest.mark.parametrize("verified", [False, True])
+def test_near_links_of_one_large_cluster(verified):
+    """4,000 near copies, all in reach of each other, take no step for each of 16 million pairs."""
+    rng = np.random.default_rng(3)
+    flips = [(1 << a) | (1 << b) | (1 << c) for a, b, c in (rng.choice(64, 3, replace=False).tolist() for _ in range(4200))]
+    many = np.unique(np.uint64(0x0123456789ABCDEF) ^ np.array(flips, np.uint64))[:4000]
+    forest, asked, t = simhash.Forest(), [], time.process_time()
+    same = (lambda p, q: asked.append(1) or True) if verified else None
+    for lo in range(0, len(many), simhash.TILE):
+        for lo2 in range(lo, len(many), simhash.TILE):
+            a, b = many[lo : lo + simhash.TILE], many[lo2 : lo2 + simhash.TILE]
+            simhash.link_pairs(forest, a.view(np.int64), b.view(np.int64), *simhash.compare_tiles(a, b, 6), same)
+    assert time.process_time() - t < 2 and len(many) > 3900
+    assert len({forest.root(int(k)) for k in many.view(np.int64)}) == 1 and len(forest.edges) == len(many) - 1
+    assert len(asked) == (len(many) - 1) * verified
+
+
+def test_links_that_count_connect():
+    """Pairs of which some do not count: the components are those of all that do, none is left out."""
+    rng = np.random.default_rng(7)
+    for trial in range(20):
+        x, y = rng.integers(0, 60, 900), rng.integers(0, 50, 900)
+        good = {(int(p), int(q)) for p, q in zip(x, y) if rng.random() < 0.03 * trial / 5}
+        forest, plain = simhash.Forest(), simhash.Forest()
+        a, b = np.arange(60), np.arange(50) + 1000
+        simhash.link_pairs(forest, a, b, x, y, lambda p, q: (p, q) in good)
+        for p, q in good:
+            plain.link(p, q + 1000)
+        keys = [*a.tolist(), *b.tolist()]
+        assert len({(forest.root(k), plain.root(k)) for k in keys}) == len({forest.root(k) for k in keys}) == len({plain.root(k) for k in keys})
+
+
+def test_recall_of_candidates():
+    """Pairs of texts at a similarity of 0.8 or just above, from a few shingles to many: their wide fingerprints are in reach."""
+    rng, missed, n = np.random.default_rng(11), 0, 0
+    for union in (6, 10, 16, 25, 60, 200):
+        both = -(-4 * union // 5)
+        for _ in range(150):
+            h = rng.integers(0, 1 << 64, union, dtype=np.uint64)
+            own = int(rng.integers(0, union - both + 1))
+            a, b = (np.array(simhash.wide_fingerprint(x), np.uint64) for x in (h[: both + own].tolist(), np.concatenate([h[:both], h[both + own :]]).tolist()))
+            bits = np.bitwise_count(a ^ b)
+            missed += bits[0] > 24 or bits.sum() > 72
+            n += 1
+    assert missed <= 1, f"{missed} of {n}"
+
+
+def test_keep_one_equals_all_pairs(spark):
+    """1,000 documents against the Jaccard similarity of all their pairs."""
+    sf = SF.replace("0.001", "0.01")
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = source.select("doc_id", "text").collect()
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for w in [words_of(lower(r.text))] for i in range(max(1, len(w) - 4))} for r in rows}
+    where = {}
+    for k, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(k)
+    up = {k: k for k in sets}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for k, s in sets.items():
+        for o, both in Counter(o for x in s for o in where[x] if o > k).items():
+            if both >= 0.8 * (len(s) + len(sets[o]) - both):
+                a, b = sorted((root(k), root(o)))
+                up[b] = a
+    assert sorted(r.doc_id for r in simhash.keep_one(source).select("doc_id").collect()) == sorted({root(k) for k in sets})
+
+
 def _closure(near):
     left, out = set(range(len(near))), []
     while left:
@@ -257,7 +356,7 @@ def test_decontamination(spark, docs, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     for shard in (200_000, 30):
-        got = {r.doc_id: r for r in decontamination.find_contamination(df, bench, shard_words=shard).collect()}
+        got = {r.doc_id: r for r in decontamination.find_contamination(df, bench, shard_words=shard, cut=True).collect()}
         for k, t in enumerate(texts):
             w, hit, names = norm(t), set(), set()
             for name, item in items:
@@ -271,6 +370,18 @@ def test_decontamination(spark, docs, monkeypatch):
             r = got[k]
             assert (r["__n_words"], r["__n_hit"], r["__items"]) == (len(w), len(hit), sorted(names - {"None"}))
             assert r["__contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
+            word = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+            places = [m.span() for m in word.finditer(t or "")]
+            spans = [(places[s.start][0], places[s.stop - 1][1]) for s in r["__spans"]]
+            assert r["__text"] == (t and "".join(t[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)])))
+            assert all(j in hit for s in r["__spans"] for j in range(s.start, s.stop))
+    with pytest.raises(ValueError):
+        decontamination.find_contamination(df.withColumnRenamed("spans", "__spans"), bench, keep=["__spans"])
+    shared = decontamination.SuffixAutomaton(3)
+    for _ in range(20_000):
+        shared.add([b"a", b"b", b"c"])
+    t = time.perf_counter()
+    assert [len(x) for x in shared.close().items.values()] == [20_000] and time.perf_counter() - t < 2
     assert decontamination.find_contamination(df, bench.limit(0)).where("__n_hit > 0").count() == 0
     assert decontamination.find_contamination(docs, bench, keep=docs.columns).count() == docs.count()
     assert decontamination.find_contamination(empty(spark), bench).count() == 0
@@ -387,7 +498,7 @@ def test_odd_names_and_ids(spark):
 
 def test_flat_files_are_read_by_ranges(spark, monkeypatch, tmp_path):
     np.arange(100, dtype="<u2").tofile(tmp_path / "a.bin")
-    flat = token_files.Flat(f"file://{tmp_path}/a.bin", "<u2")
+    flat = C.Flat(f"file://{tmp_path}/a.bin", "<u2")
     want = flat.read(10, 20).tolist()
     assert flat.mapped is not None and want == list(range(10, 20))
     flat.mapped = None

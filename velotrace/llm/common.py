@@ -68,6 +68,24 @@ def get_bytes(uri: str) -> bytes:
         return f.read()
 
 
+class Flat:
+    """A flat file as an array that is sliced: memory-mapped where it is a local path, else read by ranges."""
+
+    def __init__(self, uri: str, dtype: str | np.dtype):
+        self.fs, self.path = open_fs(uri)
+        self.dtype = np.dtype(dtype)
+        local = self.fs.type_name == "local" and self.fs.get_file_info(self.path).size
+        self.mapped = np.memmap(self.path, self.dtype, "r") if local else None
+
+    def read(self, lo: int, hi: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[lo:hi]
+        if lo >= hi:
+            return np.zeros(0, self.dtype)
+        with self.fs.open_input_file(self.path) as f:
+            return np.frombuffer(f.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), self.dtype)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage with a table in the shared folder; lost executors lose nothing of it."""
     spark = df.sparkSession

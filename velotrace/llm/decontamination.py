@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,7 +90,8 @@ class SuffixAutomaton:
             for c in numbers:
                 v = self.next[v][c]
                 if self.window[v] >= 0:
-                    if item not in (found := self.items.setdefault(self.window[v], [])):
+                    found = self.items.setdefault(self.window[v], [])
+                    if not found or found[-1] != item:  # items come one after another
                         found.append(item)
             if 0 < len(numbers) < width:
                 own.setdefault(v, []).append((item, len(numbers)))
@@ -143,21 +145,26 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def build_automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, shard_words: int = SHARD_WORDS) -> str:
     """Write the items' automata to the shared folder, one file for each `shard_words` item words; returns the folder.
 
-    Items are read in one pass by the driver, a partition at a time; what it holds is one shard. Items with equal
-    words share an entry. An item without words has no window; a null item_id has windows but no name.
+    Items are read in one pass by the driver, a partition at a time, and dealt into shards; what it holds is one
+    shard. Tasks build the automata, one for each shard. Items with equal words share an entry. An item without words
+    has no window; a null item_id has windows but no name.
     """
     uri = C.shared_dir(benchmark.sparkSession, "automata")
     shards, entries, total = 0, {}, 0
 
     def put():
         nonlocal shards, entries, total
-        automaton = SuffixAutomaton(width)
-        for words in entries:
-            automaton.add(list(words))
-        automaton.close()
-        C.put_bytes(f"{uri}/{shards:06d}.bin", pickle.dumps((automaton, list(entries.values()))))
+        C.put_bytes(f"{uri}/{shards:06d}.items", pickle.dumps(entries))
         shards, entries, total = shards + 1, {}, 0
 
+    def build(batches):
+        for s in (s for b in batches for s in b.column(0).to_pylist()):
+            own, automaton = pickle.loads(C.get_bytes(f"{uri}/{s:06d}.items")), SuffixAutomaton(width)
+            for words in own:
+                automaton.add(list(words))
+            C.put_bytes(f"{uri}/{s:06d}.bin", pickle.dumps((automaton.close(), list(own.values()))))
+            yield pa.RecordBatch.from_pydict({"id": pa.array([s], pa.int64())})
+
     for row in benchmark.select(benchmark[id_col].alias("id"), benchmark[text_col].cast("string").alias("text")).toLocalIterator():
         words = tuple(normal_words(row.text))
         if words:
@@ -166,6 +173,7 @@ def build_automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str
             if total >= shard_words:
                 put()
     put()
+    benchmark.sparkSession.range(0, shards, 1, shards).mapInArrow(C.released(build), "id long").write.format("noop").mode("overwrite").save()
     C.put_bytes(f"{uri}/shards", str(shards).encode())
     return uri
 
@@ -181,19 +189,35 @@ def _load(uri: str) -> tuple[SuffixAutomaton, list]:
     return _loaded[uri]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, width: int = WINDOW, coverage: tuple[int, int] = COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Per row of docs: the columns `keep` (default: the id), n_words, n_hit, spans (word spans [start, stop) to remove), item_ids, contaminated.
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without its spans of words, each with what stands between its words; what stands around them stays."""
+    data = text.encode()
+    inside = np.frombuffer(data.translate(_NORMAL), np.uint8) != 32
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    starts, ends = edge[::2].tolist(), edge[1::2].tolist()
+    cuts = [0, *(at for a, b in spans for at in (starts[a], ends[b - 1])), len(data)]
+    return b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2])).decode()
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, width: int = WINDOW, coverage: tuple[int, int] = COVERAGE, shard_words: int = SHARD_WORDS, cut: bool = False
+) -> DataFrame:
+    """Per row of docs: the columns `keep` (default: the id) and __n_words, __n_hit, __spans (word spans [start, stop) to remove), __items, __contaminated and, with `cut`, __text (the text without its spans).
 
     A scan of the documents without shuffle: each task streams its texts through every automaton, one at a time.
     A word is hit if it lies in an occurrence of a window of an item; contaminated: at least one word is hit and at
-    least coverage[0] / coverage[1] of the words are. Null and empty texts have no words and are clean; repeated
-    rows come out each; an empty benchmark leaves all clean; an empty docs gives no rows.
+    least coverage[0] / coverage[1] of the words are. Null and empty texts have no words and are clean; very long
+    texts are read whole; items with equal windows are all named; repeated rows come out each; an empty benchmark
+    leaves all clean; an empty docs gives no rows. Columns of any name and type can be kept but those named here.
     """
     C.bound_batches(docs.sparkSession)
     uri = build_automata(benchmark, "item_id" if "item_id" in benchmark.columns else benchmark.columns[0], "text", width, shard_words)
     keep = keep or [id_col]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
     extra = {"__n_words": T.LongType(), "__n_hit": T.LongType(), "__spans": T.ArrayType(span), "__items": T.ArrayType(T.StringType())}
+    extra |= {"__text": T.StringType()} if cut else {}
+    if set(extra) & set(keep):
+        raise ValueError(f"columns {sorted(set(extra) & set(keep))} cannot be kept beside results of these names")
     kinds = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(c, t) for c, t in extra.items())])
     share, whole = coverage
     passed = [docs[c].alias(f"k{k}") for k, c in enumerate(keep)]
@@ -201,7 +225,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     def run(batches):
         shards = int(C.get_bytes(f"{uri}/shards"))
         for batch in C.slices(batches, "__text"):
-            texts = [normal_words(t) for t in C.column(batch, "__text").to_pylist()]
+            raw = C.column(batch, "__text").to_pylist()
+            texts = [normal_words(t) for t in raw]
             spans: list[list] = [[] for _ in texts]
             names: list[set] = [set() for _ in texts]
             for s in range(shards):
@@ -220,8 +245,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()),
                     pa.array([[{"start": a, "stop": b} for a, b in x] for x in spans], kind),
                     pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                    *([pa.array([without_spans(t, x) if x else t for t, x in zip(raw, spans)], pa.string())] if cut else []),
                 ],
-                [*keep, "__n_words", "__n_hit", "__spans", "__items"],
+                [*keep, *extra],
             )
 
     found = docs.select(*passed, docs[text_col].cast("string").alias("__text")).mapInArrow(C.released(run), kinds)

@@ -4,8 +4,9 @@
    window the 8-gram with the smallest hash (leftmost of equals) is its anchor: equal windows have equal anchors, and
    only about one word in 14 starts one. Anchor hashes that occur twice or more anywhere are routed back to the
    partitions that have them.
-2. Runs of windows with such an anchor go, with their words, to the anchor's bucket. There windows are compared word by
-   word; stretches of windows confirmed to recur are the phrases, routed back to the partitions that they came from.
+2. Runs of windows with such an anchor go, with their words, to the anchor's bucket; those of an anchor that is frequent
+   go to the bucket of a longer span about it instead, so that a common beginning of many different passages is split
+   by what follows and precedes it. There windows are compared word by word; stretches of windows confirmed to recur are the phrases, routed back to the partitions that they came from.
 3. Each partition compiles its phrases into Aho-Corasick automata, in shards of bounded size, and streams all its
    documents through each shard. Every phrase consists of recurring windows, and every recurring window of the
    partition lies in a phrase, so the words of all occurrences are exactly the words to remove.
@@ -38,6 +39,8 @@ WINDOW = 35
 ANCHOR = 8
 #: Anchors, and bytes of contexts, that a task gathers before it sends them on.
 ANCHORS_AT_ONCE, CONTEXT_BYTES = 2_000_000, 48 << 20
+#: Occurrences from which on an anchor is frequent, and the parts into which its windows fall by its place in them.
+FREQUENT, PARTS = 1000, 4
 #: Nodes and distinct words of one automaton.
 SHARD_NODES, SHARD_WORDS = 4_000_000, 260_000
 #: Characters of a word's code, each one of 64.
@@ -68,7 +71,8 @@ class Windows:
         self.data = data
         self.ends = np.flatnonzero(data == 32)
         self.starts = np.concatenate(([0], self.ends[:-1] + 1)) if len(self.ends) else self.ends
-        self.grams = C.gram_hashes(C.word_hashes(data, self.starts, self.ends), min(anchor, window))
+        self.words = C.word_hashes(data, self.starts, self.ends)
+        self.grams = C.gram_hashes(self.words, min(anchor, window))
         n = len(self.starts) - window + 1
         if n <= 0:
             self.valid, self.place = np.zeros(0, bool), np.zeros(0, np.int64)
@@ -78,6 +82,25 @@ class Windows:
         self.place = _leftmost_min(self.grams, max(1, window - anchor + 1))[:n]
 
 
+def context_runs(w: Windows, recurring: np.ndarray, frequent: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose anchor is among the sorted hashes `recurring`: key, first and last window of each.
+
+    The key is the anchor's hash; or, if `frequent`, that of the words that all windows share which have the anchor
+    in the same PARTS-th of them: with four parts 29 of 35 words. Equal windows have equal keys.
+    """
+    own = w.grams[w.place]
+    at = np.minimum(np.searchsorted(recurring, own), len(recurring) - 1)
+    found = np.flatnonzero(w.valid & (recurring[at] == own))
+    step = -(-(window - anchor + 1) // PARTS)
+    key, place = own[found], w.place[found]
+    part = np.where(frequent[at[found]], (place - found) // step, 0)
+    if frequent[at[found]].any():
+        spans = C.gram_hashes(w.words, window - step + 1)
+        key = np.where(frequent[at[found]], C.mix64(spans[np.minimum(place - part * step, len(spans) - 1)]), key)
+    first = np.concatenate(([True], (np.diff(found) != 1) | (np.diff(place) != 0) | (np.diff(part) != 0))) if len(found) else np.zeros(0, bool)
+    return key[first], found[first], found[np.concatenate((first[1:], [True]))] if len(found) else found
+
+
 def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest value of each `width` consecutive ones, by doubling."""
     best, place, size = values, np.arange(len(values)), 1
@@ -212,8 +235,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, with `with_text`,
     text (those words) and spans (word spans removed). Windows are judged on the input. Null and empty texts have no
-    words; repeated rows are documents of their own, so that their windows recur; an empty table gives no rows; a
-    null id is kept; other columns are not looked at. `window` words at least make a window.
+    words; very long texts are read whole; repeated rows are documents of their own, so that their windows recur; of
+    equal windows none is preferred, all go; an empty table gives no rows; a null id is kept; other columns are not
+    looked at. `window` words at least make a window.
     """
     C.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -228,7 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def flush():
             h, count = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return _rows([(b, p, h[at].astype("<u8").tobytes() + np.minimum(count[at], 2).astype(np.uint8).tobytes()) for b, at in _by_bucket(h, buckets)], "bucket", "p")
+            return _rows([(b, p, h[at].astype("<u8").tobytes() + np.minimum(count[at], 65535).astype("<u2").tobytes()) for b, at in _by_bucket(h, buckets)], "bucket", "p")
 
         tmp = f"{path}.{TaskContext.get().taskAttemptId()}.tmp"
         for batch in C.slices(batches):
@@ -241,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sink = fs.open_output_stream(tmp)
                 writer = pq.ParquetWriter(sink, out.schema, compression="zstd", use_dictionary=False)
             writer.write_batch(out)
-            held.append(w.grams[np.unique(w.place[w.valid])])
+            held.append(w.grams[np.unique(w.place[w.valid])])  # each place once, however many windows have it
             size += len(held[-1])
             if size >= ANCHORS_AT_ONCE:
                 yield flush()
@@ -254,21 +278,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield flush()
 
     def find_recurring(batches):
-        got = [(p, np.frombuffer(x, "<u8", len(x) // 9), np.frombuffer(x, np.uint8, len(x) // 9, len(x) // 9 * 8)) for p, x in _gather(batches, "p")]
+        got = [(p, np.frombuffer(x, "<u8", len(x) // 10), np.frombuffer(x, "<u2", len(x) // 10, len(x) // 10 * 8)) for p, x in _gather(batches, "p")]
         if got:
             h, inverse = np.unique(np.concatenate([x[1] for x in got]), return_inverse=True)
-            twice = (np.bincount(inverse, np.concatenate([x[2] for x in got])) > 1)[inverse]
+            times = np.bincount(inverse, np.concatenate([x[2] for x in got]))[inverse]
             rows, lo = [], 0
             for p, mine, _ in got:
-                some = mine[twice[lo : lo + len(mine)]]
+                own = times[lo : lo + len(mine)]
                 lo += len(mine)
-                if len(some):
-                    rows.append((p, 0, some.tobytes()))
+                if (own > 1).any():
+                    rows.append((p, 0, mine[own > 1].tobytes() + (own[own > 1] >= FREQUENT).astype(np.uint8).tobytes()))
             yield _rows(rows, "p", "bucket")
 
     def send_contexts(batches):
         for p in (p for b in batches for p in b.column(0).to_pylist()):
-            recurring = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8") for x in _stored(uri, "anchors", p))]))
+            stored = _stored(uri, "anchors", p)
+            recurring, once = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8", len(x) // 9) for x in stored)]), return_index=True)
+            frequent = np.concatenate([np.zeros(0, bool), *(np.frombuffer(x, bool, len(x) // 9, len(x) // 9 * 8) for x in stored)])[once]
             held: dict[tuple[int, bytes], int] = {}
             size = 0
 
@@ -283,15 +309,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 w = Windows(data, counts, window, anchor)
                 if not len(w.place):
                     continue
-                own = w.grams[w.place]
-                found = w.valid & (recurring[np.minimum(np.searchsorted(recurring, own), len(recurring) - 1)] == own)
-                at = np.flatnonzero(found)
-                if not len(at):
+                keys, lo, hi = context_runs(w, recurring, frequent, window, anchor)
+                if not len(lo):
                     continue
-                first = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(w.place[at]) != 0)))
-                lo, hi = at[first], at[np.concatenate((first[1:], [True]))]
                 whole = data.tobytes()
-                for h, a, b in zip(own[lo].tolist(), w.starts[lo].tolist(), w.ends[hi + window - 1].tolist()):
+                for h, a, b in zip(keys.tolist(), w.starts[lo].tolist(), w.ends[hi + window - 1].tolist()):
                     key = (h, whole[a:b])
                     if key in held:
                         held[key] += 1

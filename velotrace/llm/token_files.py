@@ -72,24 +72,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_i
     return manifest
 
 
-class Flat:
-    """A flat file as an array that is sliced: memory-mapped where it is a local path, else read by ranges."""
-
-    def __init__(self, uri: str, dtype: str):
-        self.fs, self.path = C.open_fs(uri)
-        self.dtype = np.dtype(dtype)
-        local = self.fs.type_name == "local" and self.fs.get_file_info(self.path).size
-        self.mapped = np.memmap(self.path, self.dtype, "r") if local else None
-
-    def read(self, lo: int, hi: int) -> np.ndarray:
-        if self.mapped is not None:
-            return self.mapped[lo:hi]
-        if lo >= hi:
-            return np.zeros(0, self.dtype)
-        with self.fs.open_input_file(self.path) as f:
-            return np.frombuffer(f.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), self.dtype)
-
-
 def read_tokens(spark: SparkSession, uri: str, parts: int, dtype: str, id_kind: T.DataType) -> DataFrame:
     """One row per document from the files: doc_id (of type id_kind), start (ids of all documents before it), n_tokens, ids_crc32."""
     kinds = T.StructType([T.StructField("doc_id", id_kind), *(T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32"))])
@@ -100,7 +82,7 @@ def read_tokens(spark: SparkSession, uri: str, parts: int, dtype: str, id_kind:
             docs, _, _, base = manifest[p].tolist()
             if not docs:
                 continue
-            ids, offsets = Flat(f"{uri}/ids-{p:06d}.bin", dtype), Flat(f"{uri}/offsets-{p:06d}.bin", "<i8")
+            ids, offsets = C.Flat(f"{uri}/ids-{p:06d}.bin", dtype), C.Flat(f"{uri}/offsets-{p:06d}.bin", "<i8")
             fs, path = C.open_fs(f"{uri}/keys-{p:06d}.arrow")
             with fs.open_input_file(path) as f:
                 keys = pa.ipc.open_file(f).read_all()["id"].combine_chunks()
