@@ -518,6 +518,20 @@ def test_shared_folder(spark):
         C.shared_dir(Session, "x")
 
 
+def test_scratch_goes(spark):
+    from pyarrow import fs as pafs
+
+    there = lambda uri: C.open_fs(uri)[0].get_file_info(C.open_fs(uri)[1]).type != pafs.FileType.NotFound
+    out = C.shared_dir(spark, "out")
+    with C.scratch():
+        inner = C.shared_dir(spark, "inner")
+        df = C.materialize(spark.range(5), "x", out)
+        assert there(inner)
+    assert not there(inner) and df.count() == 5
+    C.remove(out)
+    assert not there(out)
+
+
 def test_tasks_follow_the_data(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert C.parallelism(docs) == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ BATCH_BYTES, TASK_BYTES = 8 << 20, 64 << 20
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _own: list[str] = []
+#: Folders of shared_dir that are there.
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -38,17 +41,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     uri = f"{base.rstrip('/')}/velotrace/{name}-{uuid.uuid4().hex}"
     fs, path = open_fs(uri)
     fs.create_dir(path, recursive=True)
+    _made.add(uri)
     atexit.register(remove, uri)
     return uri
 
 
 def remove(uri: str) -> None:
     """Delete a folder of shared_dir; nothing happens if it has gone."""
+    _made.discard(uri)
     fs, path = open_fs(uri)
     if fs.get_file_info(path).type != pafs.FileType.NotFound:
         fs.delete_dir(path)
 
 
+@contextmanager
+def scratch():
+    """Deletes at its end the folders of shared_dir made inside; for work whose result has been written elsewhere by then."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for uri in _made - before:
+            remove(uri)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
@@ -86,12 +102,11 @@ class Flat:
             return np.frombuffer(f.read_at((hi - lo) * self.dtype.itemsize, lo * self.dtype.itemsize), self.dtype)
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage with a table in the shared folder; lost executors lose nothing of it."""
+def materialize(df: DataFrame, name: str, uri: str | None = None) -> DataFrame:
+    """Cut the lineage with a table in the shared folder (at `uri` if given); lost executors lose nothing of it."""
     spark = df.sparkSession
-    uri = shared_dir(spark, name)
-    w = df.write.mode("overwrite").option("compression", "zstd")
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(uri)
+    uri = uri or shared_dir(spark, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 
