@@ -32,14 +32,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more; copies less alike stay."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated, unchanged: those whose spans from benchmark items reach the coverage limit go whole."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where("not __contaminated").select(*docs.columns)
+    """Documents that are not contaminated: those whose spans from benchmark items reach the coverage limit go whole; from others with spans the spans are cut and n_chars follows; documents without a hit stay as they are."""
+    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=[*kept, "n_chars"], cut=True).where("not __contaminated")
+    n_chars = F.when(F.col("__n_hit") > 0, F.length("__text").cast("long")).otherwise(F.col("n_chars"))
+    return found.select(*[{"text": F.col("__text"), "n_chars": n_chars}.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. A stage's table goes when the next one is written, and a stage's own folders with it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = C.materialize(stage(spark, docs, sf_dir), name)
+        uri = C.shared_dir(spark, name)
+        with C.scratch():
+            docs = C.materialize(stage(spark, docs, sf_dir), name, uri)
+        if before:
+            C.remove(before)
+        before = uri
     return STAGES[-1][1](spark, docs, sf_dir)
