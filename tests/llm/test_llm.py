@@ -479,7 +479,7 @@ def test_splitters_are_nearest(spark, fetch):
 def test_odd_names_and_ids(spark):
     """Columns whose names or types need quoting, maps inside structs, string ids: all operators that keep columns or ids."""
     rows = [(f"k{k % 9}", " ".join(f"w{j * k % 13}" for j in range(40)), 1, {"m": k}, ({"n": k}, 2.0)) for k in range(30)] + [(None, None, None, None, None)]
-    df = spark.createDataFrame(rows, "doc_id string, text string, `a b` int, `x:y` map<string,int>, `row` struct<`p q`:map<string,int>,z:double>").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id string, text string, `a b` int, `x:y` map<string,int>, `row` struct<`p q`:map<string,int>,z:double>").withColumn("d.o`t", F.lit(1)).repartition(3)
     whole = sorted(str(r) for r in df.collect())
     assert sorted(str(r.row) for r in quality.judge(df).collect()) == whole
     got = sharding.shard_by_bytes(df, 4).collect()
@@ -543,16 +543,20 @@ def test_pipeline(spark, tmp_path):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     source = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
-    for start in (source, source.limit(0), source.unionByName(spark.createDataFrame([(None, None, None, None, None), (3, "", None, None, 0)], source.schema)).unionByName(source.limit(5))):
+    for start in (source.selectExpr("*", "1 AS `a b`", "map('k', doc_id) AS `x.y`"), source.limit(0), source.unionByName(spark.createDataFrame([(None, None, None, None, None), (3, "", None, None, 0)], source.schema)).unionByName(source.limit(5))):
         df, before = start, start.count()
         for name, stage in corpus_pipeline.STAGES[:-1]:
             df = C.materialize(stage(spark, df, str(tmp_path)), name)
-            assert df.columns == source.columns and df.count() <= before
+            assert df.columns == start.columns and df.count() <= before
             before = df.count()
         pieces = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path))
         assert pieces.select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
     bad = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("-item_id - 1 AS doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
     assert corpus_pipeline.decontaminate(spark, bad, str(tmp_path)).count() == 0
+    some = bad.limit(1).crossJoin(source.where("n_chars > 9000").limit(1).selectExpr("text AS t")).selectExpr("doc_id", "concat(t, chr(10), text, chr(10), t) AS text", "lang", "source", "n_chars")
+    [cut] = corpus_pipeline.decontaminate(spark, some, str(tmp_path)).collect()
+    [whole] = some.collect()
+    assert cut.n_chars == len(cut.text) < len(whole.text) and cut.text.startswith(whole.text[:9000])
     kept = corpus_pipeline.near_dedup(spark, source, str(tmp_path)).toPandas()
     sets = {r.doc_id: {tuple(w[i : i + 5]) for w in [words_of(r.text.lower())] for i in range(max(1, len(w) - 4))} for r in source.collect()}
     for k in set(sets) - set(kept.doc_id):

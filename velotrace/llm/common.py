@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Text bytes that a Python worker takes up at once.
 SLICE_BYTES = 2 << 20
@@ -158,6 +158,11 @@ def slices(batches, text: str = "text", limit: int = SLICE_BYTES):
             lo = hi
 
 
+def col(df: DataFrame, name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -165,7 +165,7 @@ def build_automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str
             C.put_bytes(f"{uri}/{s:06d}.bin", pickle.dumps((automaton.close(), list(own.values()))))
             yield pa.RecordBatch.from_pydict({"id": pa.array([s], pa.int64())})
 
-    for row in benchmark.select(benchmark[id_col].alias("id"), benchmark[text_col].cast("string").alias("text")).toLocalIterator():
+    for row in benchmark.select(C.col(benchmark, id_col).alias("id"), C.col(benchmark, text_col).cast("string").alias("text")).toLocalIterator():
         words = tuple(normal_words(row.text))
         if words:
             total += 0 if words in entries else len(words)
@@ -220,7 +220,7 @@ def find_contamination(
         raise ValueError(f"columns {sorted(set(extra) & set(keep))} cannot be kept beside results of these names")
     kinds = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(c, t) for c, t in extra.items())])
     share, whole = coverage
-    passed = [docs[c].alias(f"k{k}") for k, c in enumerate(keep)]
+    passed = [C.col(docs, c).alias(f"k{k}") for k, c in enumerate(keep)]
 
     def run(batches):
         shards = int(C.get_bytes(f"{uri}/shards"))
@@ -250,7 +250,7 @@ def find_contamination(
                 [*keep, *extra],
             )
 
-    found = docs.select(*passed, docs[text_col].cast("string").alias("__text")).mapInArrow(C.released(run), kinds)
+    found = docs.select(*passed, C.col(docs, text_col).cast("string").alias("__text")).mapInArrow(C.released(run), kinds)
     return found.withColumn("__contaminated", (F.col("__n_hit") > 0) & (whole * F.col("__n_hit") >= share * F.col("__n_words")))
 
 

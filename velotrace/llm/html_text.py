@@ -279,7 +279,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", k
     except `text` and `n_chars`, whose names the results have; other columns are not looked at.
     """
     C.bound_batches(pages.sparkSession)
-    source = pages.select(*[pages[c].alias(f"k{k}") for k, c in enumerate(keep)], pages[html_col].cast("string").alias("text"))
+    source = pages.select(*[C.col(pages, c).alias(f"k{k}") for k, c in enumerate(keep)], C.col(pages, html_col).cast("string").alias("text"))
     kinds = T.StructType([*(T.StructField(c, pages.schema[c].dataType) for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from . import common as C
 
 #: Lines under the rolling hash; a chunk has about `DIVISOR` lines.
 SPAN, DIVISOR = 2, 3
@@ -48,21 +48,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     character but white space) are never removed; a null id comes first; ties are broken by the text's hash and the
     chunk's number; an empty table gives no rows; all columns of docs stay inside `row`, whatever their names.
     """
-    text = docs[text_col].cast("string")
-    each = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    text = C.col(docs, text_col).cast("string")
+    each = docs.select(C.col(docs, id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     each = each.select("id", "t", F.explode(_chunks(F.col("text"), span, divisor)).alias("c")).where((F.col("c.n") >= least) & (F.trim(F.regexp_replace("c.text", r"\s+", "")) != ""))
     each = each.select("id", "t", F.col("c.k").alias("k"), F.xxhash64("c.text").alias("h"), F.col("c.text").alias("bytes"))
     again = each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h")
     # Dealt by hash and salt, so that the exchange by bytes below has a partial aggregation in front of it.
     each = each.withColumn("salt", F.pmod(F.xxhash64("id", "t", "k"), F.lit(SALTS)))
     again = again.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    found = materialize(each.join(again, ["h", "salt"], "left_semi").drop("salt"), "chunks")
+    found = C.materialize(each.join(again, ["h", "salt"], "left_semi").drop("salt"), "chunks")
     first = found.groupBy("h", "bytes").agg(F.min(F.struct("id", "t", "k")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     # Written out, so that the join below has plain exchanges on both sides and a frequent chunk's can be split.
-    first = materialize(first, "chunks")
+    first = C.materialize(first, "chunks")
     cut = found.join(first, ["h", "bytes"]).where(~F.struct("id", "t", "k").eqNullSafe(F.col("first"))).groupBy("id", "t").agg(F.collect_set("k").alias("cut"))
     cut = cut.select(F.col("id").alias("cut_id"), F.col("t").alias("cut_t"), "cut")
-    source = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.xxhash64(text).alias("t"))
+    source = docs.select(F.struct(*[C.col(docs, c) for c in docs.columns]).alias("row"), C.col(docs, id_col).alias("id"), F.xxhash64(text).alias("t"))
     joined = source.join(cut, source.id.eqNullSafe(cut.cut_id) & (source.t == cut.cut_t), "left")
     return joined.select("row", _chunks(F.col("row")[text_col].cast("string"), span, divisor).alias("chunks"), F.coalesce("cut", F.array().cast("array<int>")).alias("cut"))
 

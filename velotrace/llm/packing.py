@@ -142,7 +142,7 @@ def pack_documents(
         if out:
             yield rows()
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), T.StructType(fields))
+    return docs.select(C.col(docs, id_col).alias("id"), C.col(docs, text_col).cast("string").alias("text")).mapInArrow(C.released(run), T.StructType(fields))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
             m = measures(C.column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([C.column(batch, "row"), *(pa.array(m[:, j]) for j in range(len(BASE))), pa.array(pattern(votes(m)))], ["row", *BASE, "votes"])
 
-    source = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(F.struct(*[C.col(docs, c) for c in names]).alias("row"), C.col(docs, text_col).cast("string").alias("text"))
     kinds = T.StructType([T.StructField("row", source.schema["row"].dataType), *(T.StructField(b, T.LongType()) for b in (*BASE, "votes"))])
     found = C.materialize(source.mapInArrow(C.released(run), kinds), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -215,15 +215,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     C.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     n_pieces = pieces or max(1, -(-C.parallelism(docs) // shards))
-    text = docs[text_col].cast("string")
+    text = C.col(docs, text_col).cast("string")
     whole_id = isinstance(docs.schema[id_col].dataType, T.IntegralType)
     # Maps have no hash of their own.
-    hashed = [docs[c].cast("string") if "map<" in docs.schema[c].dataType.simpleString() else docs[c] for c in docs.columns]
+    hashed = [C.col(docs, c).cast("string") if "map<" in docs.schema[c].dataType.simpleString() else C.col(docs, c) for c in docs.columns]
     source = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.struct(*[C.col(docs, c) for c in docs.columns]).alias("row"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES).alias("size"),
         F.xxhash64(text).alias("h"),
-        F.coalesce(docs[id_col].cast("long") if whole_id else F.xxhash64(hashed[docs.columns.index(id_col)]), F.lit(-(1 << 63))).alias("id"),
+        F.coalesce(C.col(docs, id_col).cast("long") if whole_id else F.xxhash64(hashed[docs.columns.index(id_col)]), F.lit(-(1 << 63))).alias("id"),
         F.xxhash64(F.lit(7), text, *hashed).alias("r"),
     )
     keys = C.materialize(source.select("size", *LEVELS), "keys")

@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     C.bound_batches(docs.sparkSession)
     kinds = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), kinds)
+    return docs.select(C.col(docs, id_col).alias("doc_id"), C.col(docs, text_col).cast("string").alias("text")).mapInArrow(C.released(run), kinds)
 
 
 #: A fingerprint with its node's number and, for verification, the place of its text (file, first byte, bytes) and further words.
@@ -358,8 +358,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
         fs.move(tmp, f"{folder}/text-{p:06d}.bin")
         yield from rows
 
-    t = F.xxhash64(docs[text_col].cast("string"))
-    found = C.materialize(docs.select(docs[id_col].alias("id"), t.alias("t"), docs[text_col].cast("string").alias("text")).mapInArrow(C.released(run), kinds), "classes")
+    t = F.xxhash64(C.col(docs, text_col).cast("string"))
+    found = C.materialize(docs.select(C.col(docs, id_col).alias("id"), t.alias("t"), C.col(docs, text_col).cast("string").alias("text")).mapInArrow(C.released(run), kinds), "classes")
     last = F.struct(F.col("id").isNull().alias("none"), "id", "t")
     classes = C.materialize(found.groupBy("key").agg(F.min(last).alias("first"), F.min(F.struct("p", "at", "n", "fp", "m1", "m2", "m3")).alias("place")).select("key", "first", "place.*"), "classes")
     root = components(near_links(classes, radius, wide, texts, shingle, similarity))
@@ -367,7 +367,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("stay_id"), F.col("first.t").alias("stay_t"))
     times = found.groupBy("id", "t").agg(F.count(F.lit(1)).alias("times"))
     stay = C.materialize(stay.join(times, stay.stay_id.eqNullSafe(times.id) & (stay.stay_t == times.t)).select("stay_id", "stay_t", "times"), "stay")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), t.alias("t"))
+    rows = docs.select(F.struct(*[C.col(docs, c) for c in docs.columns]).alias("row"), C.col(docs, id_col).alias("id"), t.alias("t"))
 
     def join(some):
         return rows.join(some, rows.id.eqNullSafe(some.stay_id) & (rows.t == some.stay_t), "left_semi")

@@ -391,7 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         back = rows.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(C.released(work), "p long, bucket long, blob binary")
         back.repartitionById(buckets, F.pmod("p", F.lit(buckets)).cast("int")).mapInArrow(_store(uri, kind), "p long").write.format("noop").mode("overwrite").save()
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(C.col(docs, id_col).alias("id"), C.col(docs, text_col).cast("string").alias("text"))
     route(source.mapInArrow(C.released(send_anchors), "bucket long, p long, blob binary"), find_recurring, "anchors")
     fs, path = C.open_fs(uri)
     places = sorted(int(m[1]) for f in fs.get_file_info(pafs.FileSelector(path)) if (m := re.fullmatch(r"docs-(\d+)\.parquet", f.base_name)))

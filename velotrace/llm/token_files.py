@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, uri: str, id_col: str = "doc_i
             C.put_bytes(f"{uri}/keys-{p:06d}.arrow", sink.getvalue())
         yield pa.RecordBatch.from_pydict({"p": [p], "docs": [len(offsets) - 1], "tokens": [int(offsets[-1])]})
 
-    ordered = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    ordered = docs.select(C.col(docs, id_col).alias("id"), C.col(docs, text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     counts = {r.p: (r.docs, r.tokens) for r in ordered.mapInArrow(C.released(run), "p long, docs long, tokens long").collect()}
     rows = np.array([counts.get(p, (0, 0)) for p in range(max(counts, default=-1) + 1)], np.int64).reshape(-1, 2)
     manifest = np.hstack([rows, np.cumsum(rows, 0) - rows])

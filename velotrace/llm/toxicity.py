@@ -337,7 +337,7 @@ def histograms(docs: DataFrame, known: DataFrame, used: DataFrame, model: Model,
             h, counts = word_rows(C.column(batch, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([C.column(batch, "id"), pa.array(shared.value.languages(h, counts).astype(np.int32)), pa.array(_bins(shared.value.logits(h, counts)))], ["id", "lang", "bin"])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL")
+    source = docs.select(C.col(docs, id_col).alias("id"), C.col(docs, text_col).cast("string").alias("text")).where("id IS NOT NULL")
     scored = source.mapInArrow(C.released(run), T.StructType([source.schema["id"], T.StructField("lang", T.IntegerType()), T.StructField("bin", T.IntegerType())]))
     rest = scored.join(known, "id").join(F.broadcast(used), "id", "left_anti")
     return rest.groupBy("lang", "bin").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
@@ -356,9 +356,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     """
     C.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
+    known = labels.where(C.col(labels, label_col).isNotNull() & C.col(labels, id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     first = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumns({"t": F.xxhash64("text"), "size": F.coalesce(F.octet_length("text"), F.lit(0))})
+    texts = docs.select(C.col(docs, id_col).alias("id"), C.col(docs, text_col).cast("string").alias("text")).withColumns({"t": F.xxhash64("text"), "size": F.coalesce(F.octet_length("text"), F.lit(0))})
     sized = texts.join(F.broadcast(first), "id").groupBy("id", "y").agg(F.min(F.struct("t", "size")).alias("m")).select("id", "y", "m.t", "m.size").orderBy(F.xxhash64("id"), "id").collect()
     chosen, total = [], 0
     for r in sized:
@@ -406,7 +406,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in C.slices(batches, limit=C.SLICE_BYTES // 2):
             yield pa.RecordBatch.from_arrays([C.column(batch, "id"), pa.array(shared.value.score(*word_rows(C.column(batch, "text").to_pylist())))], ["doc_id", "score"])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(C.col(docs, id_col).alias("id"), C.col(docs, text_col).cast("string").alias("text"))
     return source.mapInArrow(C.released(run), T.StructType([T.StructField("doc_id", source.schema["id"].dataType), T.StructField("score", T.DoubleType())]))
 
 
