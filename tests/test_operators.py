@@ -1,6 +1,9 @@
 """Operators on hand-made tracks and against NumPy."""
 
+import glob
+import gzip
 import inspect
+import json
 import math
 
 import numpy as np
@@ -13,7 +16,9 @@ from velotrace.operators import interactions as I
 from velotrace.operators import learning as L
 from velotrace.operators import maneuvers as M
 from velotrace.operators import windows as W
+from velotrace.operators.builder import WindowBuilder
 from velotrace.plans.registry import QUERIES
+from velotrace.sources import config as C
 from velotrace.sources import tracks as T
 
 COLS = "track_id long, frame long, category int, translation_x double, translation_y double, velocity_x double, velocity_y double, acceleration_x double, acceleration_y double, rotation_z double"
@@ -187,18 +192,70 @@ def test_clustering_pipeline(spark):
     assert L.split_columns(["a_mean", "b_std", "c_max"]) == (["a_mean", "c_max"], ["b_std"])
 
 
-def test_auto_k_and_stability(spark, monkeypatch):
+def plain_kmeans(x, centers):
+    """Lloyd's steps until nothing changes."""
+    while True:
+        label = ((x[:, None] - centers) ** 2).sum(2).argmin(1)
+        new = np.array([x[label == k].mean(0) if (label == k).any() else c for k, c in enumerate(centers)])
+        if np.allclose(new, centers, atol=1e-12):
+            return centers, ((x - centers[label]) ** 2).sum()
+        centers = new
+
+
+def vectors(spark, x):
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"c{k} double" for k in range(x.shape[1])))
+    return L.feature_matrix(df, [f"c{k}" for k in range(x.shape[1])])[0].select("id", "features").repartition(3)
+
+
+def test_kmeans_equals_plain_steps(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(c, 1.0, (40, 3)) for c in (0, 3, 7)])
+    monkeypatch.setattr(L, "MOVE", 1e-18)
+    seen, real = [], L._first_centers
+    monkeypatch.setattr(L, "_first_centers", lambda s, k, seed: seen.append(real(s, k, seed)) or seen[-1])
+    df = vectors(spark, x)
+    fits = L.fit_many(df, [(L.View(), k, seed) for k in (1, 2, 4) for seed in (0, 1)])
+    for first, fit in zip(seen, fits):
+        centers, cost = plain_kmeans(x, first)
+        assert np.allclose(fit.centers, centers) and np.isclose(fit.cost, cost)
+    labelled = fits[-1].transform(df).toPandas().sort_values("id")
+    assert labelled.prediction.tolist() == ((x[:, None] - fits[-1].centers) ** 2).sum(2).argmin(1).tolist()
+    assert L.kmeans(df, 3).cost == min(f.cost for f in L.fit_many(df, [(L.View(), 3, s) for s in range(L.RESTARTS)])) and L.RESTARTS == 20
+
+
+def test_views_follow_from_the_rows():
+    rng = np.random.default_rng(1)
+    x, key = rng.normal(size=(20_000, 2)), rng.integers(-(2**63), 2**63 - 1, 20_000)
+    some, more = L.View(3, 0.8), L.View(4, 0.8)
+    at, seen = some.rows(x, key, None)
+    assert abs(len(at) / len(x) - 0.8) < 0.02 and (seen == x[at]).all() and set(at) != set(more.rows(x, key, None)[0])
+    part = some.rows(x[500:900], key[500:900], None)[0] + 500
+    assert set(part) == {k for k in at if 500 <= k < 900}
+    noise = L.View(3, 1.0, 0.05).rows(x, key, np.array([2.0, 10.0]))[1] - x
+    assert np.allclose(noise.std(0), [0.1, 0.5], rtol=0.03) and np.allclose(noise.mean(0), 0, atol=0.01) and abs(np.corrcoef(noise.T)[0, 1]) < 0.03
+    assert abs(((noise / noise.std(0)) ** 4).mean() - 3) < 0.2
+
+
+def test_auto_k_and_stability(spark):
     rng = np.random.default_rng(6)
-    x = np.vstack([rng.normal(c, 0.5, (20, 2)) for c in (0, 9, 18)])
-    df = L.feature_matrix(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double"), ["a", "b"])[0].select("id", "features")
-    real, asked = L.kmeans, []
-    # Fitted with two restarts, to be quick; what was asked for is kept.
-    monkeypatch.setattr(L, "kmeans", lambda d, k, seed=0, restarts=L.RESTARTS: asked.append(restarts) or real(d, k, seed, 2))
+    df = vectors(spark, np.vstack([rng.normal(c, 0.5, (20, 2)) for c in (0, 9, 18)]))
     best, costs, scores = L.auto_k(df, range(2, 5))
     assert len(costs) == len(scores) == 3 and int(np.argmax(scores)) == 1 and best == min(3, range(2, 5)[int(np.argmin(np.gradient(costs)))])
-    found = L.stability(df, 3, runs=2)
+    found = L.stability(df, 3, runs=3)
     assert [m for m, *_ in found] == ["ari_subsample", "ari_seed", "ari_noise"] and all(v == [1.0] * 3 for _, *v in found)
-    assert asked == [L.RESTARTS] * (3 + 1 + 2 * 4) and L.RESTARTS == 20
+    rng = np.random.default_rng(8)
+    rough = {m: v for m, *v in L.stability(vectors(spark, rng.normal(size=(150, 4))), 4, runs=4, restarts=1)}
+    assert all(-0.2 < low <= middle <= high <= 1 for middle, low, high in rough.values()) and rough["ari_seed"][0] < 1
+
+
+def test_contingency_index(spark):
+    rng = np.random.default_rng(3)
+    p, q = rng.integers(0, 3, 200), rng.integers(0, 4, 200)
+    q[:120] = p[:120]
+    table = np.zeros((3, 4))
+    np.add.at(table, (p, q), 1)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(p, q)], "p int, q int")
+    assert np.isclose(L._ari(table), L.adjusted_rand(df, "p", "q").first().ari)
 
 
 def test_registered_restarts(spark, monkeypatch):
@@ -211,18 +268,120 @@ def test_registered_restarts(spark, monkeypatch):
         def kept(*a, **b):
             given = inspect.signature(f).bind(*a, **b)
             given.apply_defaults()
-            asked[name] = given.arguments
+            asked.setdefault(name, []).append(given.arguments)
             return result
 
         monkeypatch.setattr(L, name, kept)
 
     keep("stability", [("ari_seed", 1.0, 1.0, 1.0)])
     keep("auto_k", (2, [1.0] * 4, [1.0] * 4))
-    real, restarts = L.kmeans, []
-    monkeypatch.setattr(L, "kmeans", lambda d, k, seed=0, restarts_=L.RESTARTS, **more: restarts.append(more.get("restarts", restarts_)) or real(d, k, seed, 1))
-    for name in ("stability", "auto_k", "kmeans_sizes", "window_regimes"):
+    keep("kmeans", L.Clusters(np.zeros((1, 64)), 0.0))
+    for name in ("stability", "auto_k", "kmeans_sizes"):
         QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert asked["stability"]["runs"] == 30 and asked["stability"]["restarts"] == asked["auto_k"]["restarts"] == 20 and restarts == [20, 20]
+    assert asked["stability"][0]["runs"] == 30 and all(a["restarts"] == 20 for some in asked.values() for a in some) and len(asked) == 3
+
+
+def test_cross_sums_with_nulls(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(1000, 1, (300, 4))
+    x[:, 3] = x[:, 0] + rng.normal(0, 0.1, 300)
+    rows = [[None if rng.random() < 0.1 else float(v) for v in r] for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").withColumn("e", F.lit(5.0)).repartition(3)
+    want = df.toPandas().corr()
+    got = {(r.a, r.b): r["corr"] for r in L.correlations(df, list("abcde")).collect()}
+    assert len(got) == 10
+    for (a, b), v in got.items():
+        assert v is None if "e" in (a, b) else np.isclose(v, want.loc[a, b])
+
+
+def test_silhouette_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 3)), rng.normal(50, 1, 3).tolist()) for i in range(120)] + [(200, 0, [1.0, 1.0, 1.0]), (201, 1, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>")
+    a, b = ({r.id: r.s for r in L.silhouette(df, block=n).collect()} for n in (7, 1000))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a) and len(a) == 122
+
+
+def test_feature_adapter(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0)], "a_mean double, b_std double, c_max double")
+    adapter = L.FeatureAdapter(df.columns, exclude=("c_max",))
+    assert (adapter.names, adapter.magnitude, adapter.volatility) == (["a_mean", "b_std"], ["a_mean"], ["b_std"])
+    back = adapter.from_vector(adapter.to_vector(df)).first()
+    assert back.struct.asDict() == {"a_mean": 1.0, "b_std": 2.0}
+    with pytest.raises(Exception, match="a vector of 2"):
+        adapter.from_vector(L.FeatureAdapter(df.columns).to_vector(df)).collect()
+
+
+def test_signals_by_salt(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sig = [("TrafficLight" if k % 2 else "WarningSign", *map(float, rng.uniform(0, 300, 2))) for k in range(40)]
+    pts = [(k, 0, *map(float, rng.uniform(-50, 350, 2))) for k in range(200)]
+    s, p = spark.createDataFrame(sig, "name string, x double, y double"), spark.createDataFrame(pts, "track_id long, frame long, translation_x double, translation_y double")
+    for most in (W.BROADCAST_SIGNALS, 3):
+        monkeypatch.setattr(W, "BROADCAST_SIGNALS", most)
+        got = {r.track_id: r for r in W.signal_distances(p, s).collect()}
+        assert len(got) == 200
+        for k, _, x, y in pts:
+            for kind, r in W.SIGNAL_RADIUS.items():
+                d = min((math.hypot(x - a, y - b) for n, a, b in sig if n == kind), default=math.inf)
+                assert got[k][f"dist_{kind}"] == (pytest.approx(d) if d <= r else None)
+        assert W.nearest_signal(p, s, "WarningSign", 20.0).columns == ["track_id", "frame", "distance"]
+
+
+def test_rows_that_are_not_finite_are_no_encounters(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, 3.0, 1.0, -2.0, 0.0, 3.2, 4.0), (1, 1, nan, 1.0, -2.0, 0.0, 3.2, 4.0), (1, 2, 3.0, 1.0, -2.0, 0.0, inf, 4.0), (1, 3, 3.0, 1.0, None, 0.0, 3.2, 4.0), (1, 4, 3.0, 1.0, -2.0, 0.0, 3.2, nan)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "ego_id long, frame long, dx double, dy double, vx_rel double, vy_rel double, distance double, velocity double, category int")
+    assert [r.frame for r in W.frame_safety(df, ["ego_id", "frame"]).collect()] == [0]
+
+
+def test_ids_are_dense_and_ordered(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b), float(t), float(t + 1), float(k)) for k, (a, b, t) in enumerate(zip(rng.integers(0, 9, 300), rng.integers(0, 9, 300), rng.integers(0, 50, 300)))]
+    got = sorted(M.with_ids(spark.createDataFrame(rows, "ego_id long, other_id long, t_start double, t_end double, x double").repartition(5)).collect())
+    assert [r.id for r in got] == list(range(300)) and [tuple(r)[1:] for r in got] == sorted(rows)
+    assert M.with_ids(spark.createDataFrame([], "ego_id long, other_id long, t_start double, t_end double")).count() == 0
+
+
+def test_window_builder(spark):
+    t = tracks(spark, (1, 3, range(60), 0, 0, 4), (2, 1, range(60), 5, 0.5, 4.5))
+    m = spark.createDataFrame([(1, 2, 0.0, 4.0)], "ego_id long, other_id long, t_start double, t_end double")
+    whole = WindowBuilder(t, m)
+    records = whole.records()
+    assert records.schema["infrastructure"].dataType == T.INFRASTRUCTURE
+    got = records.collect()
+    assert len(got) == whole.windows().count() > 3 and all(r.infrastructure is None and r.riding.speed_max == 4.5 and r.traffic is not None for r in got)
+    none = WindowBuilder(t, m, riding=False, traffic=False).records()
+    assert none.schema["riding"].dataType == T.RIDING and none.schema["traffic"].dataType == T.TRAFFIC and all(r.riding is None for r in none.collect())
+    assert {r.speed_max for r in WindowBuilder(t, m, ego_only=True).riding().collect()} == {4.0}
+
+
+def test_config(tmp_path):
+    text = "# c\na:\n  b: ${env.X}/y\n  n: 3\n  deep:\n    f: 1.5  # note\n    t: true\n    s: 'x # y'\nz: ${a.b}-${a.n}\nw: ${a.n}\nempty: null\n"
+    got = C.parse_config(text, {"X": "q"})
+    assert got == {"a": {"b": "q/y", "n": 3, "deep": {"f": 1.5, "t": True, "s": "x # y"}}, "z": "q/y-3", "w": 3, "empty": None}
+    assert C.flat(got)["a.deep.f"] == 1.5
+    for bad, kind in (("a: ${env.NONE}", KeyError), ("a: ${b}\nb: ${a}", ValueError), ("no key", ValueError)):
+        with pytest.raises(kind):
+            C.parse_config(bad, {})
+
+
+def test_lists_are_json_arrays(spark, tmp_path):
+    df = spark.range(10).withColumn("s", F.lit("a,]b")).repartition(3)
+    T.write_lists(df, str(tmp_path / "l"))
+    parts = [json.loads(gzip.open(p).read()) for p in glob.glob(str(tmp_path / "l" / "*.gz"))]
+    assert sorted(r["id"] for p in parts for r in p) == list(range(10))
+    T.write_lists(df.limit(0), str(tmp_path / "none"))
+    assert T.read_records(spark, str(tmp_path / "none"), df.schema, array=True).count() == 0
+    T.write_tracks(tracks(spark, (1, 3, range(5), 0, 0, 4)).unionByName(tracks(spark, (1, 3, range(3), 9, 0, 4))).drop("frame"), str(tmp_path / "t"))
+    got = T.read_tracks(spark, str(tmp_path / "t")).orderBy("frame").collect()
+    assert [r.frame for r in got] == list(range(5)) and got[0].translation_x == 0.0
+
+
+def test_sampled_scatter(spark):
+    df = spark.range(20_000).selectExpr("id", "id * 2 AS y", "'f' AS family", "CASE WHEN id % 5 > 0 THEN id END AS x")
+    assert A.scatter(df, "x", "y", ["family"]).count() == 16_000
+    assert abs(A.scatter(df, "x", "y", ["family"], share=0.25).count() - 4000) < 300
 
 
 def test_interaction_files_and_slices(spark, tmp_path):

@@ -34,15 +34,12 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_thresholds_of_all_rows(spark, duck):
-    """The registered SQL has only every 20th frame; here it is taken without that filter."""
-    sql = ORACLES["overtake_thresholds"].replace(" WHERE frame % 20 = 0", "")
     got = QUERIES["overtake_thresholds"](spark, SF).toPandas()
-    assert rows(got) == rows(duck.execute(sql).df())
     assert len(got[["track_id", "frame"]].drop_duplicates()) == duck.execute("SELECT count(*) FROM events").fetchone()[0]
 
 
 def test_embeddings_are_whole(spark):
-    """Scaling, PCA and metrics of all 64 components against NumPy; the registered SQL has the first 8."""
+    """Scaling, PCA and metrics of all 64 components against NumPy."""
     e = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").toPandas()
     x, lab = np.array(e.embedding.tolist(), float), e.label.to_numpy()
     z = (x - x.mean(0)) / x.std(0)
@@ -67,9 +64,42 @@ def test_embeddings_are_whole(spark):
     assert np.allclose([row.calinski_harabasz, row.davies_bouldin], [ch, db], atol=2e-6) and row.n_clusters == len(c)
 
 
-@pytest.mark.parametrize("name", ["vif", "feature_selection", "pca_variance", "kmeans_sizes", "simplification_sweep"])
-def test_others_run(spark, name):
-    assert QUERIES[name](spark, SF).count()
+def _segments(points, tolerance):
+    """Douglas and Peucker by recursion."""
+    (x0, y0), (x1, y1) = points[0], points[-1]
+    length2 = (x1 - x0) ** 2 + (y1 - y0) ** 2
+    far, at = 0.0, None
+    for k, (x, y) in enumerate(points[1:-1], 1):
+        t = min(1, max(0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / length2)) if length2 else 0
+        d2 = (x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2
+        if d2 > far:
+            far, at = d2, k
+    if far <= tolerance**2:
+        return [points[0], points[-1]]
+    return _segments(points[: at + 1], tolerance)[:-1] + _segments(points[at:], tolerance)
+
+
+def test_simplified_tracks(spark):
+    """The queries without SQL of simplification, against recursion on every track."""
+    traj = registry.trajectories(spark, SF).orderBy("track_id", "frame").toPandas()
+    lines = {k: list(zip(g.translation_x, g.translation_y)) for k, g in traj.groupby("track_id")}
+    want = {(k, n): (*a, *b) for k, p in lines.items() for kept in [_segments(p, 0.1)] for n, (a, b) in enumerate(zip(kept, kept[1:]))}
+    got = {(r.track_id, r.segment): (r.x0, r.y0, r.x1, r.y1) for r in QUERIES["simplify_segments"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=2e-6) for k in want)
+    for r in QUERIES["simplification_sweep"](spark, SF).collect():
+        kept = [_segments(p, r.tolerance) for p in lines.values()]
+        steps = [np.hypot(b[0] - a[0], b[1] - a[1]) for p in kept for a, b in zip(p, p[1:])]
+        assert np.allclose([r.segments, r.length], [len(steps) / len(kept), np.mean(steps)], atol=2e-6)
+
+
+def test_embedding_clusters(spark):
+    """Queries without SQL, whose clusters no statement names: sizes and costs hold together, and more clusters cost less."""
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    sizes = QUERIES["kmeans_sizes"](spark, SF).orderBy("rank").collect()
+    assert sum(r.n for r in sizes) == n and [r.n for r in sizes] == sorted((r.n for r in sizes), reverse=True)
+    found = QUERIES["auto_k"](spark, SF).orderBy("k").collect()
+    costs = [r.cost for r in found]
+    assert costs == sorted(costs, reverse=True) and costs[0] < 64 * n and sum(r.chosen for r in found) == 1
 
 
 def test_entry(spark):

@@ -73,6 +73,14 @@ def deceleration_to_avoid(dx: Column, dy: Column, vx: Column, vy: Column, r_safe
     return F.when((v > 0) & (d > r_safe), F.least(v * v / (2 * F.greatest(d - r_safe, F.lit(s_min))), F.lit(a_max)))
 
 
+def all_finite(*columns: str) -> Column:
+    """Whether none of the columns is missing, NaN or infinite."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return out
+
+
 def finite(x: Column) -> Column:
     """x, or null where it is NaN or infinite."""
     return F.when(F.abs(x) < float("inf"), F.nanvl(x, F.lit(None).cast("double")))

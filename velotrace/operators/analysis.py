@@ -34,6 +34,19 @@ def box_statistics(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     return q.join(inside.groupBy(*by).agg(F.min(column).alias("low"), F.max(column).alias("high")), by).select(*by, "n", "mean", "low", "q1", "median", "q3", "high")
 
 
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, n, mean, std, min, q1, median, q3, max) of each column, nulls left out; one aggregation, the sample's deviation."""
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q1": lambda c: F.percentile(c, 0.25), "median": lambda c: F.percentile(c, 0.5), "q3": lambda c: F.percentile(c, 0.75), "max": F.max}
+    row = df.agg(*[F.struct(*[f(c).alias(n) for n, f in stats.items()]).alias(f"s{k}") for k, c in enumerate(columns)])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"s{k}.{n}").cast("long" if n == "n" else "double").alias(n) for n in stats]) for k, c in enumerate(columns)])))
+
+
+def scatter(df: DataFrame, x: str, y: str, by: list[str], share: float = 1.0, seed: int = 0) -> DataFrame:
+    """(by, x, y) of rows that have both; with `share` below 1 a sample of about that share, chosen by a hash of the row."""
+    some = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    return some if share >= 1 else some.where(F.pmod(F.xxhash64(F.lit(seed), *some.columns), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
 def bounding_box(traj: DataFrame, margin: float) -> DataFrame:
     return traj.agg(*[(f(c) + s * margin).alias(f"{n}_{c[-1]}") for c in ("translation_x", "translation_y") for f, s, n in ((F.min, -1, "min"), (F.max, 1, "max"))])
 

@@ -20,11 +20,6 @@ TIME_SLOT = 30.0
 STATE = ("timestamp", "translation_x", "translation_y", "velocity_x", "velocity_y", "rotation_z")
 
 
-def dedupe_frames(traj: DataFrame) -> DataFrame:
-    """One row for each (track, frame): the one with the smallest values."""
-    return traj.groupBy("track_id", "frame").agg(F.min(F.struct(*[c for c in traj.columns if c not in ("track_id", "frame")])).alias("r")).select("track_id", "frame", "r.*")
-
-
 def _cells(distance: float) -> list[Column]:
     return [F.floor(F.col(c) / distance).alias(k) for c, k in (("translation_x", "cx"), ("translation_y", "cy"))]
 

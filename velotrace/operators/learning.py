@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAGNITUDE, VOLATILITY = ("min", "max", "mean"), ("std", "mad", "qcv", "cv", "var")
 RESTARTS = 20
-#: Fits that run at a time.
-SIDE_BY_SIDE = 8
+#: Steps of a fit at most, the moves at which it rests (the sum of their squares, of a column's mean variance), and the rows among which first centres are chosen.
+STEPS, MOVE, INIT_ROWS = 300, 1e-4, 2000
+#: Rows of which auto_k takes silhouettes.
+SILHOUETTE_ROWS = 20_000
 
 
 def split_columns(names: list[str]) -> tuple[list[str], list[str]]:
@@ -30,6 +33,23 @@ def feature_matrix(df: DataFrame, columns: list[str], drop_null: bool = True, ex
     return VectorAssembler(inputCols=active, outputCol="features", handleInvalid="error" if drop_null else "keep").transform(df), active
 
 
+class FeatureAdapter:
+    """Columns of features and vectors of them, there and back; excluded names are in neither."""
+
+    def __init__(self, names: list[str], exclude: tuple[str, ...] = ()):
+        self.names = [n for n in names if n not in exclude]
+        self.magnitude, self.volatility = split_columns(self.names)
+
+    def to_vector(self, df: DataFrame, output: str = "features") -> DataFrame:
+        return df.withColumn(output, array_to_vector(F.array(*[F.col(n).cast("double") for n in self.names])))
+
+    def from_vector(self, df: DataFrame, vector: str = "features", output: str = "struct") -> DataFrame:
+        """df with a struct of the names; a vector of another length is an error."""
+        v = vector_to_array(vector)
+        checked = F.when(F.size(v) == len(self.names), v).otherwise(F.raise_error(F.concat(F.lit(f"a vector of {len(self.names)} is wanted, not of "), F.size(v).cast("string"))).cast("array<double>"))
+        return df.withColumn(output, F.transform(F.array(checked), lambda a: F.struct(*[a[k].alias(n) for k, n in enumerate(self.names)]))[0])
+
+
 def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their mean, over the population standard deviation (1 where it is zero). One aggregation, a one-row broadcast."""
     stats = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))])
@@ -37,20 +57,44 @@ def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select(*[((F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") > 0, F.col(f"__s_{c}")).otherwise(1.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def cross_sums(df: DataFrame, columns: list[str], centre: list[float] | None = None) -> DataFrame:
+    """(i, j, n, x, xx, xy) of all pairs of columns, less `centre`: over the rows in which neither is null, their number, the sums of column i, of its squares, and of the products.
+
+    Each partition multiplies its rows' matrix with itself and sends one row for each pair of columns.
+    """
+    d, middle = len(columns), np.array(centre if centre is not None else [0.0] * len(columns))
+    names = ("n", "x", "xx", "xy")
+
+    def run(batches):
+        total = {k: np.zeros((d, d)) for k in names}
+        for b in batches:
+            there = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in b.columns], 1).astype(float)
+            x = np.where(there > 0, np.stack([c.fill_null(0).to_numpy() for c in b.columns], 1) - middle, 0.0)
+            for k, m in zip(names, (there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x)):
+                total[k] += m
+        i, j = np.divmod(np.arange(d * d), d)
+        yield pa.RecordBatch.from_pydict({"i": i.astype(np.int32), "j": j.astype(np.int32)} | {k: m.ravel() for k, m in total.items()})
+
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(run, "i int, j int, n double, x double, xx double, xy double")
+    return parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in names])
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, corr) for a before b."""
-    pairs = [(a, b) for j, b in enumerate(columns) for a in columns[:j]]
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])))
+    """(a, b, corr) for a before b, over the rows in which neither is null; null for a constant column."""
+    means = [m or 0.0 for m in df.agg(*[F.avg(c) for c in columns]).first()]
+    s = cross_sums(df, columns, means)
+    pair = s.alias("p").join(F.broadcast(s.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x").alias("y"), F.col("xx").alias("yy"))), ["i", "j"]).where("i < j")
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread = F.sqrt(n * F.col("xx") - x * x) * F.sqrt(n * F.col("yy") - y * y)
+    name = F.array(*[F.lit(c) for c in columns])
+    return pair.select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), F.try_divide(n * F.col("xy") - x * y, spread).alias("corr"))
 
 
 def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Uncentred cross products, columns x columns; the only thing that comes to the driver."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
-    row = df.agg(*[F.sum(F.col(columns[i]) * F.col(columns[j])) for i, j in pairs]).first()
     g = np.zeros((len(columns), len(columns)))
-    for (i, j), v in zip(pairs, row):
-        g[i, j] = g[j, i] = v or 0.0
+    for r in cross_sums(df, columns).select("i", "j", "xy").collect():
+        g[r.i, r.j] = r.xy
     return g
 
 
@@ -117,29 +161,185 @@ class SplitReducer:
         return out
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 0, restarts: int = RESTARTS):
-    """The model of the least cost over restarts, the first of equals, on vector column `features`. Restarts run side by side."""
-    df = df.select("features").cache()
+@dataclass
+class Clusters:
+    """A fit of k-means: centres (k x dimensions), and the sum of squared distances to the nearest."""
+
+    centers: np.ndarray
+    cost: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with `prediction`, the number of the nearest centre to vector column `features`, the first of equals."""
+        v = vector_to_array("features")
+        far = F.array(*[F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in c]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) for c in self.centers])
+        return df.withColumn("prediction", F.transform(F.array(far), lambda d: F.array_position(d, F.array_min(d)) - 1)[0].cast("int"))
+
+
+@dataclass(frozen=True)
+class View:
+    """The rows that a fit sees: all; those of a run's subsample of `share`; or all, blurred by a run's noise of `noise` times each column's deviation."""
+
+    run: int = 0
+    share: float = 1.0
+    noise: float = 0.0
+
+    def rows(self, x: np.ndarray, key: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the rows seen, their values). A row's part in a run and its noise follow from its key alone."""
+        at = np.arange(len(x))
+        if self.share < 1:
+            at = at[_uniform(key, 2 * self.run) < self.share]
+        x = x[at]
+        if self.noise:
+            u = np.stack([_uniform(key[at], (2 * self.run + 1) * 100_003 + d) for d in range(2 * x.shape[1])], 1)
+            x = x + np.sqrt(-2 * np.log(u[:, ::2])) * np.cos(2 * np.pi * u[:, 1::2]) * self.noise * scale
+        return at, x
+
+
+def _uniform(key: np.ndarray, stream: int) -> np.ndarray:
+    """In (0, 1), from a row's key and the number of a stream, by two rounds of a mixing function."""
+    x = key.view(np.uint64) + np.uint64((stream * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def _far(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances, rows x centres."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ centers.T) + (centers * centers).sum(1), 0)
+
+
+def _first_centers(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on a sample."""
+    rng = np.random.default_rng(seed)
+    out = [x[rng.integers(len(x))]]
+    for _ in range(k - 1):
+        near = _far(x, np.array(out)).min(1)
+        out.append(x[rng.choice(len(x), p=near / near.sum()) if near.sum() > 0 else rng.integers(len(x))])
+    return np.array(out)
+
+
+def _batches_of(batches):
+    for b in batches:
+        v = b.column(0)
+        yield np.array(v.flatten().to_numpy(zero_copy_only=False), float).reshape(len(v), -1), b.column(1).to_numpy()
+
+
+def fit_many(df: DataFrame, wanted: list[tuple[View, int, int]], scale: np.ndarray | None = None) -> list[Clusters]:
+    """k-means for each wanted (view, k, seed) on vector column `features`, all side by side: each step is one pass for all of them.
+
+    First centres are chosen by k-means++ among the view's part of the INIT_ROWS rows with the smallest hashes. A step
+    sums the rows of each cluster in each partition, and partitions' sums by fit; only centres come to the driver. A
+    fit rests by MOVE, or after STEPS steps. A cluster without rows keeps its centre.
+    """
+    rows = _keyed(df).persist()  # read once for each step
     try:
-        df.count()  # cached before the first restarts
-        with ThreadPool(min(restarts, SIDE_BY_SIDE)) as pool:
-            models = pool.map(lambda r: KMeans(k=k, seed=seed + r, featuresCol="features").fit(df), range(restarts))
-        return min(models, key=lambda m: m.summary.trainingCost)
+        return _fit_many(rows, wanted, scale)
     finally:
-        df.unpersist()
+        rows.unpersist()
+
+
+def _fit_many(rows: DataFrame, wanted: list[tuple[View, int, int]], scale: np.ndarray | None) -> list[Clusters]:
+    sample = rows.orderBy("key").limit(INIT_ROWS).toArrow().combine_chunks().to_batches()
+    x0, key0 = next(_batches_of(sample), (np.zeros((0, 0)), np.zeros(0, np.int64)))
+    if not len(x0):
+        raise ValueError("no rows")
+    first = {}
+    for view in dict.fromkeys(v for v, _, _ in wanted):
+        first[view] = view.rows(x0, key0, scale)[1]
+    centers = [_first_centers(first[v] if len(first[v]) else x0, k, seed) for v, k, seed in wanted]
+    rest = MOVE * float(x0.var(0).mean())
+    cost, active = [float("inf")] * len(wanted), list(range(len(wanted)))
+    for step in range(STEPS + 1):
+        by_view: dict[View, list[int]] = {}
+        for m in active:
+            by_view.setdefault(wanted[m][0], []).append(m)
+        now = {m: centers[m] for m in active}
+
+        def run(batches):
+            sums = {m: [np.zeros(len(c)), np.zeros(c.shape), 0.0] for m, c in now.items()}
+            for x, key in _batches_of(batches):
+                for view, own in by_view.items():
+                    _, seen = view.rows(x, key, scale)
+                    far = _far(seen, np.concatenate([now[m] for m in own]))
+                    at = 0
+                    for m in own:
+                        k = len(now[m])
+                        mine = far[:, at : at + k]
+                        one = (mine.argmin(1)[:, None] == np.arange(k)).astype(float)
+                        sums[m][0] += one.sum(0)
+                        sums[m][1] += one.T @ seen
+                        sums[m][2] += mine.min(1).sum()
+                        at += k
+            yield pa.RecordBatch.from_pydict({"fit": pa.array(list(sums), pa.int32()), "part": pa.array([np.concatenate((n, s.ravel(), [c])) for n, s, c in sums.values()], pa.list_(pa.float64()))})
+
+        def add(group: pa.Table) -> pa.Table:
+            parts = np.array(group["part"].combine_chunks().flatten().to_numpy()).reshape(len(group), -1)
+            return pa.table({"fit": group["fit"].slice(0, 1), "part": pa.array([parts.sum(0)], pa.list_(pa.float64()))})
+
+        kinds = "fit int, part array<double>"
+        got = rows.mapInArrow(run, kinds).groupBy("fit").applyInArrow(add, kinds).toArrow()
+        left = []
+        for m, part in zip(got["fit"].to_pylist(), got["part"].to_pylist()):
+            k, part = wanted[m][1], np.array(part)
+            n, total = part[:k], part[k:-1].reshape(k, -1)
+            cost[m] = float(part[-1])  # of the centres as they were
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centers[m])
+            if step < STEPS and ((new - centers[m]) ** 2).sum() > rest:
+                centers[m] = new
+                left.append(m)
+        active = left
+        if not active:
+            break
+    return [Clusters(c, x) for c, x in zip(centers, cost)]
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """(v, key): vectors as arrays, and a hash of the id, or of the vector where there is none."""
+    v = vector_to_array("features")
+    return df.select(v.alias("v"), (F.xxhash64("id") if "id" in df.columns else F.xxhash64(v)).alias("key"))
 
 
-def silhouette(df: DataFrame, label: str = "label", vector: str = "v", key: str = "id", buckets: int = 8) -> DataFrame:
+def best_of(fits: list[Clusters]) -> Clusters:
+    """The fit of the least cost, the first of equals."""
+    return min(fits, key=lambda f: f.cost)
+
+
+def kmeans(df: DataFrame, k: int, seed: int = 0, restarts: int = RESTARTS) -> Clusters:
+    """The fit of the least cost over restarts, the first of equals, on vector column `features`."""
+    return best_of(fit_many(df, [(View(), k, seed + r) for r in range(restarts)]))
+
+
+def silhouette(df: DataFrame, label: str = "label", vector: str = "v", key: str = "id", block: int = 2000) -> DataFrame:
     """(key, label, a, b, s): exact Euclidean silhouettes of a stated set against itself, in blocks.
 
-    Every block of rows meets every other once; distances are summed by (row, other's cluster) in the join's own
-    partitions, so no row-by-row table is kept. Quadratic in the set: hand in a sample of a size that you can bear.
+    Every block of `block` rows meets every other once, a pair of blocks being a group of bounded size, of which there
+    are as many as the set asks for; a group's distances are summed by (row, other's cluster) at once in numpy, and
+    only these sums travel. Quadratic in the set: hand in a sample of a size that you can bear.
     """
-    block = F.pmod(F.xxhash64(key), F.lit(buckets))
-    left = df.select(F.col(key).alias("i"), F.col(label).alias("li"), F.col(vector).alias("vi"), block.alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bj"))
-    right = df.select(F.col(key).alias("j"), F.col(label).alias("lj"), F.col(vector).alias("vj"), block.cast("int").alias("bj"))
-    d = F.sqrt(F.aggregate(F.zip_with("vi", "vj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    sums = left.join(right, "bj").groupBy("i", "li", "lj").agg(F.sum(d).alias("d"), F.count(F.lit(1)).alias("n"))
+    blocks = max(1, -(-df.count() // block))
+    own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).alias("v"), own.alias("own"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    sides = rows.select("*", F.explode(every).alias("other"), F.lit(True).alias("asks")).unionByName(rows.select("key", "label", "v", F.explode(every).alias("own"), F.col("own").alias("other"), F.lit(False).alias("asks")))
+
+    def run(group: pa.Table) -> pa.Table:
+        asks = group["asks"].to_numpy()
+        v = np.array(group["v"].combine_chunks().flatten().to_numpy(), float).reshape(len(asks), -1)
+        some, others = v[asks], v[~asks]
+        d = np.sqrt(np.maximum((some**2).sum(1)[:, None] + (others**2).sum(1) - 2 * some @ others.T, 0))
+        # Of distances too small for that form, the difference itself.
+        for a, b in zip(*np.nonzero(d < 1e-3 * np.sqrt((some**2).sum(1))[:, None])):
+            d[a, b] = np.sqrt(((some[a] - others[b]) ** 2).sum())
+        kinds, at = np.unique(group["label"].to_numpy()[~asks], return_inverse=True)
+        one = (at[:, None] == np.arange(len(kinds))).astype(float)
+        mine = group.filter(pa.array(asks))
+        spread = lambda c: c.take(pa.array(np.repeat(np.arange(len(mine)), len(kinds))))
+        return pa.table({"i": spread(mine["key"]), "li": spread(mine["label"]), "lj": pa.array(np.tile(kinds, len(mine)), mine["label"].type), "d": (d @ one).ravel(), "n": np.tile(one.sum(0), len(mine))})
+
+    kinds = T.StructType([T.StructField("i", rows.schema["key"].dataType), T.StructField("li", rows.schema["label"].dataType), T.StructField("lj", rows.schema["label"].dataType), T.StructField("d", T.DoubleType()), T.StructField("n", T.DoubleType())])
+    sums = sides.groupBy("own", "other").applyInArrow(run, kinds).groupBy("i", "li", "lj").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     own = F.col("li") == F.col("lj")
     per = sums.groupBy("i", "li").agg(F.max(F.when(own, F.try_divide(F.col("d"), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("d") / F.col("n"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
@@ -178,34 +378,61 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return row.select(F.coalesce(F.try_divide(F.col("s") - expected, top - expected), F.lit(1.0)).alias("ari"))
 
 
-def auto_k(df: DataFrame, ks: range, seed: int = 0, restarts: int = RESTARTS) -> tuple[int, list[float], list[float]]:
-    """min(elbow, best silhouette) over ks on vector column `features` with a key `id`; also costs and mean silhouettes."""
-    costs, scores = [], []
-    for k in ks:
-        model = kmeans(df, k, seed, restarts)
-        costs.append(model.summary.trainingCost)
-        labelled = model.transform(df).select("id", F.col("prediction").alias("label"), vector_to_array("features").alias("v"))
+def auto_k(df: DataFrame, ks: range, seed: int = 0, restarts: int = RESTARTS, sample: int = SILHOUETTE_ROWS) -> tuple[int, list[float], list[float]]:
+    """min(elbow, best silhouette) over ks on vector column `features` with a key `id`; also costs and mean silhouettes.
+
+    k-means takes all rows. Silhouettes are quadratic, so they are of the `sample` rows with the smallest hashes of
+    their ids; up to that many rows it is all of them.
+    """
+    fits = fit_many(df, [(View(), k, seed + r) for k in ks for r in range(restarts)])
+    best = [best_of(fits[j * restarts : (j + 1) * restarts]) for j in range(len(ks))]
+    some, costs, scores = df.orderBy(F.xxhash64("id"), "id").limit(sample), [m.cost for m in best], []
+    for model in best:
+        labelled = model.transform(some).select("id", F.col("prediction").alias("label"), vector_to_array("features").alias("v"))
         scores.append(silhouette(labelled).agg(F.avg("s")).first()[0])
     elbow = ks[int(np.argmin(np.gradient(costs)))] if len(ks) > 1 else ks[0]
     return min(elbow, ks[int(np.argmax(scores))]), costs, scores
 
 
+def _ari(table: np.ndarray) -> float:
+    """Adjusted Rand index of a contingency table."""
+    two = lambda n: float((n * (n - 1) / 2).sum())
+    a, b, whole = two(table.sum(1)), two(table.sum(0)), two(table.sum())
+    expected = a * b / whole if whole else 0.0
+    top = (a + b) / 2
+    return (two(table) - expected) / (top - expected) if top != expected else 1.0
+
+
 def stability(df: DataFrame, k: int, runs: int = 30, share: float = 0.8, noise: float = 0.05, seed: int = 0, restarts: int = RESTARTS) -> list[tuple[str, float, float, float]]:
-    """(metric, median, p10, p90) of ARI under a subsample, another seed and Gaussian noise; vector column `features` and key `id`."""
+    """(metric, median, p10, p90) of ARI under a subsample, another seed and Gaussian noise; vector column `features` and key `id`.
+
+    All fits of all runs are made side by side, and all contingency tables in one pass.
+    """
     v = vector_to_array("features")
     dims = len(df.select(v).first()[0])
     scale = np.maximum(np.array(df.agg(*[F.stddev_pop(v[d]) for d in range(dims)]).first(), float), 1e-8)
-    label = lambda m, d, name: m.transform(d).select("id", F.col("prediction").alias(name))
-    ari = lambda x, y: adjusted_rand(x.join(y, "id"), "p", "q").first()[0]
-    base, found = label(kmeans(df, k, seed, restarts), df, "p"), {"ari_subsample": [], "ari_seed": [], "ari_noise": []}
+    plain = View()
+    asked = [(plain, seed)]
     for r in range(runs):
-        some = df.where(F.pmod(F.xxhash64(F.lit(seed + r), "id"), F.lit(10_000)) < int(share * 10_000))
-        found["ari_subsample"].append(ari(base.join(some.select("id"), "id", "left_semi"), label(kmeans(some, k, seed + 101 + r, restarts), some, "q")))
-        found["ari_seed"].append(ari(label(kmeans(df, k, seed + 301 + r, restarts), df, "p"), label(kmeans(df, k, seed + 501 + r, restarts), df, "q")))
-        blurred = df.select("id", array_to_vector(F.array(*[v[d] + F.randn(seed + 97 * r + d) * float(noise * scale[d]) for d in range(dims)])).alias("features")).cache()
-        found["ari_noise"].append(ari(base, label(kmeans(blurred, k, seed + 701 + r, restarts), blurred, "q")))
-        blurred.unpersist()
-    return [(m, *(float(np.quantile(x, q)) for q in (0.5, 0.1, 0.9))) for m, x in found.items()]
+        asked += [(View(seed + r, share), seed + 101 + r), (plain, seed + 301 + r), (plain, seed + 501 + r), (View(seed + r, 1.0, noise), seed + 701 + r)]
+    fits = fit_many(df, [(view, k, first + j) for view, first in asked for j in range(restarts)], scale)
+    best = [best_of(fits[j * restarts : (j + 1) * restarts]).centers for j in range(len(asked))]
+    pairs = [pair for r in range(runs) for pair in ((0, 4 * r + 1), (4 * r + 2, 4 * r + 3), (0, 4 * r + 4))]
+
+    def run(batches):
+        tables = np.zeros((len(pairs), k, k))
+        for x, key in _batches_of(batches):
+            for t, (p, q) in enumerate(pairs):
+                at, seen = asked[q][0].rows(x, key, scale)
+                np.add.at(tables[t], (_far(x[at], best[p]).argmin(1), _far(seen, best[q]).argmin(1)), 1)
+        t, p, q = np.nonzero(tables)
+        yield pa.RecordBatch.from_pydict({"t": t, "p": p, "q": q, "n": tables[t, p, q]})
+
+    tables = np.zeros((len(pairs), k, k))
+    for c in _keyed(df).mapInArrow(run, "t long, p long, q long, n double").groupBy("t", "p", "q").agg(F.sum("n").alias("n")).collect():
+        tables[c.t, c.p, c.q] = c.n
+    ari = np.array([_ari(t) for t in tables]).reshape(runs, 3)
+    return [(m, *(float(np.quantile(ari[:, j], q)) for q in (0.5, 0.1, 0.9))) for j, m in enumerate(("ari_subsample", "ari_seed", "ari_noise"))]
 
 
 def cluster_centers(centers: np.ndarray, reducer=None, mean: np.ndarray | None = None, std: np.ndarray | None = None) -> np.ndarray:
@@ -228,7 +455,7 @@ class ClusteringPipeline:
 
     def run(self, df: DataFrame) -> DataFrame:
         """Rows of df with every column present, and their cluster_id. Raises if there are none."""
-        df = df.na.drop(subset=self.columns)
+        df = df.na.drop(subset=self.columns).persist()  # read by scaling, reduction and each step of the fit
         stats = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in self.columns], *[F.stddev_pop(c) for c in self.columns]).first()
         if not stats[0]:
             raise ValueError("no rows with features")
@@ -255,5 +482,5 @@ class ClusteringPipeline:
 
     def centers(self, spark, original: bool = True) -> DataFrame:
         """(cluster_id, columns): one row per cluster, back through PCA and, if `original`, scaling."""
-        c = cluster_centers(np.array(self.model.clusterCenters()), self.reducer, *((self.mean, self.std) if original else ()))
+        c = cluster_centers(self.model.centers, self.reducer, *((self.mean, self.std) if original else ()))
         return spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(c)], "cluster_id int, " + ", ".join(f"`{n}` double" for n in self.columns))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from velotrace.functions import kinematics as K
 from velotrace.functions import sequence as S
+from velotrace.sources.storage import materialize
 
 KEYS = ["track_id", "other_id", "t_start", "t_end"]
 COLUMNS = ("translation_x", "translation_y", "velocity_x", "velocity_y", "acceleration_x", "acceleration_y", "rotation_z")
@@ -64,19 +65,21 @@ class Following:
 JOB = Following(min_length=1.0, max_lateral=2.0, min_long=1.0, max_long=35.0, max_headway=6.0, max_heading=30.0)
 
 
-def following(pf: DataFrame, p: Following = Following()) -> DataFrame:
+def following(pf: DataFrame, p: Following = Following(), compat: bool = False) -> DataFrame:
     """Following maneuvers of smoothed pair frames.
 
     Rows before a sign change of a's longitudinal offset are left out and part the pair into intervals; in each, the
     mean sign says who leads. Runs of rows in which lateral offset, gap, headway and relative heading hold, lasting
-    min_length or more, are maneuvers; a maneuver ends on the row after its last (if there is one).
+    min_length or more, are maneuvers; a maneuver ends on the row after its last (if there is one). With `compat`
+    the last row of each interval counts for its length only, as if intervals ended before their last row.
     """
     w = S.ordered(KEYS, "i")
     rows = pf.withColumn("flip", S.flips_after(F.col("a_long_s"), KEYS, "i")).withColumn("next_t", F.coalesce(F.lead("timestamp").over(w), F.col("timestamp")))
     rows = rows.withColumn("part", F.coalesce(F.sum(F.col("flip").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("NOT flip")
     part = [*KEYS, "part"]
     whole = Window.partitionBy(*part)
-    rows = rows.withColumn("a_follows", F.avg("a_long_s").over(whole) > 0).withColumn("span", F.max("timestamp").over(whole) - F.min("timestamp").over(whole)).where(F.col("span") >= p.min_length - 1e-9)
+    rows = rows.withColumn("span", F.max("timestamp").over(whole) - F.min("timestamp").over(whole)).withColumn("end_i", F.max("i").over(whole)).where(F.col("span") >= p.min_length - 1e-9)
+    rows = (rows.where("i < end_i") if compat else rows).withColumn("a_follows", F.avg("a_long_s").over(whole) > 0)
     pick = lambda c, follower: F.when(F.col("a_follows") == follower, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
     rows = rows.select(
         *part, "i", "timestamp", "next_t",
@@ -105,6 +108,32 @@ def first_of(maneuvers: DataFrame, features: list[str]) -> DataFrame:
     return maneuvers.groupBy(*identity).agg(F.min(F.struct(*rest)).alias("r")).select(*identity, "r.*")
 
 
+def with_ids(maneuvers: DataFrame) -> DataFrame:
+    """Maneuvers with `id`, 0 and up without gaps, in the order of (ego_id, other_id, t_start, t_end) and then of all columns.
+
+    They are written in that order once; a row's number is its place in its partition and the rows of the partitions
+    before, so that no task has all rows.
+    """
+    order = ["ego_id", "other_id", "t_start", "t_end"]
+    placed = maneuvers.orderBy(*order, *[c for c in maneuvers.columns if c not in order]).withColumn("__place", F.monotonically_increasing_id())
+    placed = materialize(placed, "ids").withColumn("__part", F.shiftright("__place", 33))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()  # a row for each partition
+    before, total = [], 0
+    for r in counts:
+        before.append((r[0], total))
+        total += r.n
+    base = maneuvers.sparkSession.createDataFrame(before, "__part long, __before long")
+    number = F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(base), "__part").select(number.alias("id"), *maneuvers.columns)
+
+
+def switch_points(hits: DataFrame, rows: DataFrame, x: str, keys: list[str], k: int = 5) -> DataFrame:
+    """(keys, grp, i): of each session's crossings (keys, grp, i) the one after which the most of the next k - 1 rows have a negative x, the first of equals."""
+    after = F.sum((F.col(x) < 0).cast("int")).over(S.ordered(keys, "i").rowsBetween(1, k - 1))
+    scored = hits.join(rows.select(*keys, "i", F.coalesce(after, F.lit(0)).alias("score")), [*keys, "i"])
+    return scored.groupBy(*keys, "grp").agg(F.max_by("i", F.struct("score", -F.col("i"))).alias("i"))
+
+
 @dataclass
 class Overtaking:
     thresholds: int = 5

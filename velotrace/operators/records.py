@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from velotrace.sources import tracks as T
+
 KEYS = ["ego_id", "other_id", "t_start", "t_end", "w"]
 PREFIX = {"riding": "ride", "traffic": "env", "infrastructure": "infra"}
+KINDS = {"riding": T.RIDING, "traffic": T.TRAFFIC, "infrastructure": T.INFRASTRUCTURE}
 
 
 def window_records(windows: DataFrame, maneuver_type: str, riding: DataFrame | None = None, traffic: DataFrame | None = None, infrastructure: DataFrame | None = None) -> DataFrame:
@@ -14,7 +17,7 @@ def window_records(windows: DataFrame, maneuver_type: str, riding: DataFrame | N
     out = windows.select(*KEYS, F.struct(*[F.col(k) for k in KEYS[:4]], F.lit(maneuver_type).alias("maneuver_type")).alias("meta"), (F.col("f0") / 12.5).alias("win_start"), (F.col("f1") / 12.5).alias("win_end"))
     for name, features in (("riding", riding), ("traffic", traffic), ("infrastructure", infrastructure)):
         if features is None:
-            out = out.withColumn(name, F.lit(None).cast("string"))
+            out = out.withColumn(name, F.lit(None).cast(KINDS[name]))
         else:
             out = out.join(features.select(*KEYS, F.struct(*[c for c in features.columns if c not in KEYS]).alias(name)), KEYS, "left")
     return out
@@ -32,10 +35,10 @@ def group_windows(records: DataFrame, columns: list[str]) -> DataFrame:
     return records.groupBy(*KEYS[:4]).agg(F.sort_array(F.collect_list(F.struct("w", *columns))).alias("windows"))
 
 
-def maneuver_matrix(maneuvers: DataFrame, regimes: DataFrame, features: list[str], exclude: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Maneuvers joined with their regime aggregation, and the active columns: features first, then those of the regimes."""
-    own = [c for c in regimes.columns if c not in KEYS]
-    return maneuvers.join(regimes, KEYS[:4]), [c for c in (*features, *own) if c not in exclude]
+def maneuver_matrix(maneuvers: DataFrame, regimes: DataFrame, features: list[str], exclude: tuple[str, ...] = (), on: list[str] = KEYS[:4]) -> tuple[DataFrame, list[str]]:
+    """Maneuvers joined with their regime aggregation by `on`, and the active columns: features first, then those of the regimes."""
+    own = [c for c in regimes.columns if c not in (*KEYS, *on)]
+    return maneuvers.join(regimes, on), [c for c in (*features, *own) if c not in exclude]
 
 
 def ecdf(df: DataFrame, column: str, by: list[str]) -> DataFrame:

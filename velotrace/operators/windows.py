@@ -17,6 +17,8 @@ R_SAFE = {"car": 3.5, "pedestrian": 1.2, "bicycle": 1.8}
 COUNTED = {"car": (20.0, 5.0), "pedestrian": (5.0, 0.5), "bicycle": (10.0, 2.0)}
 TTC_LIMITS = {"1_5": 1.5, "2": 2.0, "3": 3.0}
 SIGNAL_RADIUS = {"TrafficLight": 60.0, "RegulatorySign": 30.0, "WarningSign": 20.0}
+#: Signals that are broadcast at most; and parts of a cell's rows where there are more.
+BROADCAST_SIGNALS, SALTS = 100_000, 32
 
 
 def sliding_windows(spans: DataFrame, keys: list[str], win_s: float = 1.0, overlap: float = 0.5, fps: float = 12.5) -> DataFrame:
@@ -77,7 +79,8 @@ def riding_features(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def frame_safety(enc: DataFrame, keys: list[str], horizon: float = 6.0) -> DataFrame:
-    """Per keys (one frame each): counts, least TTC and DCA, numbers below the TTC limits and greatest DRAC, by category; one aggregation."""
+    """Per keys (one frame each): counts, least TTC and DCA, numbers below the TTC limits and greatest DRAC, by category; one aggregation. Rows with a missing, NaN or infinite input are left out."""
+    enc = enc.where(K.all_finite("dx", "dy", "vx_rel", "vy_rel", "distance", "velocity"))
     r = F.coalesce(*[F.when(F.col("category") == c, F.lit(R_SAFE[k])) for k, c in CATEGORIES.items()])
     dx, dy, vx, vy = (F.col(c) for c in ("dx", "dy", "vx_rel", "vy_rel"))
     df = enc.withColumn("ttc", K.time_to_collision(dx, dy, vx, vy, r, horizon)).withColumn("dca", K.distance_at_closest_approach(dx, dy, vx, vy, horizon)).withColumn("drac", K.deceleration_to_avoid(dx, dy, vx, vy, r))
@@ -124,14 +127,52 @@ def traffic_features(rows: DataFrame, safety: DataFrame, keys: list[str], horizo
 
 
 def nearest_signal(rows: DataFrame, signals: DataFrame, kind: str, max_radius: float, x: str = "translation_x", y: str = "translation_y", key: tuple[str, ...] = ("track_id", "frame")) -> DataFrame:
-    """(key, distance): Euclidean distance to the nearest signal of a kind, null beyond max_radius. Signals are looked up by grid cells as wide as the radius."""
-    cell = lambda c: F.floor(F.col(c) / max_radius)
+    """(key, distance): Euclidean distance to the nearest signal of a kind, null beyond max_radius."""
+    found = signal_distances(rows, signals, {kind: max_radius}, x, y, key)
+    return found.withColumnRenamed(f"dist_{kind}", "distance")
+
+
+def signal_distances(rows: DataFrame, signals: DataFrame, radius: dict[str, float] | None = None, x: str = "translation_x", y: str = "translation_y", key: tuple[str, ...] = ("track_id", "frame")) -> DataFrame:
+    """(key, dist_NAME for each kind): distance to the nearest signal of the kind, null beyond its radius.
+
+    Signals are gathered by grid cells as wide as the greatest radius, each into its cell's neighbourhood, so a row
+    meets one array of the signals about it and no row is multiplied. A place has few signals but rows of all times:
+    the signals, of a size that is checked, are broadcast; more of them are joined by cell and a salt of the rows'.
+    """
+    radius = radius or SIGNAL_RADIUS
+    width = max(radius.values())
+    cell = lambda c: F.floor(F.col(c) / width)
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    s = signals.where(F.col("name") == kind).select(F.col("x").alias("sx"), F.col("y").alias("sy"), cell("x").alias("cx"), cell("y").alias("cy"))
+    s = signals.where(F.col("name").isin(*radius)).select("name", F.col("x").alias("sx"), F.col("y").alias("sy"), cell("x").alias("cx"), cell("y").alias("cy"))
     s = s.withColumn("cx", F.explode(F.transform(around, lambda k: F.col("cx") + k))).withColumn("cy", F.explode(F.transform(around, lambda k: F.col("cy") + k)))
-    near = rows.select(*key, F.col(x).alias("px"), F.col(y).alias("py"), cell(x).alias("cx"), cell(y).alias("cy")).join(s, ["cx", "cy"], "left")
-    d = F.min(F.hypot(F.col("px") - F.col("sx"), F.col("py") - F.col("sy")))
-    return near.groupBy(*key).agg(d.alias("distance")).withColumn("distance", F.when(F.col("distance") <= max_radius, F.col("distance")))
+    cells = s.groupBy("cx", "cy").agg(F.collect_list(F.struct("name", "sx", "sy")).alias("about"))
+    places = rows.select(*key, F.col(x).alias("px"), F.col(y).alias("py"), cell(x).alias("cx"), cell(y).alias("cy"))
+    if signals.limit(BROADCAST_SIGNALS + 1).count() <= BROADCAST_SIGNALS:
+        near = places.join(F.broadcast(cells), ["cx", "cy"], "left")
+    else:
+        salted = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = places.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(salted, ["cx", "cy", "salt"], "left")
+    least = lambda kind: F.array_min(F.transform(F.filter("about", lambda s: s["name"] == kind), lambda s: F.hypot(F.col("px") - s["sx"], F.col("py") - s["sy"])))
+    near = near.select(*key, *[least(kind).alias(f"dist_{kind}") for kind in radius])
+    return near.select(*key, *[F.when(F.col(f"dist_{kind}") <= r, F.col(f"dist_{kind}")).alias(f"dist_{kind}") for kind, r in radius.items()])
+
+
+def basic_infrastructure(df: DataFrame, roads: DataFrame, offset_x: float = 0.0, offset_y: float = 0.0, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Tracks on their roads: absolute places, magnitudes, heading in [-pi, pi), lane columns with short gaps filled, and the heading against the lane's.
+
+    roads: (track_id, frame, lane_type, lane_angle and other lane columns). Of several rows for one (track, frame) the
+    smallest counts. `bounds` (min x, max x, min y, max y of the map, in absolute places) clips tracks to the map.
+    """
+    lane = [c for c in roads.columns if c not in ("track_id", "frame")]
+    one = roads.groupBy("track_id", "frame").agg(F.min(F.struct(*lane)).alias("r")).select("track_id", "frame", "r.*")
+    out = df.withColumns({
+        "abs_x": F.col("translation_x") + offset_x, "abs_y": F.col("translation_y") + offset_y, "velocity": K.speed(F.col("velocity_x"), F.col("velocity_y")),
+        "acceleration": K.acceleration(F.col("acceleration_x"), F.col("acceleration_y")), "rotation_z": K.wrap(F.col("rotation_z")),
+    }).join(one, ["track_id", "frame"], "left")
+    out = fill_lane_gaps(out, lane).withColumn("heading_deviation", K.heading_deviation(F.col("rotation_z"), F.col("lane_angle")))
+    if bounds:
+        out = out.where(F.col("abs_x").between(*bounds[:2]) & F.col("abs_y").between(*bounds[2:]))
+    return out
 
 
 def lane_columns(df: DataFrame) -> DataFrame:

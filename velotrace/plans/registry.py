@@ -15,8 +15,12 @@ from velotrace.operators import learning as L
 from velotrace.operators import maneuvers as M
 from velotrace.operators import records as R
 from velotrace.operators import windows as W
+from velotrace.operators.builder import WindowBuilder
 from velotrace.plans import oracles as O
 from velotrace.plans.fixtures import LANE_SQL, SIGNAL_SQL, TRAJ_SQL, lanes, regime_sequence, signals, table, trajectories
+from velotrace.sources import config as C
+from velotrace.sources import tracks as X
+from velotrace.sources.storage import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +62,11 @@ def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.window_rows(_slice(spark, sf_dir), W.ID)
 
 
+def _builder(spark: SparkSession, sf_dir: str) -> WindowBuilder:
+    traj = trajectories(spark, sf_dir)
+    return WindowBuilder(traj, _maneuvers(spark, sf_dir), lanes=lanes(traj), signals=signals(spark, sf_dir))
+
+
 def _encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.encounters(trajectories(spark, sf_dir), _maneuvers(spark, sf_dir).withColumnRenamed("ego_id", "track_id"))
 
@@ -273,7 +282,7 @@ def overtake_windows(spark, sf_dir):
     return rounded(M.overtake_windows(_pf10(spark, sf_dir)).select(*M.KEYS, F.col("grp").cast("int").alias("grp"), "z", "from_i", "to_i", "pov"))
 
 
-@query("overtake_thresholds", f"{T}, l AS (SELECT track_id, frame, translation_y AS lat_z FROM traj WHERE frame % 20 = 0) SELECT track_id, frame, k AS k, round(ths[k], 6) AS threshold FROM (SELECT *, {O.THRESHOLDS} AS ths FROM l), unnest(generate_series(1, len(ths))) AS u(k)")
+@query("overtake_thresholds", f"{T}, l AS (SELECT track_id, frame, translation_y AS lat_z FROM traj) SELECT track_id, frame, k AS k, round(ths[k], 6) AS threshold FROM (SELECT *, {O.THRESHOLDS} AS ths FROM l), unnest(generate_series(1, len(ths))) AS u(k)")
 def overtake_thresholds(spark, sf_dir):
     df = trajectories(spark, sf_dir).select("track_id", "frame", F.posexplode(M.thresholds(F.col("translation_y"))).alias("k", "threshold"))
     return rounded(df.withColumn("k", (F.col("k") + 1).cast("long")))
@@ -305,8 +314,7 @@ def window_stats(spark, sf_dir):
 
 @query("riding_features", O.RIDING)
 def riding_features(spark, sf_dir):
-    rows = W.rotation_fluctuation(_slice(spark, sf_dir), [*W.ID, "track_id"], ["frame"])
-    return rounded(W.riding_features(W.window_rows(rows, W.ID), W.ID))
+    return rounded(_builder(spark, sf_dir).riding())
 
 
 _ENC = f"{T}, {O.MANEUVERS}, {O.ENCOUNTERS}"
@@ -337,24 +345,16 @@ def drac(spark, sf_dir):
 
 @query("traffic_features", O.TRAFFIC)
 def traffic_features(spark, sf_dir):
-    safety = W.frame_safety(_encounters(spark, sf_dir), ["ego_id", "t_start", "t_end", "frame"])
-    df = W.traffic_features(_windowed(spark, sf_dir), safety, W.ID)
+    df = _builder(spark, sf_dir).traffic()
     # Infinity stands for no encounter; the registered result shows 1e9, since it can't be compared rounded.
     return rounded(df.withColumns({f"{c}_min_dca_min": F.when(F.col(f"{c}_min_dca_min") < math.inf, F.col(f"{c}_min_dca_min")).otherwise(1e9) for c in W.CATEGORIES}))
 
 
 @query("nearest_signal", f"{T}, {SIGNAL_SQL}{O.SIGNALS} SELECT track_id, frame, {', '.join(O.R(f'dist_{k}', f'dist_{k}') for k in W.SIGNAL_RADIUS)} FROM traj LEFT JOIN d_TrafficLight USING (track_id, frame) LEFT JOIN d_RegulatorySign USING (track_id, frame) LEFT JOIN d_WarningSign USING (track_id, frame)")
 def nearest_signal(spark, sf_dir):
-    return rounded(_signal_distances(spark, sf_dir))
+    return rounded(W.signal_distances(trajectories(spark, sf_dir), signals(spark, sf_dir)))
 
 
-def _signal_distances(spark, sf_dir) -> DataFrame:
-    traj, sig = trajectories(spark, sf_dir), signals(spark, sf_dir)
-    out = traj.select("track_id", "frame")
-    for kind, radius in W.SIGNAL_RADIUS.items():
-        out = out.join(W.nearest_signal(traj, sig, kind, radius).withColumnRenamed("distance", f"dist_{kind}"), ["track_id", "frame"], "left")
-    return out
-
 
 _LANE_OUT = ("offset_lane_center", "rel_offset_lane_center", "rel_position_lane", "min_lateral_clearance", "max_lateral_clearance")
 
@@ -376,10 +376,7 @@ def lane_gap_fill(spark, sf_dir):
 
 @query("infrastructure_features", O.INFRA)
 def infrastructure_features(spark, sf_dir):
-    rows = _windowed(spark, sf_dir)
-    lane = W.lane_columns(lanes(trajectories(spark, sf_dir)))
-    rows = rows.select(*W.ID, "track_id", "frame", "w").join(lane, ["track_id", "frame"]).join(_signal_distances(spark, sf_dir), ["track_id", "frame"])
-    return rounded(W.infrastructure_features(rows, W.ID))
+    return rounded(_builder(spark, sf_dir).infrastructure())
 
 
 @query("regime_aggregation", O.REGIMES)
@@ -387,37 +384,50 @@ def regime_aggregation(spark, sf_dir):
     return rounded(W.aggregate_regimes(regime_sequence(spark, sf_dir).withColumn("volatile", F.col("local_regime") == 1)))
 
 
-#: The whole embedding, and the columns of the correlations and VIFs.
 _DIMS = [f"e{k}" for k in range(64)]
-_FIRST = _DIMS[:8]
-_EMB = f"WITH x AS (SELECT vec_id, label, {', '.join(f'CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}' for k in range(8))} FROM embeddings)"
+_EMB = f"WITH x AS (SELECT vec_id, label, {', '.join(f'CAST(embedding[{k + 1}] AS DOUBLE) AS e{k}' for k in range(64))} FROM embeddings)"
+
+
+def _embeddings(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(64)])
 
 
-def _embeddings(spark, sf_dir, dims: int = 64) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(dims)])
+def _long(more: str = "") -> str:
+    """CTE of the embeddings' components (vec_id, d, v), d from 0; `more` adds derived ones."""
+    return f"l AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings{more})"
 
 
-@query("zscore", f"{_EMB} SELECT vec_id, {', '.join(O.R(f'(e{k} - avg(e{k}) OVER ()) / (CASE WHEN stddev_pop(e{k}) OVER () > 0 THEN stddev_pop(e{k}) OVER () ELSE 1 END)', f'e{k}') for k in range(8))} FROM x")
+_DERIVED = " UNION ALL SELECT vec_id, 64 AS d, CAST(embedding[1] AS DOUBLE) * 2 + 0.001e0 * CAST(embedding[2] AS DOUBLE) AS v FROM embeddings"
+_CORR = "c AS (SELECT a.d AS i, b.d AS j, corr(a.v, b.v) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.d < b.d GROUP BY ALL)"
+#: The diagonal of the inverse by sweeps: after all of them the matrix is the inverse's negative.
+_VIF = """g AS (SELECT a.d AS i, b.d AS j, sum(a.v * b.v) AS s FROM kept a JOIN kept b USING (vec_id) GROUP BY ALL),
+nr AS (SELECT i, list(s ORDER BY j) AS r FROM g GROUP BY i), g0 AS (SELECT list(r ORDER BY i) AS m, list(i ORDER BY i) AS names, count(*) AS n FROM nr),
+sw AS (SELECT 1 AS k, m, m AS g, names, n FROM g0 UNION ALL SELECT k + 1, [[CASE WHEN i = k AND j = k THEN -1 / m[k][k] WHEN i = k OR j = k THEN m[i][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END FOR j IN range(1, n + 1)] FOR i IN range(1, n + 1)], g, names, n FROM sw WHERE k <= n),
+v AS (SELECT names[i] AS d, -m[i][i] * g[i][i] AS vif FROM sw, unnest(range(1, n + 1)) AS u(i) WHERE k = n + 1)"""
+
+
+@query("zscore", f"{_EMB} SELECT vec_id, {', '.join(O.R(f'(e{k} - avg(e{k}) OVER ()) / (CASE WHEN stddev_pop(e{k}) OVER () > 0 THEN stddev_pop(e{k}) OVER () ELSE 1 END)', f'e{k}') for k in range(64))} FROM x")
 def zscore(spark, sf_dir):
     return rounded(L.zscore(_embeddings(spark, sf_dir), _DIMS).drop("label"))
 
 
-@query("corr_pairs", f"{_EMB} " + " UNION ALL ".join(f"SELECT 'e{i}' AS a, 'e{j}' AS b, {O.R(f'corr(e{i}, e{j})', 'corr')} FROM x" for j in range(8) for i in range(j)))
+@query("corr_pairs", f"WITH {_long()}, {_CORR} SELECT 'e' || i AS a, 'e' || j AS b, {O.R('r', 'corr')} FROM c")
 def corr_pairs(spark, sf_dir):
-    return rounded(L.correlations(_embeddings(spark, sf_dir, 8), _FIRST))
+    return rounded(L.correlations(_embeddings(spark, sf_dir), _DIMS))
 
 
-@query("vif")
+@query("vif", f"WITH RECURSIVE {_long()}, kept AS (SELECT * FROM l), {_VIF} SELECT 'e' || d AS feature, round(vif, 4) AS vif FROM v")
 def vif(spark, sf_dir):
-    found = L.vif(_embeddings(spark, sf_dir, 8), _FIRST)
-    return rounded(spark.createDataFrame(list(found.items()), "feature string, vif double"))
+    found = L.vif(_embeddings(spark, sf_dir), _DIMS)
+    return rounded(spark.createDataFrame(list(found.items()), "feature string, vif double"), 4)
 
 
-@query("feature_selection")
+@query("feature_selection", f"WITH RECURSIVE {_long(_DERIVED)}, {_CORR}, gone AS (SELECT DISTINCT j FROM c WHERE abs(r) > 0.9), kept AS (SELECT * FROM l WHERE d NOT IN (SELECT j FROM gone)), {_VIF} SELECT 'e' || x.d AS feature, coalesce(v.vif > 5, true) AS dropped FROM (SELECT DISTINCT d FROM l) x LEFT JOIN v USING (d)")
 def feature_selection(spark, sf_dir):
-    df = _embeddings(spark, sf_dir, 8).withColumn("e8", F.col("e0") * 2 + 0.001 * F.col("e1"))
-    dropped = L.select_features(df, [*_FIRST, "e8"])
-    return spark.createDataFrame([(c, c in dropped) for c in [*_FIRST, "e8"]], "feature string, dropped boolean")
+    names = [*_DIMS, "e64"]
+    df = _embeddings(spark, sf_dir).withColumn("e64", F.col("e0") * 2 + 0.001 * F.col("e1"))
+    dropped = L.select_features(df, names)
+    return spark.createDataFrame([(c, c in dropped) for c in names], "feature string, dropped boolean")
 
 
 @query("pca_variance")
@@ -449,7 +459,67 @@ def stability(spark, sf_dir):
     return rounded(spark.createDataFrame(L.stability(_vectors(spark, sf_dir), 3, runs=30), "metric string, median double, p10 double, p90 double"), 4)
 
 
-_DIST = "sqrt(" + " + ".join(f"(a.e{k} - b.e{k}) ** 2" for k in range(8)) + ")"
+#: Of each track the mean speed along x: five values, far apart, whatever the table's size.
+_SPEEDS = f"{T}, x AS (SELECT track_id, track_id % 5 AS label, avg(velocity_x) AS v FROM traj GROUP BY track_id)"
+
+
+def _speeds(spark, sf_dir) -> DataFrame:
+    df = trajectories(spark, sf_dir).groupBy(F.col("track_id").alias("id")).agg(F.avg("velocity_x").alias("v"))
+    return L.feature_matrix(df, ["v"])[0].select("id", "features")
+
+
+@query("kmeans_speeds", f"{_SPEEDS}, c AS (SELECT label, count(*) AS n, avg(v) AS c, sum((v - m) ** 2) AS cost FROM x JOIN (SELECT label, avg(v) AS m FROM x GROUP BY label) USING (label) GROUP BY label) SELECT n, {O.R('c', 'center', 4)}, {O.R('sum(cost) OVER ()', 'cost', 4)} FROM c")
+def kmeans_speeds(spark, sf_dir):
+    """Where the best clusters are known, k-means finds them: members, centres and cost."""
+    df = _speeds(spark, sf_dir)
+    model = L.kmeans(df, 5)
+    sizes = model.transform(df).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    centers = spark.createDataFrame([(k, float(c[0])) for k, c in enumerate(model.centers)], "prediction int, center double")
+    return rounded(sizes.join(F.broadcast(centers), "prediction").select("n", "center", F.lit(model.cost).alias("cost")), 4)
+
+
+@query(
+    "auto_k_speeds",
+    f"{_SPEEDS}, d AS (SELECT a.track_id, a.label AS la, b.label AS lb, sum(abs(a.v - b.v)) AS d, count(*) AS n FROM x a CROSS JOIN x b GROUP BY ALL), p AS (SELECT track_id, max(d / nullif(n - 1, 0)) FILTER (WHERE la = lb) AS a, min(d / n) FILTER (WHERE la <> lb) AS b FROM d GROUP BY track_id) "
+    f"SELECT 5 AS best_silhouette_k, {O.R('avg((b - a) / greatest(a, b))', 'silhouette', 4)} FROM p",
+)
+def auto_k_speeds(spark, sf_dir):
+    """The number of clusters with the best silhouette, and that silhouette."""
+    _, _, scores = L.auto_k(_speeds(spark, sf_dir), range(2, 8))
+    best = max(range(len(scores)), key=scores.__getitem__)
+    return rounded(spark.createDataFrame([(best + 2, float(scores[best]))], "best_silhouette_k int, silhouette double"), 4)
+
+
+@query("stability_speeds", "SELECT * FROM (VALUES ('ari_subsample', 1e0, 1e0, 1e0), ('ari_seed', 1e0, 1e0, 1e0), ('ari_noise', 1e0, 1e0, 1e0)) AS t(metric, median, p10, p90)")
+def stability_speeds(spark, sf_dir):
+    """Clusters that are far apart stay the same under subsamples, seeds and noise."""
+    return rounded(spark.createDataFrame(L.stability(_speeds(spark, sf_dir), 5), "metric string, median double, p10 double, p90 double"), 4)
+
+
+@query(
+    "pca_moments",
+    f"WITH {_long()}, c AS (SELECT a.d AS i, b.d AS j, corr(a.v, b.v) AS r FROM l a JOIN l b USING (vec_id) GROUP BY ALL), s AS (SELECT a.i, b.j, sum(a.r * b.r) AS r FROM c a JOIN c b ON a.j = b.i GROUP BY ALL) "
+    "SELECT 64 AS components, round(1e0, 8) AS p1, (SELECT round(sum(r * r) / 64e0 ** 2, 8) FROM c) AS p2, (SELECT round(sum(s.r * c.r) / 64e0 ** 3, 8) FROM s JOIN c ON s.i = c.i AND s.j = c.j) AS p3, (SELECT round(sum(r * r) / 64e0 ** 4, 8) FROM s) AS p4",
+)
+def pca_moments(spark, sf_dir):
+    """Sums of powers of the components' shares, which are those of the correlation matrix's eigenvalues, found without eigenvalues in SQL."""
+    shares = L.Reducer(_DIMS, 1.0).fit(L.zscore(_embeddings(spark, sf_dir), _DIMS)).explained
+    return rounded(spark.createDataFrame([(len(shares), *(float((shares**p).sum()) for p in (1, 2, 3, 4)))], "components int, p1 double, p2 double, p3 double, p4 double"), 8)
+
+
+@query("pca_scores", "SELECT unnest(generate_series(1, 64)) AS component, 0e0 AS mean, 0e0 AS share_off, 0e0 AS most_correlated")
+def pca_scores(spark, sf_dir):
+    """Of each component's scores: mean zero, variance as its share says, no correlation with any other's."""
+    z = L.zscore(_embeddings(spark, sf_dir), _DIMS)
+    r = L.Reducer(_DIMS, 1.0).fit(z)
+    names = [f"pc{k + 1}" for k in range(r.k)]
+    sums = L.cross_sums(r.transform(z).select(*names), names)
+    some = sums.groupBy("i").agg(F.max(F.when(F.col("i") == F.col("j"), F.col("x") / F.col("n"))).alias("mean"), F.max(F.when(F.col("i") == F.col("j"), F.col("xx") / F.col("n") / 64)).alias("share"), F.max(F.when(F.col("i") != F.col("j"), F.abs(F.col("xy") / F.col("n")))).alias("most"))
+    shares = F.array(*[F.lit(float(x)) for x in r.explained])
+    return some.select((F.col("i") + 1).alias("component"), *[(F.round(c, 5) + 0.0).alias(n) for c, n in ((F.abs("mean"), "mean"), (F.abs(F.col("share") - shares[F.col("i")]), "share_off"), (F.col("most"), "most_correlated"))])
+
+
+_DIST = "sqrt(" + " + ".join(f"(a.e{k} - b.e{k}) ** 2" for k in range(64)) + ")"
 
 
 @query(
@@ -461,15 +531,15 @@ def silhouette(spark, sf_dir):
     return rounded(L.silhouette(df, key="vec_id").select("vec_id", "label", "s"))
 
 
-_C = ", ".join(f"avg(e{k}) AS c{k}" for k in range(8))
+_C = ", ".join(f"avg(e{k}) AS c{k}" for k in range(64))
 
 
 @query(
     "ch_db",
     f"{_EMB}, c AS (SELECT label, count(*) AS n, {_C} FROM x GROUP BY label), g AS (SELECT count(*) AS total, {_C.replace(' AS c', ' AS g')} FROM x), "
-    f"f AS (SELECT label, n, {' + '.join(f'(e{k} - c{k}) ** 2' for k in range(8))} AS d2 FROM x JOIN c USING (label)), w AS (SELECT label, sum(d2) AS w, avg(sqrt(d2)) AS s FROM f GROUP BY label), "
-    f"r AS (SELECT a.label, max((wa.s + wb.s) / sqrt({' + '.join(f'(a.c{k} - b.c{k}) ** 2' for k in range(8))})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN w wa ON wa.label = a.label JOIN w wb ON wb.label = b.label GROUP BY a.label), "
-    f"bt AS (SELECT sum(n * ({' + '.join(f'(c{k} - g{k}) ** 2' for k in range(8))})) AS b, count(*) AS k, max(total) AS total FROM c CROSS JOIN g) "
+    f"f AS (SELECT label, n, {' + '.join(f'(e{k} - c{k}) ** 2' for k in range(64))} AS d2 FROM x JOIN c USING (label)), w AS (SELECT label, sum(d2) AS w, avg(sqrt(d2)) AS s FROM f GROUP BY label), "
+    f"r AS (SELECT a.label, max((wa.s + wb.s) / sqrt({' + '.join(f'(a.c{k} - b.c{k}) ** 2' for k in range(64))})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN w wa ON wa.label = a.label JOIN w wb ON wb.label = b.label GROUP BY a.label), "
+    f"bt AS (SELECT sum(n * ({' + '.join(f'(c{k} - g{k}) ** 2' for k in range(64))})) AS b, count(*) AS k, max(total) AS total FROM c CROSS JOIN g) "
     f"SELECT {O.R('(b / (k - 1)) / ((SELECT sum(w) FROM w) / (total - k))', 'calinski_harabasz')}, {O.R('(SELECT avg(r) FROM r)', 'davies_bouldin')}, k AS n_clusters FROM bt",
 )
 def ch_db(spark, sf_dir):
@@ -493,8 +563,7 @@ def regime_map(spark, sf_dir):
 @query("window_regimes")
 def window_regimes(spark, sf_dir):
     """Riding windows to regimes to one aggregation per maneuver: matrix, scaling, PCA, two clusters, mapping, sequence."""
-    rows = W.rotation_fluctuation(_slice(spark, sf_dir), [*W.ID, "track_id"], ["frame"])
-    features = W.riding_features(W.window_rows(rows, W.ID), W.ID)
+    features = _builder(spark, sf_dir).riding()
     names = [c for c in features.columns if c not in (*W.ID, "w")]
     pipeline = L.ClusteringPipeline(names, 2, L.Reducer(names, 0.8))
     labelled = pipeline.run(features)
@@ -516,21 +585,6 @@ def simplification_sweep(spark, sf_dir):
 _SHOWN = {"r": ("ride", ("speed_mean", "acc_std", "rot_fluc_mad")), "t": ("env", ("car_count_mean", "bicycle_min_ttc_min")), "i": ("infra", ("lane_width", "distance_traffic_light"))}
 
 
-def _riding(spark, sf_dir) -> DataFrame:
-    return W.riding_features(W.window_rows(W.rotation_fluctuation(_slice(spark, sf_dir), [*W.ID, "track_id"], ["frame"]), W.ID), W.ID)
-
-
-def _traffic(spark, sf_dir) -> DataFrame:
-    safety = W.frame_safety(_encounters(spark, sf_dir), ["ego_id", "t_start", "t_end", "frame"])
-    return W.traffic_features(_windowed(spark, sf_dir), safety, W.ID)
-
-
-def _infrastructure(spark, sf_dir) -> DataFrame:
-    rows = _windowed(spark, sf_dir).select(*W.ID, "track_id", "frame", "w")
-    lane = W.lane_columns(lanes(trajectories(spark, sf_dir)))
-    return W.infrastructure_features(rows.join(lane, ["track_id", "frame"]).join(_signal_distances(spark, sf_dir), ["track_id", "frame"]), W.ID)
-
-
 @query(
     "window_records",
     "SELECT ego_id, other_id, t_start, t_end, w, round(f0 * 0.08, 6) AS win_start, round(f1 * 0.08, 6) AS win_end, "
@@ -539,9 +593,7 @@ def _infrastructure(spark, sf_dir) -> DataFrame:
     + " ".join(f"LEFT JOIN ({sql}) {a} USING (ego_id, other_id, t_start, t_end, w)" for a, sql in (("r", O.RIDING), ("t", O.TRAFFIC), ("i", O.INFRA))),
 )
 def window_records(spark, sf_dir):
-    spans = _slice(spark, sf_dir).groupBy(*W.ID).agg(F.min("timestamp").alias("first_t"), F.max("timestamp").alias("last_t"))
-    records = R.window_records(W.sliding_windows(spans, W.ID), "interaction", _riding(spark, sf_dir), _traffic(spark, sf_dir), _infrastructure(spark, sf_dir))
-    return rounded(R.flat_records(records).select(*R.KEYS, "win_start", "win_end", *[f"{p}_{c}" for p, cs in _SHOWN.values() for c in cs]))
+    return rounded(R.flat_records(_builder(spark, sf_dir).records()).select(*R.KEYS, "win_start", "win_end", *[f"{p}_{c}" for p, cs in _SHOWN.values() for c in cs]))
 
 
 @query("windows_grouped", f"{T}, {O.MANEUVERS}, {O.SLICE}, {O.BOUNDS} SELECT {O.OUT.replace(', CAST(w AS INT) AS w', '')}, count(*) AS n_windows, min(f0) AS f_first, max(f1) AS f_last FROM bnd GROUP BY {O.M}")
@@ -563,3 +615,175 @@ def regimes_by_lane(spark, sf_dir):
     traj = trajectories(spark, sf_dir)
     rows = traj.select("track_id", "frame", "category", K.speed(F.col("velocity_x"), F.col("velocity_y")).alias("v")).join(lanes(traj), ["track_id", "frame"])
     return rounded(rows.withColumn("category", F.col("category").cast("string")).cube("lane_type", "category").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("speed_mean"), F.stddev_pop("v").alias("speed_std")))
+
+
+# Files: each query writes them to the shared folder and reads them back.
+
+
+@query("tracks_csv", f"{T} SELECT track_id, category, frame, {', '.join(O.R(c, c) for c in _TRAJ)} FROM traj")
+def tracks_csv(spark, sf_dir):
+    """Two folders of CSV files with columns in another order, columns that aren't wanted and rows twice, read as one table."""
+    path, traj = scratch_path(spark, "tracks"), trajectories(spark, sf_dir)
+    some = traj.select("rotation_z", "category", *[c for c in _TRAJ if c != "rotation_z"], "track_id", F.lit(1.5).alias("dimension_z"), F.lit(False).alias("interpolated"))
+    X.write_tracks(some.where("track_id % 2 = 0"), f"{path}/day=1")
+    X.write_tracks(some.where("track_id % 2 = 1").unionByName(some.where("track_id % 6 = 1")), f"{path}/day=2")
+    found = X.read_tracks(spark, f"{path}/day=*")
+    return rounded(found.select("track_id", "category", "frame", *_TRAJ))
+
+
+@query("metadata_json", "SELECT * FROM (VALUES ('bicycle', 3), ('car', 1), ('pedestrian', 2)) AS t(name, code)")
+def metadata_json(spark, sf_dir):
+    path = scratch_path(spark, "metadata")
+    spark.createDataFrame([('{"site": "x",\n "categories": {"car": 1,\n "pedestrian": 2, "bicycle": 3}}',)], "value string").coalesce(1).write.text(path)
+    return spark.createDataFrame(list(X.read_metadata(spark, path).items()), "name string, code int")
+
+
+@query("interactions_csv", f"{T}, {O.BIKE_BIKE} SELECT {O.FOUND} FROM found")
+def interactions_csv(spark, sf_dir):
+    path = scratch_path(spark, "interactions")
+    X.write_interactions(_bikes(spark, sf_dir), path)
+    return rounded(X.read_interactions(spark, path))
+
+
+@query("interactions_lists", f"{T}, {O.BIKE_BIKE} SELECT {O.FOUND} FROM found")
+def interactions_lists(spark, sf_dir):
+    """Gzipped JSON arrays, one in each file."""
+    path = scratch_path(spark, "lists")
+    X.write_lists(_bikes(spark, sf_dir), path)
+    return rounded(X.read_records(spark, path, X.INTERACTION, array=True))
+
+
+@query("load_or_process", f"{T}, {O.BIKE_BIKE} SELECT {O.FOUND} FROM found")
+def load_or_process(spark, sf_dir):
+    """The second call reads what the first has written."""
+    path = scratch_path(spark, "kept")
+    X.load_or_process(spark, path, lambda: _bikes(spark, sf_dir))
+    return rounded(X.load_or_process(spark, path, lambda: spark.createDataFrame([], X.INTERACTION)))
+
+
+_FOLLOWING_FEATURES = [f.name for f in X.FOLLOWING_FEATURES]
+_OVERTAKING_FEATURES = [f.name for f in X.OVERTAKING_FEATURES]
+
+
+def _with_features(df: DataFrame, schema) -> DataFrame:
+    """Maneuvers in the form of their files: features in a struct, what is missing null."""
+    features = schema["features"].dataType
+    return df.select(*[F.struct(*features.names).alias("features") if f.name == "features" else (F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)) for f in schema])
+
+
+@query("following_files", f"WITH f AS ({_PF}, {O.FOLLOWING}) SELECT row_number() OVER (ORDER BY ego_id, other_id, t_start, t_end, {', '.join(_FOLLOWING_FEATURES)}) - 1 AS id, * FROM f")
+def following_files(spark, sf_dir):
+    """Following maneuvers with ids, as gzipped JSON with nested features, read back flat."""
+    path = scratch_path(spark, "following")
+    X.write_records(_with_features(M.with_ids(following(spark, sf_dir)), X.FOLLOWING), path)
+    found = X.read_records(spark, path, X.FOLLOWING)
+    return rounded(found.select("id", *W.ID, "duration", *[F.col(f"features.{c}").alias(c) for c in _FOLLOWING_FEATURES]))
+
+
+@query("overtaking_files", f"WITH o AS ({_PF10}, {O.OVERTAKE_WINDOWS}, {O.OVERTAKING}) SELECT row_number() OVER (ORDER BY ego_id, other_id, t_start NULLS FIRST, t_end NULLS FIRST, duration NULLS FIRST, t_cross) - 1 AS id, * FROM o")
+def overtaking_files(spark, sf_dir):
+    path = scratch_path(spark, "overtaking")
+    found = overtaking(spark, sf_dir).select(*W.ID, "duration", "t_cross", *_OVERTAKING_FEATURES)
+    X.write_records(_with_features(M.with_ids(found), X.OVERTAKING), path)
+    back = X.read_records(spark, path, X.OVERTAKING)
+    return rounded(back.select("id", *W.ID, "duration", "t_cross", *[F.col(f"features.{c}").alias(c) for c in _OVERTAKING_FEATURES]))
+
+
+@query("maneuvers_csv", f"WITH f AS ({_PF}, {O.FOLLOWING}) SELECT DISTINCT ego_id, other_id, " + ", ".join(f"round_even({c}, 3) AS {c}" for c in ("t_start", "t_end", "duration")) + ", " + ", ".join(f"round_even({c}, 3) AS features_{c}" for c in _FOLLOWING_FEATURES) + " FROM f")
+def maneuvers_csv(spark, sf_dir):
+    """Maneuvers once each, flat, rounded to three digits."""
+    path = scratch_path(spark, "maneuvers")
+    found = following(spark, sf_dir).select(*W.ID, "duration", F.struct(*_FOLLOWING_FEATURES).alias("features"))
+    X.write_maneuvers_csv(found.unionByName(found), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(*[F.col(c).cast("long" if c in ("ego_id", "other_id") else "double").alias(c) for c in back.columns])
+
+
+_RECORDS = ORACLES["window_records"].replace("SELECT ego_id, other_id, t_start, t_end, w,", "SELECT ego_id, other_id, w,", 1)
+
+
+@query("window_files", _RECORDS)
+def window_files(spark, sf_dir):
+    """Window records as gzipped JSON, two kinds of features in one half, and a third that is missing in the other."""
+    path, b = scratch_path(spark, "records"), _builder(spark, sf_dir)
+    records = b.records().select(F.struct(F.col("other_id").alias("maneuver_id"), F.lit("interaction").alias("maneuver_type"), "ego_id").alias("meta"), F.col("win_start").alias("t_start"), F.col("win_end").alias("t_end"), "riding", "traffic", "infrastructure", F.col("w").cast("int").alias("local_regime"))
+    infinite = records.schema["traffic"].dataType.names
+    finite = F.struct(*[F.when(F.abs(F.col(f"traffic.{c}")) < math.inf, F.col(f"traffic.{c}")).alias(c) for c in infinite])
+    X.write_records(records.withColumn("traffic", F.when(F.col("traffic").isNotNull(), finite)), path)
+    back = X.read_records(spark, path, X.WINDOW)
+    flat = X.flatten(back, {n: p for n, p in R.PREFIX.items()})
+    return rounded(flat.select(F.col("meta.ego_id").alias("ego_id"), F.col("meta.maneuver_id").alias("other_id"), F.col("local_regime").alias("w"), F.col("t_start").alias("win_start"), F.col("t_end").alias("win_end"), *[f"{p}_{c}" for p, cs in _SHOWN.values() for c in cs]))
+
+
+@query("config", "SELECT * FROM (VALUES ('map.offset_x', '692009.0'), ('map.offset_y', '5338095.0'), ('paths.map', '/data/raw/map/site.xodr'), ('paths.raw', '/data/raw')) AS t(name, value)")
+def config(spark, sf_dir):
+    text = "paths:\n  raw: ${env.DATA_ROOT}/raw\n  map: ${paths.raw}/map/site.xodr\n\nmap:\n  offset_x: 692009.0  # metres\n  offset_y: 5338095.0\n"
+    found = C.flat(C.parse_config(text, {"DATA_ROOT": "/data"}))
+    return spark.createDataFrame([(k, str(v)) for k, v in found.items()], "name string, value string")
+
+
+# More operators.
+
+
+@query("switch_points", f"{T}, {_CENTRED}, k AS (SELECT *, lag(x) OVER w > 0 AND x < 0 AND min(sign(x)) OVER f = max(sign(x)) OVER f AS hit, coalesce(sum(CAST(x < 0 AS INT)) OVER (PARTITION BY track_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), 0) AS score FROM c WINDOW w AS (PARTITION BY track_id ORDER BY i), f AS (PARTITION BY track_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)), h AS (SELECT track_id, i, score, CASE WHEN i - lag(i) OVER (PARTITION BY track_id ORDER BY i) > 20 THEN 1 ELSE 0 END AS fresh FROM k WHERE hit), g AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY track_id ORDER BY i) AS BIGINT) AS grp FROM h) SELECT track_id, grp, arg_max(i, (score, -i)) AS i FROM g GROUP BY track_id, grp")
+def switch_points(spark, sf_dir):
+    return M.switch_points(crossings(spark, sf_dir), _centred(spark, sf_dir), "x", ["track_id"])
+
+
+@query("following_compat", f"{_PF}, " + O.FOLLOWING.replace("parted AS (", "parted0 AS (").replace("FROM cutr WHERE NOT fl),", "FROM cutr WHERE NOT fl), parted1 AS (SELECT *, max(i) OVER (PARTITION BY track_id, other_id, t_start, t_end, part) AS e FROM parted0), parted AS (SELECT * EXCLUDE (af), avg(a_long_s) OVER (PARTITION BY track_id, other_id, t_start, t_end, part) > 0 AS af FROM parted1 WHERE i < e),"))
+def following_compat(spark, sf_dir):
+    return rounded(M.following(M.smoothed(M.pair_frames(trajectories(spark, sf_dir), _some(spark, sf_dir))), M.JOB, compat=True))
+
+
+_ROAD = "CASE WHEN frame % 7 NOT IN (0, 1, 2) THEN lane_type END"
+
+
+def _roads(spark, sf_dir) -> DataFrame:
+    """Lanes with an angle, without every third of seven frames, and some rows twice with another width."""
+    traj = trajectories(spark, sf_dir)
+    rows = lanes(traj).join(traj.select("track_id", "frame", "event_id"), ["track_id", "frame"]).where("frame % 7 NOT IN (0, 1, 2)").withColumn("lane_angle", F.expr("(event_id % 7 - 3) * 0.1e0"))
+    cols = ["track_id", "frame", "lane_type", "lane_width", "inner_dist", "outer_dist", "lane_angle"]
+    return rows.select(*cols).unionByName(rows.where("event_id % 10 = 0").withColumn("lane_width", F.col("lane_width") + 1).select(*cols))
+
+
+def _near(c: str) -> str:
+    return f"CASE WHEN lane_type IS NOT NULL THEN {c} WHEN lag(lane_type, 1) OVER w IS NOT NULL THEN lag({c}, 1) OVER w WHEN lead(lane_type, 1) OVER w IS NOT NULL THEN lead({c}, 1) OVER w WHEN lag(lane_type, 2) OVER w IS NOT NULL THEN lag({c}, 2) OVER w ELSE lead({c}, 2) OVER w END"
+
+
+@query(
+    "basic_infrastructure",
+    f"{T}, {LANE_SQL}, r AS (SELECT l.*, (event_id % 7 - 3) * 0.1e0 AS lane_angle FROM lane l JOIN traj USING (track_id, frame) WHERE frame % 7 NOT IN (0, 1, 2)), j AS (SELECT t.*, r.* EXCLUDE (track_id, frame) FROM traj t LEFT JOIN r USING (track_id, frame)), "
+    f"f AS (SELECT track_id, frame, translation_x + 692009e0 AS abs_x, translation_y + 5338095e0 AS abs_y, velocity_x, velocity_y, {O.WRAP('rotation_z')} AS h, {_near('lane_type')} AS lane_type, {_near('lane_width')} AS lane_width, {_near('lane_angle')} AS lane_angle FROM j WINDOW w AS (PARTITION BY track_id ORDER BY frame)) "
+    f"SELECT track_id, frame, {O.R('abs_x', 'abs_x')}, {O.R('abs_y', 'abs_y')}, {O.R('sqrt(velocity_x ** 2 + velocity_y ** 2)', 'velocity')}, lane_type, lane_width, {O.R(O.WRAP('h - lane_angle'), 'heading_deviation')} FROM f WHERE abs_x BETWEEN 692009e0 AND 712009e0 AND abs_y BETWEEN 5338094e0 AND 5338098e0",
+)
+def basic_infrastructure(spark, sf_dir):
+    found = W.basic_infrastructure(trajectories(spark, sf_dir), _roads(spark, sf_dir), 692009.0, 5338095.0, (692009.0, 712009.0, 5338094.0, 5338098.0))
+    return rounded(found.select("track_id", "frame", "abs_x", "abs_y", "velocity", "lane_type", "lane_width", "heading_deviation"))
+
+
+@query("feature_adapter", "SELECT vec_id, " + ", ".join(f"round(CAST(embedding[{k + 1}] AS DOUBLE), 6) AS e{k}" for k in range(64) if k != 3) + " FROM embeddings")
+def feature_adapter(spark, sf_dir):
+    """Features to vectors and back, one left out."""
+    adapter = L.FeatureAdapter(_DIMS, exclude=("e3",))
+    vectors = adapter.to_vector(_embeddings(spark, sf_dir)).select("vec_id", "features")
+    return rounded(adapter.from_vector(vectors).select("vec_id", "struct.*"))
+
+
+@query("maneuver_matrix", f"WITH agg AS ({O.REGIMES}), p AS ({ORACLES['path_length']}) SELECT maneuver_id, length, n_points, p_volatile, transition_rate, mean_run_volatile FROM agg JOIN p ON maneuver_id = track_id")
+def maneuver_matrix(spark, sf_dir):
+    """Features of maneuvers beside their regimes', as columns of one matrix."""
+    found = I.path_lengths(trajectories(spark, sf_dir)).withColumnRenamed("track_id", "maneuver_id")
+    regimes = W.aggregate_regimes(regime_sequence(spark, sf_dir).withColumn("volatile", F.col("local_regime") == 1))
+    matrix, names = R.maneuver_matrix(found, regimes, ["length", "n_points"], exclude=("n_windows", "is_active", "std_run_volatile", "mean_volatile_gap"), on=["maneuver_id"])
+    return rounded(matrix.select("maneuver_id", *names))
+
+
+@query("describe_interactions", f"{T}, {O.BIKE_BIKE} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, {O.R(f'avg({c})', 'mean')}, {O.R(f'stddev_samp({c})', 'std')}, {O.R(f'min({c})', 'min')}, {O.R(f'quantile_cont({c}, 0.25)', 'q1')}, {O.R(f'quantile_cont({c}, 0.5)', 'median')}, {O.R(f'quantile_cont({c}, 0.75)', 'q3')}, {O.R(f'max({c})', 'max')} FROM found" for c in ("duration", "dist_min", "rel_speed")))
+def describe_interactions(spark, sf_dir):
+    return rounded(A.describe(_bikes(spark, sf_dir), ["duration", "dist_min", "rel_speed"]))
+
+
+@query("feature_scatter", f"{_ALL10} SELECT family, duration, dist_min FROM fam WHERE duration >= 0 AND rel_heading <= 45")
+def feature_scatter(spark, sf_dir):
+    some = I.filter_range(_families10(spark, sf_dir), {"duration": (0.0, None), "rel_heading": (None, 45.0)})
+    return rounded(A.scatter(some, "duration", "dist_min", ["family"]))

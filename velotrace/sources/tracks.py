@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +23,24 @@ REGIMES = T.StructType([T.StructField("maneuver_id", _L), T.StructField("n_windo
 _MANEUVER = [T.StructField("id", _L), T.StructField("ego_id", _L), T.StructField("other_id", _L), *_struct("t_start t_end duration".split()), T.StructField("cluster_id", _I), T.StructField("regime_aggregation", REGIMES)]
 FOLLOWING = T.StructType([*_MANEUVER, T.StructField("features", FOLLOWING_FEATURES)])
 OVERTAKING = T.StructType([*_MANEUVER, T.StructField("t_cross", _D), T.StructField("features", OVERTAKING_FEATURES)])
-RIDING = _struct([f"{x}_{k}" for x in ("speed", "acc") for k in ("max", "min", "mean", "std", "mad", "qcv")] + ["rot_fluc_mad", "rot_fluc_std", "rot_fluc_max_abs"])
+RIDING = _struct("speed_max speed_min speed_mean speed_std speed_mad speed_qcv acc_max acc_min acc_mean acc_std acc_mad acc_qcv rot_fluc_mad rot_fluc_std rot_fluc_max_abs".split())
+# Names of the features.
 TRAFFIC = _struct(
-    [f"{c}_count_{k}" for c in ("car", "pedestrian", "bicycle") for k in ("mean", "max")]
-    + [f"{c}_{k}" for c in ("car", "pedestrian", "bicycle") for k in ("min_ttc_min", "min_ttc_p10", *(f"{m}_{t}s" for t in ("1_5", "2", "3") for m in ("fraction_ttc_below", "max_num_ttc_below", "ttc_exposure")), "max_drac", "max_drac_p90", "min_dca_min", "min_dca_p10", "fraction_dca_below_th")]
+    """
+    car_count_mean car_count_max pedestrian_count_mean pedestrian_count_max bicycle_count_mean bicycle_count_max
+    car_min_ttc_min car_min_ttc_p10 car_fraction_ttc_below_1_5s car_max_num_ttc_below_1_5s car_ttc_exposure_1_5s
+    car_fraction_ttc_below_2s car_max_num_ttc_below_2s car_ttc_exposure_2s car_fraction_ttc_below_3s
+    car_max_num_ttc_below_3s car_ttc_exposure_3s car_max_drac car_max_drac_p90 car_min_dca_min car_min_dca_p10
+    car_fraction_dca_below_th pedestrian_min_ttc_min pedestrian_min_ttc_p10 pedestrian_fraction_ttc_below_1_5s
+    pedestrian_max_num_ttc_below_1_5s pedestrian_ttc_exposure_1_5s pedestrian_fraction_ttc_below_2s
+    pedestrian_max_num_ttc_below_2s pedestrian_ttc_exposure_2s pedestrian_fraction_ttc_below_3s
+    pedestrian_max_num_ttc_below_3s pedestrian_ttc_exposure_3s pedestrian_max_drac pedestrian_max_drac_p90
+    pedestrian_min_dca_min pedestrian_min_dca_p10 pedestrian_fraction_dca_below_th bicycle_min_ttc_min
+    bicycle_min_ttc_p10 bicycle_fraction_ttc_below_1_5s bicycle_max_num_ttc_below_1_5s bicycle_ttc_exposure_1_5s
+    bicycle_fraction_ttc_below_2s bicycle_max_num_ttc_below_2s bicycle_ttc_exposure_2s bicycle_fraction_ttc_below_3s
+    bicycle_max_num_ttc_below_3s bicycle_ttc_exposure_3s bicycle_max_drac bicycle_max_drac_p90 bicycle_min_dca_min
+    bicycle_min_dca_p10 bicycle_fraction_dca_below_th
+    """.split()
 )
 INFRASTRUCTURE = _struct("p_on_motorway p_on_bikelane p_on_sidewalk offset_lane_center rel_offset_lane_center rel_position_lane left_clearance min_lateral_clearance max_lateral_clearance lane_width distance_traffic_light distance_regulatory_sign distance_warning_sign".split())
 WINDOW = T.StructType([
@@ -34,9 +50,21 @@ WINDOW = T.StructType([
 
 
 def read_tracks(spark: SparkSession, path: str, fps: float = FPS) -> DataFrame:
-    """Tracks from a CSV file or a folder of them, columns by header name, with the whole number of the frame. Columns beyond the schema are not read; order is left to the writer."""
+    """Tracks from a CSV file or a folder of them, columns by header name, with the whole number of the frame. Columns beyond the schema are not read; of several rows of one track and frame one stays; order is left to the writer."""
     header = spark.read.option("header", True).csv(path)
-    return header.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in TRACK]).withColumn("frame", F.rint(F.col("timestamp") * fps).cast("long"))
+    rows = header.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in TRACK]).withColumn("frame", F.rint(F.col("timestamp") * fps).cast("long"))
+    return one_row_per_frame(rows)
+
+
+def one_row_per_frame(rows: DataFrame) -> DataFrame:
+    """Of the rows of one (track_id, frame) the earliest, of equal times the one with the smallest values."""
+    rest = [c for c in rows.columns if c not in ("track_id", "frame", "timestamp")]
+    one = rows.groupBy("track_id", "frame").agg(F.min(F.struct("timestamp", *rest)).alias("r"))
+    return one.select("track_id", "frame", "r.*").select(*rows.columns)
+
+
+def write_tracks(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict[str, int]:
@@ -79,6 +107,21 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
+def write_lists(df: DataFrame, path: str) -> None:
+    """Gzipped JSON, one array of records for each partition, written as it comes."""
+
+    def run(batches):
+        before = "["
+        for b in batches:
+            text = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [("" if k else before) + t if not k else "," + t for k, t in enumerate(text)]})
+            before = "," if text else before
+        yield pa.RecordBatch.from_pydict({"value": ["[]" if before == "[" else "]"]})
+
+    lines = df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(run, "value string")
+    lines.write.mode("overwrite").option("compression", "gzip").text(path)
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType, array: bool = False) -> DataFrame:
     """Gzipped JSON records with nested optional structs; `array`: each file is one JSON array. A missing key or null gives null."""
     return spark.read.schema(schema).option("multiLine", array).json(path)
