@@ -73,9 +73,7 @@ def interactions(
     if exclude_ids is not None:
         other = other.join(exclude_ids.select("track_id").distinct(), "track_id", "left_anti")
     pairs = proximity_pairs(ego, other, distance) if pairs is None else pairs
-    rows = pair_states(pairs, ego, other)
-    dx, dy = F.col("a_translation_x") - F.col("b_translation_x"), F.col("a_translation_y") - F.col("b_translation_y")
-    rows = rows.withColumns({"dx": dx, "dy": dy, "d2": dx * dx + dy * dy})
+    rows = _relative(pair_states(pairs, ego, other))
     dx, dy = F.col("dx"), F.col("dy")
     speed2 = lambda s: F.col(f"{s}_velocity_x") * F.col(f"{s}_velocity_x") + F.col(f"{s}_velocity_y") * F.col(f"{s}_velocity_y")
     mask = F.col("d2") <= distance * distance
@@ -84,9 +82,19 @@ def interactions(
     if min_speed:
         mask &= (speed2("a") >= min_speed**2) & (speed2("b") >= min_speed**2)
     keys = ["track_id", "other_id"]
-    side = F.signum(dx * F.col("b_velocity_y") - dy * F.col("b_velocity_x"))
-    runs = rows.withColumn("mask", mask).withColumn("run", S.island(F.col("mask"), keys, "frame")).where("mask").groupBy(*keys, "run")
-    out = runs.agg(
+    rows = rows.withColumn("mask", mask).withColumn("run", S.island(F.col("mask"), keys, "frame")).where("mask")
+    return _measured(rows, keys, min_duration)
+
+
+def _relative(rows: DataFrame) -> DataFrame:
+    dx, dy = F.col("a_translation_x") - F.col("b_translation_x"), F.col("a_translation_y") - F.col("b_translation_y")
+    return rows.withColumns({"dx": dx, "dy": dy, "d2": dx * dx + dy * dy})
+
+
+def _measured(rows: DataFrame, keys: list[str], min_duration: float) -> DataFrame:
+    """Interactions from the rows of runs (keys, run)."""
+    side = F.signum(F.col("dx") * F.col("b_velocity_y") - F.col("dy") * F.col("b_velocity_x"))
+    out = rows.groupBy(*keys, "run").agg(
         F.min("a_timestamp").alias("t_start"),
         F.max("a_timestamp").alias("t_end"),
         F.sqrt(F.min("d2")).alias("dist_min"),
@@ -102,16 +110,30 @@ def interactions(
     )
 
 
+FAMILIES = {"bike_bike": BICYCLE, "bike_car": CAR, "bike_ped": PEDESTRIAN}
+
+
 def interaction_families(traj: DataFrame, distances: tuple[float, ...] = (5.0, 10.0, 25.0)) -> DataFrame:
-    """Bicycle-bicycle, bicycle-car and bicycle-pedestrian interactions at each distance. Candidates are found once, at the largest distance; runs depend on the distance and are found for each."""
-    parts = []
-    for family, other in (("bike_bike", BICYCLE), ("bike_car", CAR), ("bike_ped", PEDESTRIAN)):
-        pairs = proximity_pairs(traj.where(F.col("category") == BICYCLE), traj.where(F.col("category") == other), max(distances))
-        parts += [interactions(traj, BICYCLE, other, d, pairs=pairs).select(F.lit(family).alias("family"), F.lit(d).alias("radius"), "*") for d in distances]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Bicycle-bicycle, bicycle-car and bicycle-pedestrian interactions at each distance, in one pass.
+
+    Candidates are found once, at the largest distance, and their common frames joined once. A row's place in its
+    pair and the number of rows so far within each distance come from one window; a row then stands once for each
+    distance that it is within.
+    """
+    kind = F.create_map(*[x for name, code in FAMILIES.items() for x in (F.lit(code), F.lit(name))])
+    known = traj.where(F.col("category").isin(*FAMILIES.values()))
+    ego, other = known.where(F.col("category") == BICYCLE), known
+    near = proximity_rows(ego, other, max(distances)).select("track_id", "other_id").distinct()
+    rows = _relative(pair_states(near, ego, other, (*STATE, "category"))).withColumn("family", kind[F.col("b_category")])
+    keys = ["family", "track_id", "other_id"]
+    w = S.ordered(keys, "frame")
+    within = [F.col("d2") <= d * d for d in distances]
+    so_far = F.array(*[F.sum(m.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) for m in within])
+    rows = rows.withColumns({"at": F.row_number().over(w), "so_far": so_far}).where(F.col("d2") <= max(distances) ** 2)
+    each = F.array(*[F.struct(F.lit(float(d)).alias("radius"), (F.col("at") - F.col("so_far")[k]).alias("run"), within[k].alias("ok")) for k, d in enumerate(distances)])
+    rows = rows.select("*", F.explode(F.filter(each, lambda e: e["ok"])).alias("e")).select("*", "e.radius", "e.run")
+    found = _measured(rows, ["family", "radius", "track_id", "other_id"], 0.0)
+    return found.select("family", "radius", *[c for c in found.columns if c not in ("family", "radius")])
 
 
 def lifespans(traj: DataFrame) -> DataFrame:

@@ -186,6 +186,8 @@ def overtaking(pf: DataFrame, p: Overtaking = Overtaking()) -> DataFrame:
     at least min_frames from the crossing, comes within the lowest threshold that is met at all; they must pass the
     checks on length, lateral offset and sign.
     """
+    # Smoothing is costly and four steps read its rows.
+    pf = materialize(pf.select(*KEYS, "i", "n", "timestamp", *[f"{s}_{c}" for s in "ab" for c in ("long", "long_s", "lat_s", "speed", "acc")]), "pair_frames")
     win = overtake_windows(pf, p)
     at = pf.select(*KEYS, F.col("i").alias("j"), *[f"{s}_{c}" for s in "ab" for c in ("long", "long_s", "lat_s")])
     g = [*KEYS, "grp"]
