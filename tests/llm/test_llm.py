@@ -149,6 +149,11 @@ def test_line_dedup(spark):
     for r in got:
         assert (r.kept or "") == want[r.doc_id, r.text] and (r.kept is None) == (r.text is None)
     assert any(r.kept != r.text for r in got)
+    long = "\n".join(f"line {k % 5000}" for k in range(100_000))
+    both = spark.createDataFrame([(1, long), (2, "x\n" + long)], "doc_id long, text string")
+    t = time.perf_counter()
+    sizes = {r.id: (r.n, r.kept) for r in line_dedup.dedup_lines(both).select("row.doc_id", F.size("cut").alias("n"), F.length(line_dedup.kept_text(F.col("row.text"), F.col("chunks"), F.col("cut"))).alias("kept")).toDF("id", "n", "kept").collect()}
+    assert sizes[2][0] > sizes[1][0] > 10_000 and sizes[1][1] < len(long) / 2 and time.perf_counter() - t < 60
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
@@ -402,6 +407,46 @@ def test_quality(spark, docs):
     assert quality.judge(empty(spark)).count() == 0
 
 
+def plain_measures(text):
+    """The further measures of the rules, by their names, without shortcuts."""
+    text = text or ""
+    w = [x.encode() for x in words_of(text)]
+    if not w:
+        return dict.fromkeys(quality.MORE, 0)
+    lines = [x for x in text.split("\n") if words_of(x)]
+    bare = [x.strip(b".,;:!?()\"'").lower() for x in w]
+    return {
+        "n_lines": len(lines),
+        "n_closed_lines": sum(bool(re.search("[.!?…:][ \t\r\x0b\x0c\"')»”]*$", x)) for x in lines),
+        "n_stop_words": sum(x in quality.STOP_WORDS for x in bare),
+        "n_top_word": max(w.count(x) for x in w),
+        "n_upper": sum("A" <= c <= "Z" for c in text),
+        "n_letters": sum("a" <= c <= "z" or "A" <= c <= "Z" for c in text),
+        "n_plain_words": sum(x.decode().isalpha() for x in bare),
+        "n_bangs": text.count("!"),
+        "n_same_next": sum(a == b for a, b in zip(w, w[1:])),
+    }
+
+
+def test_quality_votes():
+    """Measures and votes of all rules against their definitions, on awkward texts and on given ones."""
+    import pyarrow.parquet as pq
+
+    texts = [None, "", " \n ", "The end.", "A A A a!\n(The) é日本 b2 \"quoted.\"\nno end\n\n.", "STOP!!! " * 40, "x\x1cy z.\x0b"] + pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:60]
+    m = quality.measures(texts)
+    names = (*quality.BASE, *quality.MORE)
+    for row, t in zip(m, texts):
+        own = dict(zip(names, row.tolist()))
+        assert {k: own[k] for k in quality.MORE} == plain_measures(t), t
+    for row, votes in zip(m, quality.votes(m)):
+        own = dict(zip(names, row.tolist()))
+        for (what, of, good, bad), vote in zip(quality.RULES.values(), votes.tolist()):
+            share = own[what] / own[of] if own[of] else None
+            low = good < bad
+            want = 2 if share is None else 1 if (share <= good if low else share >= good) else 0 if (share > bad if low else share < bad) else 2
+            assert vote == want
+
+
 def test_quality_em_recovers_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.7

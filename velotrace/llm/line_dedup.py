@@ -44,7 +44,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Only hashes of chunks are counted at first; bytes travel for chunks whose hash recurs, and are then compared
     whole. Each exchange is pre-aggregated or can be split where a chunk is very frequent. Rows equal in id and text
-    are one document and come out alike; a null text has no lines to remove and stays null; blank chunks (no
+    are one document and come out alike; very long texts are chunked whole; a null text has no lines to remove and stays null; blank chunks (no
     character but white space) are never removed; a null id comes first; ties are broken by the text's hash and the
     chunk's number; an empty table gives no rows; all columns of docs stay inside `row`, whatever their names.
     """
@@ -67,19 +67,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select("row", _chunks(F.col("row")[text_col].cast("string"), span, divisor).alias("chunks"), F.coalesce("cut", F.array().cast("array<int>")).alias("cut"))
 
 
+def picked(chunks: Column, places: Column, of: str) -> Column:
+    """A field of the chunks at the given places. Both arrays are bound first, so that names in the lambda mean no other columns."""
+    both = F.array(F.struct(chunks.alias("c"), places.alias("p")))
+    return F.transform(both, lambda b: F.transform(b["p"], lambda k: F.get(b["c"], k)[of]))[0]
+
+
 def kept_text(text: Column, chunks: Column, cut: Column) -> Column:
     """The text without the chunks to remove; null stays null."""
-    return F.when(F.size(cut) == 0, text).otherwise(F.array_join(F.transform(F.filter(chunks, lambda c: ~F.array_contains(cut, c["k"])), lambda c: c["text"]), "\n"))
+    kept = F.array_except(F.transform(chunks, lambda c: c["k"]), cut)  # by hashing, in order; a chunk's number is its place
+    return F.when(F.size(cut) == 0, text).otherwise(F.array_join(picked(chunks, kept, "text"), "\n"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    lines = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    lines = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda n, c: n + c)
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
-        F.when(F.col("row.text").isNull(), F.lit(0).cast("long")).otherwise(lines(F.col("chunks"))).alias("n_lines"),
+        F.when(F.col("row.text").isNull(), F.lit(0).cast("long")).otherwise(lines(F.col("chunks.n"))).alias("n_lines"),
         F.size("cut").cast("long").alias("n_chunks_removed"),
-        lines(F.filter("chunks", lambda c: F.array_contains("cut", c["k"]))).alias("n_lines_removed"),
+        lines(picked(F.col("chunks"), F.col("cut"), "n")).alias("n_lines_removed"),
         F.sha2(F.coalesce(kept_text(F.col("row.text"), F.col("chunks"), F.col("cut")), F.lit("")), 256).alias("kept_sha256"),
     )
 
