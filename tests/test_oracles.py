@@ -80,7 +80,7 @@ def _segments(points, tolerance):
 
 
 def test_simplified_tracks(spark):
-    """The queries without SQL of simplification, against recursion on every track."""
+    """The queries of simplification, against recursion on every track."""
     traj = registry.trajectories(spark, SF).orderBy("track_id", "frame").toPandas()
     lines = {k: list(zip(g.translation_x, g.translation_y)) for k, g in traj.groupby("track_id")}
     want = {(k, n): (*a, *b) for k, p in lines.items() for kept in [_segments(p, 0.1)] for n, (a, b) in enumerate(zip(kept, kept[1:]))}

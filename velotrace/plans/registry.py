@@ -560,6 +560,14 @@ def regime_map(spark, sf_dir):
     return W.regime_map(centers, centers.columns)
 
 
+@query("regimes_of_windows", O.REGIMES.replace(O.REGIME_SQL, f"ride AS ({O.RIDING}), seq AS (SELECT concat_ws(':', ego_id, other_id, CAST(round_even(t_start / 0.08e0, 0) AS BIGINT)) AS maneuver_id, w, CAST(speed_std > 0.7 AS INT) AS local_regime FROM ride)"))
+def regimes_of_windows(spark, sf_dir):
+    """Riding windows to regimes by a limit on one feature, aggregated for each maneuver."""
+    df = _builder(spark, sf_dir).riding()
+    key = F.concat_ws(":", "ego_id", "other_id", F.rint(F.col("t_start") / 0.08).cast("long"))
+    return rounded(W.aggregate_regimes(df.select(key.alias("maneuver_id"), "w", (F.col("speed_std") > 0.7).alias("volatile"))))
+
+
 @query("window_regimes")
 def window_regimes(spark, sf_dir):
     """Riding windows to regimes to one aggregation per maneuver: matrix, scaling, PCA, two clusters, mapping, sequence."""
@@ -572,12 +580,27 @@ def window_regimes(spark, sf_dir):
     return rounded(W.aggregate_regimes(regimes).select("maneuver_id.*", "*").drop("maneuver_id"))
 
 
-@query("simplify_segments")
+def _simplified(tolerance: float) -> str:
+    """CTEs ending in kept (track_id, a, b): stretches of each track's points that stay one segment, halved at the farthest point until none is."""
+    return f"""p AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS i, translation_x AS x, translation_y AS y FROM traj),
+st AS (SELECT track_id, CAST(0 AS BIGINT) AS a, max(i) AS b, false AS done FROM p GROUP BY track_id HAVING max(i) > 0 UNION ALL
+  SELECT track_id, u.s.a, u.s.b, u.s.done FROM (SELECT track_id, a, b, max(d2) AS m, arg_max(i, (d2, -i)) AS f FROM (
+    SELECT track_id, a, b, i, (px - t * dx) ** 2 + (py - t * dy) ** 2 AS d2 FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(greatest((px * dx + py * dy) / (dx * dx + dy * dy), 0), 1) ELSE 0 END AS t FROM (
+      SELECT st.track_id, st.a, st.b, q.i, e.x - o.x AS dx, e.y - o.y AS dy, q.x - o.x AS px, q.y - o.y AS py FROM st JOIN p o ON o.track_id = st.track_id AND o.i = st.a JOIN p e ON e.track_id = st.track_id AND e.i = st.b LEFT JOIN p q ON q.track_id = st.track_id AND q.i > st.a AND q.i < st.b WHERE NOT st.done)))
+    GROUP BY track_id, a, b), unnest(CASE WHEN m > {tolerance}e0 * {tolerance}e0 THEN [{{'a': a, 'b': f, 'done': false}}, {{'a': f, 'b': b, 'done': false}}] ELSE [{{'a': a, 'b': b, 'done': true}}] END) AS u(s)),
+kept AS (SELECT k.track_id, a, b, o.x AS x0, o.y AS y0, e.x AS x1, e.y AS y1 FROM st k JOIN p o ON o.track_id = k.track_id AND o.i = a JOIN p e ON e.track_id = k.track_id AND e.i = b WHERE done)"""
+
+
+def _mean_segments(tolerance: float) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE {TRAJ_SQL}, {_simplified(tolerance)} SELECT {tolerance}e0 AS tolerance, round(count(*) / count(DISTINCT track_id), 6) AS segments, {O.R('avg(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2))', 'length')} FROM kept)"
+
+
+@query("simplify_segments", f"WITH RECURSIVE {TRAJ_SQL}, {_simplified(0.1)} SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY a) - 1 AS segment, {', '.join(O.R(c, c) for c in ('x0', 'y0', 'x1', 'y1'))} FROM kept")
 def simplify_segments(spark, sf_dir):
     return rounded(A.simplify_tracks(trajectories(spark, sf_dir), 0.1))
 
 
-@query("simplification_sweep")
+@query("simplification_sweep", " UNION ALL ".join(_mean_segments(t) for t in (0.05, 0.1, 0.5)))
 def simplification_sweep(spark, sf_dir):
     return rounded(A.simplification_sweep(trajectories(spark, sf_dir), [0.05, 0.1, 0.5]))
 
