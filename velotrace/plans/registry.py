@@ -560,12 +560,12 @@ def regime_map(spark, sf_dir):
     return W.regime_map(centers, centers.columns)
 
 
-@query("regimes_of_windows", O.REGIMES.replace(O.REGIME_SQL, f"ride AS ({O.RIDING}), seq AS (SELECT concat_ws(':', ego_id, other_id, CAST(round_even(t_start / 0.08e0, 0) AS BIGINT)) AS maneuver_id, w, CAST(speed_std > 0.7 AS INT) AS local_regime FROM ride)"))
+@query("regimes_of_windows", O.REGIMES.replace(O.REGIME_SQL, f"ride AS ({O.RIDING}), seq AS (SELECT concat_ws(':', ego_id, other_id, CAST(round_even(t_start / 0.08e0, 0) AS BIGINT)) AS maneuver_id, w, CAST(acc_std > 0.25 AS INT) AS local_regime FROM ride)"))
 def regimes_of_windows(spark, sf_dir):
     """Riding windows to regimes by a limit on one feature, aggregated for each maneuver."""
     df = _builder(spark, sf_dir).riding()
     key = F.concat_ws(":", "ego_id", "other_id", F.rint(F.col("t_start") / 0.08).cast("long"))
-    return rounded(W.aggregate_regimes(df.select(key.alias("maneuver_id"), "w", (F.col("speed_std") > 0.7).alias("volatile"))))
+    return rounded(W.aggregate_regimes(df.select(key.alias("maneuver_id"), "w", (F.col("acc_std") > 0.25).alias("volatile"))))
 
 
 @query("window_regimes")
