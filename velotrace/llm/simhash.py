@@ -329,7 +329,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     more; candidates are pairs whose fingerprints differ in `radius` bits or fewer in their first word and in `wide`
     or fewer of all 256, each verified on the whole texts. At a similarity of 0.8 about 10 and 39 bits differ, of
     unrelated texts about 128. In simulations of 12,000 to 32,000 pairs at the least similarity of 0.8, no pair of 15
-    to 100 shingles together but one was missed, and of pairs with 4 of 5 in common one in 3,500. Pairs below 0.8 stay.
+    to 100 shingles together but one was missed, and of pairs with 4 of 5 in common one in 5,000. Pairs below 0.8 stay.
     Texts with equal words (A-Z lower-cased) are copies whatever their length; null and empty texts are copies of each
     other; very long texts are compared whole. Of rows equal in id and text one stays. An empty table gives no rows;
     other columns are passed on.
