@@ -140,6 +140,12 @@ def lifespans(traj: DataFrame) -> DataFrame:
     return traj.groupBy("track_id").agg(F.min("timestamp").alias("t_first"), F.max("timestamp").alias("t_last"))
 
 
+def polylines(traj: DataFrame) -> DataFrame:
+    """(track_id, points): each track's points (frame, x, y) in order; tracks of one point are omitted. A track is one row, as long as its recording."""
+    points = F.sort_array(F.collect_list(F.struct("frame", F.col("translation_x").alias("x"), F.col("translation_y").alias("y"))))
+    return traj.groupBy("track_id").agg(points.alias("points")).where(F.size("points") > 1)
+
+
 def path_lengths(traj: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Length of each track's polyline; tracks of one point are omitted."""
     keys = keys or ["track_id"]

@@ -103,6 +103,12 @@ def path_length(spark, sf_dir):
     return rounded(I.path_lengths(trajectories(spark, sf_dir)))
 
 
+@query("polylines", f"{T}, p AS (SELECT track_id, frame, translation_x AS x, translation_y AS y, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS pos, count(*) OVER (PARTITION BY track_id) AS n FROM traj) SELECT track_id, pos, frame, {O.R('x', 'x')}, {O.R('y', 'y')} FROM p WHERE n > 1")
+def polylines(spark, sf_dir):
+    points = I.polylines(trajectories(spark, sf_dir)).select("track_id", F.posexplode("points").alias("pos", "point"))
+    return rounded(points.select("track_id", F.col("pos").cast("long").alias("pos"), "point.*"))
+
+
 @query(
     "kinematics",
     f"{T} SELECT track_id, frame, {O.R('sqrt(velocity_x ** 2 + velocity_y ** 2)', 'speed')}, {O.R('sqrt(acceleration_x ** 2 + acceleration_y ** 2)', 'acceleration')}, {O.R('velocity_x * cos(rotation_z) + velocity_y * sin(rotation_z)', 'long_v')}, {O.R('-velocity_x * sin(rotation_z) + velocity_y * cos(rotation_z) + 1e0', 'lat_v1')}, {O.R('acceleration_x * cos(rotation_z) + acceleration_y * sin(rotation_z)', 'long_a')}, {O.R('-acceleration_x * sin(rotation_z) + acceleration_y * cos(rotation_z)', 'lat_a')}, {O.R('10e0 / (sqrt(velocity_x ** 2 + velocity_y ** 2) + 1e-6)', 'headway_10m')} FROM traj",
