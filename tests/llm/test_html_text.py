@@ -205,6 +205,14 @@ def test_unclosed_furniture_ends_with_its_parent():
     assert html_text.main_text(f"<body><script>var a = '<p>'; if (a < 1) <b>{p}") == ""
 
 
+def test_attributes_are_told_apart():
+    p = f"<p>{TEXT * 2}</p>"
+    for kept in ("data-id='ad'", 'title="see class=ad hidden"', "class='hidden'", "data-hidden", "aria-hidden='false'", "content='display:none'", "id=main-text"):
+        assert html_text.main_text(f"<article>{p}<p {kept}>kept</p></article>").endswith("kept"), kept
+    for gone in ("CLASS=ad", "title='x' id = \"comments\"", "hidden", "aria-hidden=true", 'style="color:red; display: none"', "role=navigation", "class='x ads' data-x='" + "y" * 1000 + "'"):
+        assert html_text.main_text(f"<article>{p}<p {gone}>gone</p></article>") == (TEXT * 2).strip(), gone
+
+
 def test_comments_that_are_articles_go():
     p = f"<p>{TEXT * 6}</p>"
     page = f"<main><article>{p}</article><section id='comments'><article class='comment'><p>{TEXT}</p></article><article><p>{TEXT}</p></article></section></main>"

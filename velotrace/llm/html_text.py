@@ -51,10 +51,10 @@ ENDS = {
 }
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "textarea", "title")}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:\"[^\"]*\"|'[^']*'|[^>\"']++)*+)(?:>|\Z)|[^>]*(?:>|\Z))", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-_VALUES = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
-_UNSEEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: Longest attributes whose elements' kinds are remembered.
+REMEMBERED = 500
 #: Kinds of elements: kept, furniture if it does not hold the text, gone whatever it holds.
 KEPT, MAYBE, GONE = 0, 1, 2
 
@@ -68,17 +68,22 @@ def furniture_name(name: str) -> bool:
     return bool(some) and len(words) <= 3 and all(w in some or w in PLACES or w.isdigit() for w in words)
 
 
-@lru_cache(1024)
 def kind_of(tag: str, attributes: str, at_home: bool) -> int:
+    return (_kind_of if len(attributes) <= REMEMBERED else _kind_of.__wrapped__)(tag, attributes, at_home)
+
+
+@lru_cache(1024)
+def _kind_of(tag: str, attributes: str, at_home: bool) -> int:
     if tag in NEVER:
         return GONE
     if tag in ("html", "body", "main") or not attributes.strip():
         return MAYBE if tag in DROPPED or tag == "header" and not at_home else KEPT
-    if _HIDDEN.search(_VALUES.sub("= ", attributes)) or _UNSEEN.search(attributes):
+    given = {name.lower(): value.strip("\"'") for name, value in _ATTRIBUTE.findall(attributes)}
+    if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(given.get("style", "")):
         return GONE
     if tag in DROPPED or tag == "header" and not at_home:
         return MAYBE
-    names = [n for _, value in _NAMES.findall(attributes) for n in value.strip("\"'").split()]
+    names = [n for name in ("class", "id", "role") for n in given.get(name, "").split()]
     return MAYBE if any(furniture_name(n) or not at_home and re.fullmatch(r"(?:site|page|top|main)?-?header", n, re.I) for n in names) else KEPT
 
 
