@@ -14,7 +14,6 @@ from velotrace.llm.queries import QUERIES
 def small_model(seed=0):
     rng, m = np.random.default_rng(seed), X.Model()
     m.embedding = rng.normal(0, 0.5, m.embedding.shape).astype(np.float32)
-    m.evidence = rng.normal(0, 0.5, X.ROWS).astype(np.float32)
     m.filters = [rng.normal(0, 0.5, f.shape).astype(np.float32) for f in m.filters]
     m.bias = [rng.normal(0, 0.2, b.shape).astype(np.float32) for b in m.bias]
     m.weight = rng.normal(0, 1, m.weight.shape).astype(np.float32)
@@ -33,7 +32,7 @@ def plain_pooled(m, h, counts, tables=None):
         for i in range(n):
             rows = [int(h[lo + i, k]) + (k << X.BUCKET_BITS) for k in range(len(X.PARTS))]
             x[i] = sum(m.embedding[r].astype(float) for r in rows)
-            x[i, 0] = sum(float((m.evidence if tables is None else tables[t])[r]) for r in rows)
+            x[i, 0] = sum(float((m.embedding[:, 0] if tables is None else tables[t])[r]) for r in rows)
         own = []
         for k, width in enumerate(X.WIDTHS):
             for f in range(X.FILTERS):
@@ -50,7 +49,7 @@ def test_pooling_equals_loops(monkeypatch, block):
     m = small_model()
     h, counts = X.word_rows(TEXTS)
     assert np.allclose(m.pooled(h, counts)[0], plain_pooled(m, h, counts), atol=1e-4)
-    known, y = np.stack([m.evidence * 0.5, m.evidence - 1]), np.arange(len(counts)) % 2
+    known, y = np.stack([m.embedding[:, 0] * 0.5, m.embedding[:, 0] - 1]), np.arange(len(counts)) % 2
     assert np.allclose(m.pooled(h, counts, known, y)[0], plain_pooled(m, h, counts, [known[k] for k in y]), atol=1e-4)
 
 
@@ -66,7 +65,7 @@ def test_gradients_equal_finite_differences():
     m = small_model(3)
     h, counts = X.word_rows(TEXTS)
     y, heavy = np.array([1, 0, 1, 0, 1, 0]), 2.0
-    known = np.stack([m.evidence, m.evidence * 0.3])
+    known = np.stack([m.embedding[:, 0] + 0.1, m.embedding[:, 0] * 0.3])
 
     def loss():
         z = m.pooled(h, counts, known, y)[0].astype(float) @ m.weight.astype(float) + m.shift

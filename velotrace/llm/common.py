@@ -203,12 +203,19 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over the bytes, of which span_hashes takes differences."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(len(data), "up"), dtype=np.uint64)))
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
+    return mix64((sums[ends] - sums[starts]) * _powers(len(sums), "down")[starts])
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from prefix sums of a polynomial over the bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _powers(len(data), "up"), dtype=np.uint64)))
-    return mix64((prefix[ends] - prefix[starts]) * _powers(len(data), "down")[starts])
+    """A 64-bit hash of each word."""
+    return span_hashes(byte_sums(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

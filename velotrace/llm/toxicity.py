@@ -61,11 +61,11 @@ def word_rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(data == 32)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
     out = np.zeros((len(ends), len(PARTS)), np.uint16)
+    sums = C.byte_sums(data) if len(ends) else np.zeros(1, np.uint64)
     for k, part in enumerate(PARTS):
-        h = C.word_hashes(data, starts, ends if part is None else np.minimum(ends, starts + part))
-        out[:, k] = 1 + h % np.uint64((1 << BUCKET_BITS) - 1)
-        if part is not None:
-            out[ends - starts <= part, k] = 0
+        longer = np.flatnonzero(ends - starts > (part or 0))
+        h = C.span_hashes(sums, starts[longer], ends[longer] if part is None else starts[longer] + part)
+        out[longer, k] = 1 + h % np.uint64((1 << BUCKET_BITS) - 1)
     return out, np.fromiter(map(len, words), np.int64, len(words))
 
 
@@ -88,7 +88,7 @@ def evidence(seen: np.ndarray, texts: np.ndarray, without: int | None = None) ->
 
 @dataclass
 class Model:
-    evidence: np.ndarray = field(default_factory=lambda: np.zeros(ROWS, np.float32))
+    #: By row; the first component is the evidence.
     embedding: np.ndarray = field(default_factory=lambda: np.zeros((ROWS, DIM), np.float32))
     filters: list[np.ndarray] = field(default_factory=lambda: [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS])
     bias: list[np.ndarray] = field(default_factory=lambda: [np.zeros(FILTERS, np.float32) for _ in WIDTHS])
@@ -100,13 +100,15 @@ class Model:
 
     def embed(self, h: np.ndarray, known: np.ndarray | None = None, kind: np.ndarray | None = None) -> np.ndarray:
         """Embeddings of words, with the evidence known[kind] instead of the model's own if given."""
-        at = h + _OFFSET
-        x = sum(self.embedding[at[:, k]] for k in range(len(PARTS)))
-        x[:, 0] = (self.evidence[at] if known is None else known[kind[:, None], at]).sum(1)
+        x = self.embedding[h[:, 0]]
+        for k in range(1, len(PARTS)):
+            x += self.embedding[h[:, k] + _OFFSET[k]]
+        if known is not None:
+            x[:, 0] = known[kind[:, None], h + _OFFSET].sum(1)
         return x
 
-    def pooled(self, h: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Max-pooled, rectified filter outputs of each text (texts, widths x filters), and the word at which each window of a maximum starts.
+    def pooled(self, h: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, kind: np.ndarray | None = None, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Max-pooled, rectified filter outputs of each text (texts, widths x filters), and with `places` the word at which each window of a maximum starts.
 
         A window starts at each word; what reaches past its text is zero. `known`, `kind`: tables of evidence, and which
         one a text has. Words are embedded BLOCK at a time, however long a text is.
@@ -114,19 +116,26 @@ class Model:
         n, first = len(counts), np.concatenate(([0], np.cumsum(counts)))
         out, where = np.full((n, len(self.weight)), -np.inf, np.float32), np.zeros((n, len(self.weight)), np.int64)
         doc = np.repeat(np.arange(n), counts)
+        # All filters' words side by side: one product for each word.
+        taps = np.concatenate([f[j] for f in self.filters for j in range(len(f))], 1)
         for lo in range(0, len(h), BLOCK):
             hi = min(lo + BLOCK, len(h))
             end = min(hi + PAD, len(h))
-            x = self.embed(h[lo:end], known, None if known is None else kind[doc[lo:end]])
-            x = np.concatenate([x, np.zeros((hi + PAD - end, DIM), np.float32)])
+            y = np.zeros((hi + PAD - lo, taps.shape[1]), np.float32)
+            y[: end - lo] = self.embed(h[lo:end], known, None if known is None else kind[doc[lo:end]]) @ taps
             left = first[doc[lo:hi] + 1] - np.arange(lo, hi)  # words from here to the text's end
-            z = np.empty((hi - lo, len(self.weight)), np.float32)
+            z, at = np.empty((hi - lo, len(self.weight)), np.float32), 0
             for k, width in enumerate(WIDTHS):
-                own = x[: hi - lo] @ self.filters[k][0]
-                for j in range(1, width):
-                    own += (x[j : hi - lo + j] @ self.filters[k][j]) * (left > j)[:, None]
-                z[:, k * FILTERS : (k + 1) * FILTERS] = own + self.bias[k]
+                own = z[:, k * FILTERS : (k + 1) * FILTERS]
+                own[:] = self.bias[k]
+                for j in range(width):
+                    more = y[j : hi - lo + j, at : at + FILTERS]
+                    own += more * (left > j)[:, None] if j else more
+                    at += FILTERS
             docs, start = np.unique(doc[lo:hi], return_index=True)
+            if not places:
+                out[docs] = np.maximum(out[docs], np.maximum.reduceat(z, start))
+                continue
             for d, a, b in zip(docs.tolist(), start.tolist(), [*start[1:].tolist(), hi - lo]):
                 top = z[a:b].argmax(0)
                 best = z[a:b][top, np.arange(z.shape[1])]
@@ -151,21 +160,21 @@ class Model:
     def dumps(self) -> bytes:
         """Only rows of the embedding that aren't zero are written."""
         rows, out = np.flatnonzero(self.embedding.any(1)), io.BytesIO()
-        np.savez(out, evidence=self.evidence, rows=rows, embedding=self.embedding[rows], weight=self.weight, shift=self.shift, threshold=self.threshold, **{f"filters{k}": f for k, f in enumerate(self.filters)}, **{f"bias{k}": b for k, b in enumerate(self.bias)})
+        np.savez(out, rows=rows, embedding=self.embedding[rows], weight=self.weight, shift=self.shift, threshold=self.threshold, **{f"filters{k}": f for k, f in enumerate(self.filters)}, **{f"bias{k}": b for k, b in enumerate(self.bias)})
         return out.getvalue()
 
     @classmethod
     def loads(cls, data: bytes) -> Model:
         got, m = np.load(io.BytesIO(data)), cls()
         m.embedding[got["rows"]] = got["embedding"]
-        m.evidence, m.weight, m.shift, m.threshold = got["evidence"], got["weight"], float(got["shift"]), got["threshold"]
+        m.weight, m.shift, m.threshold = got["weight"], float(got["shift"]), got["threshold"]
         m.filters, m.bias = ([got[f"{name}{k}"] for k in range(len(WIDTHS))] for name in ("filters", "bias"))
         return m
 
 
 def gradients(m: Model, h: np.ndarray, counts: np.ndarray, y: np.ndarray, heavy: float, known: np.ndarray) -> dict:
     """Of the mean logistic loss, toxic texts `heavy` times: by filters, bias, weight and shift, and by the embedding of the words `words`. known: tables of evidence by label."""
-    out, where = m.pooled(h, counts, known, y)
+    out, where = m.pooled(h, counts, known, y, places=True)
     p = 1 / (1 + np.exp(-np.clip(out @ m.weight + m.shift, -30, 30)))
     g = ((p - y) * np.where(y == 1, heavy, 1.0) / len(y)).astype(np.float32)
     by_pool = (g[:, None] * m.weight) * (out > 0)
@@ -216,11 +225,10 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: in
     seen = np.zeros((2, ROWS))
     for t, y in zip(texts, labels):
         seen[y][np.unique(t + _OFFSET)] += 1
-    m.evidence = evidence(seen, n)
     known = np.stack([evidence(seen, n, without=y) for y in (0, 1)])
     live = (seen.sum(0) >= LEAST_DOCS)[:, None]
     m.embedding = (rng.normal(0, 0.1, m.embedding.shape) * live).astype(np.float32)
-    m.embedding[:, 0] = 0
+    m.embedding[:, 0] = evidence(seen, n)
     m.embedding.reshape(len(PARTS), -1, DIM)[:, 0] = 0
     # The first filter of each width begins as the evidence of one word, the others at random.
     for k, f in enumerate(m.filters):
@@ -255,6 +263,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: in
                 total = np.zeros((len(touched), DIM), np.float32)
                 np.add.at(total, inverse, g["embedding"])
                 total = (total + 1e-5 * m.embedding[touched]) * live[touched] * (touched != _OFFSET[k])[:, None]
+                total[:, 0] = 0
                 speed["embedding"][0][touched] += total**2
                 m.embedding[touched] -= RATE * total / np.sqrt(speed["embedding"][0][touched])
         epochs -= 1
