@@ -348,8 +348,9 @@ def histograms(docs: DataFrame, known: DataFrame, used: DataFrame, model: Model,
 
     source = docs.select(C.col(docs, id_col).alias("id"), C.col(docs, text_col).cast("string").alias("text")).where("id IS NOT NULL")
     scored = source.mapInArrow(C.released(run), T.StructType([source.schema["id"], T.StructField("lang", T.IntegerType()), T.StructField("bin", T.IntegerType())]))
-    rest = scored.join(known, "id").join(F.broadcast(used), "id", "left_anti")
-    return rest.groupBy("lang", "bin").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    # An id of very many rows is counted before the join.
+    scored = scored.join(F.broadcast(used), "id", "left_anti").groupBy("id", "lang", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return scored.join(known, "id").groupBy("lang", "bin").agg(F.sum(F.col("y") * F.col("n")).alias("y"), F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
