@@ -15,8 +15,8 @@ class WindowBuilder:
     """Slices, windows and features of maneuvers (ego_id, other_id, t_start, t_end).
 
     Each kind of features is optional: traffic needs nothing more, infrastructure needs `lanes` (track_id, frame and
-    lane columns) and `signals` (name, x, y). The rows of the windows are computed once and written to the shared
-    folder, since every kind reads them.
+    lane columns) and `signals` (name, x, y). For records, which have several kinds, the rows of the windows are
+    computed once and written to the shared folder; one kind alone reads them as they are computed.
     """
 
     def __init__(self, traj: DataFrame, maneuvers: DataFrame, maneuver_type: str = "interaction", win_s: float = 1.0, overlap: float = 0.5, fps: float = 12.5, ego_only: bool = False, riding: bool = True, traffic: bool = True, lanes: DataFrame | None = None, signals: DataFrame | None = None):
@@ -32,9 +32,7 @@ class WindowBuilder:
 
     def rows(self) -> DataFrame:
         """Slices' rows with the windows (w, f0, f1) that they fall in."""
-        if self._rows is None:
-            self._rows = materialize(W.window_rows(self.slices(), W.ID, *self.window), "windows")
-        return self._rows
+        return W.window_rows(self.slices(), W.ID, *self.window) if self._rows is None else self._rows
 
     def windows(self) -> DataFrame:
         """Bounds of all windows, also of those without rows."""
@@ -56,5 +54,7 @@ class WindowBuilder:
 
     def records(self) -> DataFrame:
         """One window record per window, with a struct for each kind of features, null where a kind is left out."""
+        if self._rows is None:
+            self._rows = materialize(self.rows(), "windows")
         infrastructure = self.infrastructure() if self.lanes is not None and self.signals is not None else None
         return R.window_records(self.windows(), self.maneuver_type, self.riding() if self.with_riding else None, self.traffic() if self.with_traffic else None, infrastructure)

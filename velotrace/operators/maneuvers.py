@@ -78,8 +78,10 @@ def following(pf: DataFrame, p: Following = Following(), compat: bool = False) -
     rows = rows.withColumn("part", F.coalesce(F.sum(F.col("flip").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("NOT flip")
     part = [*KEYS, "part"]
     whole = Window.partitionBy(*part)
-    rows = rows.withColumn("span", F.max("timestamp").over(whole) - F.min("timestamp").over(whole)).withColumn("end_i", F.max("i").over(whole)).where(F.col("span") >= p.min_length - 1e-9)
-    rows = (rows.where("i < end_i") if compat else rows).withColumn("a_follows", F.avg("a_long_s").over(whole) > 0)
+    leads = F.avg("a_long_s").over(whole) > 0
+    rows = rows.withColumns({"a_follows": leads, "span": F.max("timestamp").over(whole) - F.min("timestamp").over(whole), "end_i": F.max("i").over(whole)}).where(F.col("span") >= p.min_length - 1e-9)
+    if compat:
+        rows = rows.where("i < end_i").withColumn("a_follows", leads)
     pick = lambda c, follower: F.when(F.col("a_follows") == follower, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
     rows = rows.select(
         *part, "i", "timestamp", "next_t",
