@@ -296,6 +296,30 @@ def test_recall_of_candidates():
     assert missed <= 1, f"{missed} of {n}"
 
 
+def test_tiles_by_size(spark):
+    """Sets of very unlike sizes are not compared; every pair of sizes that allows the similarity is."""
+    rng = np.random.default_rng(9)
+    sizes = np.exp(rng.uniform(0, np.log(50_000), 60_000)).astype(int)
+    hist = Counter(simhash.size_cell(int(n)) for n in sizes)
+    tiles = simhash._tiles(list(hist.items()), 24, True)
+    assert tiles["n"].sum() == len(sizes)
+    ends = [simhash._near(tiles, i, 24, 0.8)[-1] for i in range(len(tiles["n"]))]
+    cells = np.array(sorted(hist))
+    of = np.searchsorted(tiles["lo"][:, 0], cells, "right") - 1
+    for n in sizes[:500].tolist():
+        furthest = int(of[np.searchsorted(cells, simhash.size_cell(int(n / 0.8)), "right") - 1])
+        assert furthest <= ends[int(of[np.searchsorted(cells, simhash.size_cell(n))])]
+    compared = sum(int(tiles["n"][i]) * int(tiles["n"][simhash._near(tiles, i, 24, 0.8)].sum()) for i in range(len(tiles["n"])))
+    assert compared < 0.15 * len(sizes) ** 2 / 2
+    # The same links come out, whichever way items are sorted.
+    h = rng.integers(0, 1 << 63, (300, 3)).repeat(2, 0)
+    h[1::2] ^= 1 << rng.integers(0, 62, (300, 3))
+    rows = [(int(x[0]), k, int(5 + k % 100 // 2 * 2)) for k, x in enumerate(h)]
+    df = spark.createDataFrame(rows, "fp long, key long, size long")
+    plain, sized = ({frozenset((r.a, r.b)) for r in simhash.near_links(d, 3, similarity=0.8).collect()} for d in (df.drop("size"), df))
+    assert plain == sized and len(plain) == 300
+
+
 def test_keep_one_equals_all_pairs(spark):
     """1,000 documents against the Jaccard similarity of all their pairs."""
     sf = SF.replace("0.001", "0.01")
