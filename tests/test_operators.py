@@ -8,6 +8,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from velotrace.functions import sequence as S
@@ -296,6 +297,35 @@ def test_equal_fits_go_on_as_one(spark, monkeypatch):
     assert np.allclose(fits[5].centers, alone.centers) and np.isclose(fits[5].cost, alone.cost)
 
 
+def test_step_of_a_fit_is_one_stage(spark, monkeypatch):
+    """Partitions' sums go straight to the driver; more than GATHERED of them take a second stage, with the same result."""
+    df = vectors(spark, np.random.default_rng(9).normal(size=(90, 2)))
+    wanted, fits, stages = [(v, k, 0) for v in (L.View(), L.View(1, 0.8)) for k in (2, 3)], [], []
+    for group, most in (("straight", L.GATHERED), ("by fit", 0)):
+        monkeypatch.setattr(L, "GATHERED", most)
+        spark.sparkContext.setJobGroup(group, "")
+        fits.append(L.fit_many(df, wanted))
+        status = spark.sparkContext.statusTracker()
+        stages.append(len(status.getJobInfo(max(status.getJobIdsForGroup(group))).stageIds))
+    assert stages == [2, 3]  # the first is the vectors' own exchange, skipped
+    for f, g in zip(*fits):
+        assert np.allclose(f.centers, g.centers) and np.isclose(f.cost, g.cost)
+
+
+def test_pipeline_reads_its_rows_from_a_file(spark):
+    """What the rows are made of is in no plan after the first, nothing stays in the cache, and all columns come out as they were."""
+    w = Window.partitionBy("g").orderBy("k")
+    df = spark.range(60).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"), F.lit(None).alias("nothing"), F.when(F.col("id") != 7, (F.col("id") % 2) * 9.0 + F.col("id") / 100).alias("a_mean"))
+    df = df.withColumn("before", F.lag("k").over(w))
+    spark.catalog.clearCache()
+    got = L.ClusteringPipeline(["a_mean"], 2, L.Reducer(["a_mean"]), restarts=2).run(df)
+    assert "Window" not in got._jdf.queryExecution().analyzed().toString() and spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+    assert got.dtypes == [*df.dtypes, ("cluster_id", "int")]
+    rows = {r.k: r for r in got.collect()}
+    assert set(rows) == set(range(60)) - {7} and all(r.before == (k - 3 if k > 2 else None) and r.nothing is None for k, r in rows.items())
+    assert len({(k % 2, r.cluster_id) for k, r in rows.items()}) == 2
+
+
 def test_scores_are_one_product(spark):
     """The plan of 64 components' scores does not grow with the loadings; scores are NumPy's, and null where a column is."""
     rng = np.random.default_rng(12)

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -29,5 +30,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, so that its several readers do not compute it again."""
     path = scratch_path(df.sparkSession, name)
+    void = [c for c, kind in df.dtypes if kind == "void"]  # parquet has no such type
+    df = df.withColumns({c: F.lit(None).cast("string") for c in void})
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).withColumns({c: F.lit(None) for c in void})
